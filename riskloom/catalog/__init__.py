@@ -1 +1,8 @@
+"""Every operator bound to the given tables, with its SQL where there is one."""
 
+from riskloom.catalog import scalars, tables
+
+QUERIES, ORACLES = {}, {}
+for part in (scalars, tables):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)
