@@ -90,7 +90,7 @@ def main(folder: str, wanted: list[str]) -> int:
             else:
                 problem = "" if got.num_rows else "no rows"
         except Exception as error:  # noqa: BLE001 - reported per query
-            spent, problem = time.time() - started, f"{type(error).__name__}: {str(error)[:1500]}"
+            spent, problem = time.time() - started, f"{type(error).__name__}: {str(error)[:300]}"
             got = None
         kind = "sql " if name in ORACLES else "rows"
         count = got.num_rows if got is not None else "-"

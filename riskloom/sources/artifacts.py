@@ -25,11 +25,16 @@ def json_artifact_scan(spark: SparkSession, path: str, schema: T.StructType | st
         return spark.createDataFrame([], schema)
 
 
-def keyed_cache_scan(spark: SparkSession, path: str, entry_schema: str) -> DataFrame:
-    """Entries of caches stored as one JSON object keyed by record id."""
-    whole = spark.read.text(path, wholetext=True)
+def keyed_cache_scan(
+    spark: SparkSession, path: str, entry_schema: str, whole_files: bool = True
+) -> DataFrame:
+    """Entries of caches stored as JSON objects keyed by record id.
+
+    An object fills a file, or a line when ``whole_files`` is off.
+    """
+    objects = spark.read.text(path, wholetext=whole_files)
     keyed = F.from_json("value", f"map<string, struct<{entry_schema}>>")
-    return whole.select(F.explode(keyed).alias("key", "entry")).select("key", "entry.*")
+    return objects.select(F.explode(keyed).alias("key", "entry")).select("key", "entry.*")
 
 
 def vector_sink(vectors: DataFrame, path: str) -> None:

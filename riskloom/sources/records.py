@@ -57,28 +57,35 @@ def find_key(value: Column, schema: T.DataType, key: str) -> Column:
     null hit hands over to the next sibling. The paths come from the merged
     schema, so every record runs the same compiled expression.
     """
-    return F.coalesce(*_hits(value, schema, key), F.lit(None).cast("variant"))
+    return F.coalesce(*_hits(value, "$", schema, key), F.lit(None).cast("variant"))
 
 
-def _hits(value: Column, schema: T.DataType, key: str) -> list[Column]:
+def _hits(root: Column, path: str, schema: T.DataType, key: str) -> list[Column]:
+    """Places of a key under a path, in search order."""
     if not isinstance(schema, T.StructType):
         return []
-    here = [F.try_variant_get(value, _path(key), "variant")] if key in schema.fieldNames() else []
-    deeper = []
+    hits = []
+    if key in schema.fieldNames():
+        hits.append(F.try_variant_get(root, f"{path}['{key}']", "variant"))
     for field in schema.fields:
+        below = f"{path}['{field.name}']"
         if field.name == key:
             continue
-        if isinstance(field.dataType, T.StructType):
-            inner = _hits(F.try_variant_get(value, _path(field.name), "variant"), field.dataType, key)
-            if inner:
-                deeper.append(_known(F.coalesce(*inner)))
-        elif isinstance(field.dataType, T.ArrayType):
-            items = F.try_variant_get(value, _path(field.name), "array<variant>")
+        if isinstance(field.dataType, T.ArrayType):
             element = field.dataType.elementType
-            if isinstance(element, T.StructType) and _hits(F.lit(None).cast("variant"), element, key):
-                found = F.transform(items, lambda v, e=element: _known(F.coalesce(*_hits(v, e, key))))
-                deeper.append(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
-    return here + deeper
+            if _hits(root, "$", element, key):
+                items = F.try_variant_get(root, below, "array<variant>")
+                found = F.transform(items, _in_element(element, key))
+                hits.append(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
+        else:
+            inner = _hits(root, below, field.dataType, key)
+            if inner:
+                hits.append(_known(F.coalesce(*inner)))
+    return hits
+
+
+def _in_element(schema: T.DataType, key: str):
+    return lambda value: _known(F.coalesce(*_hits(value, "$", schema, key)))
 
 
 def _known(value: Column) -> Column:
@@ -86,10 +93,6 @@ def _known(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), value)
 
 
-def _path(name: str) -> str:
-    return f"$['{name}']"
-
-
 RECORD_SCHEMA = """
     nctId string, overallStatus string,
     eligibilityCriteria variant, briefSummary variant, officialTitle string,
@@ -153,7 +156,6 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
         nullValue="",
-        emptyValue='""',
     )
     return (reader.schema(schema) if schema else reader).csv(path)
 
