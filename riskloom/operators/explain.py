@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom import constants as C
 from riskloom.functions import numbers
@@ -188,9 +189,9 @@ def tree_attributions(
             out["log_odds"] = leaves.base + phi.sum(axis=1)
             yield out
 
-    schema = kept.schema
-    for name, kind in (("phi", "array<double>"), ("base_value", "double"), ("log_odds", "double")):
-        schema = schema.add(name, kind)
+    number = T.DoubleType()
+    added = [T.StructField("phi", T.ArrayType(number)), T.StructField("base_value", number)]
+    schema = T.StructType([*kept.schema.fields, *added, T.StructField("log_odds", number)])
     return staged.mapInPandas(explain, schema)
 
 

@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,14 @@ def feature_matrix(
     return assembled.select(*[c for c in keep if c in features.columns], *labels, "features")
 
 
+def scaled_vector(
+    features: DataFrame, scaler: Scaler, columns: Sequence[str] = tuple(C.FEATURES), output: str = "features"
+) -> DataFrame:
+    """Add the scaled feature vector beside the unscaled columns."""
+    values = F.array(*[scaled_column(c, scaler) for c in columns])
+    return features.withColumn(output, array_to_vector(values))
+
+
 # --- term vectors ----------------------------------------------------------
 
 

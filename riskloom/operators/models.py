@@ -44,7 +44,7 @@ class GbtSettings:
     )
 
     def estimator(self, max_iter: int | None = None, **names: str) -> GBTClassifier:
-        return GBTClassifier(
+        trees = GBTClassifier(
             maxIter=max_iter or self.max_iter,
             maxDepth=self.max_depth,
             stepSize=self.step_size,
@@ -55,7 +55,12 @@ class GbtSettings:
             weightCol="weight",
             labelCol="label",
             featuresCol="features",
-            **{**self.names, **names},
+        )
+        columns = {**self.names, **names}
+        return (
+            trees.setPredictionCol(columns["predictionCol"])
+            .setProbabilityCol(columns["probabilityCol"])
+            .setRawPredictionCol(columns["rawPredictionCol"])
         )
 
 
