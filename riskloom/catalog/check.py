@@ -32,7 +32,7 @@ def _sortable(value):
     if value is None:
         return (0, "")
     if isinstance(value, float):
-        return (1, f"{value:.5f}")
+        return (1, f"{value:.13g}")
     return (1, str(value))
 
 

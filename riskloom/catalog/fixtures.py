@@ -87,7 +87,7 @@ def rounded(rows: DataFrame, places: int, *columns: str) -> DataFrame:
 
 # --- SQL -------------------------------------------------------------------
 
-WORD = text.WORD
+WORD = rf"[^{text.BLANK}]+"
 TERM = text.TERM
 STRIP = rf"^[{text.BLANK}]+|[{text.BLANK}]+$"
 

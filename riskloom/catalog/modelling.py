@@ -11,13 +11,11 @@ from riskloom.catalog.fixtures import FEAT, SCALER, SCORED, T, r, rounded, sql_s
 from riskloom.catalog.registry import registry
 from riskloom.catalog.scalars import SCENARIO_SQL, SCORE, share_score
 from riskloom.functions import scoring
-from riskloom.functions.text import terms as terms_of
-from riskloom.functions.text import uni_bigrams
 from riskloom.operators import embed, explain, models, ranking, whatif
 from riskloom.operators import features as features_
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts
-from riskloom.sources.tables import table, trials
+from riskloom.sources.tables import documents, table, trials
 from riskloom.streaming.scoring import stream_score as run_stream
 
 QUERIES, ORACLES, query = registry()
@@ -95,7 +93,7 @@ def feature_matrix(spark, sf):
 
 def term_vectors(spark, sf):
     """Vectors of all documents, with the vocabulary fitted on the train documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = documents(spark, sf).select("doc_id", "lang", "text")
     placed = ranking.stratified_split(docs, "doc_id", "lang")
     train = features_.document_terms(placed.filter("split = 'train'"), "doc_id", "text")
     model = features_.fit_tfidf(train)
@@ -354,7 +352,7 @@ def text_classifier(spark, sf):
     placed = ranking.stratified_split(docs, "trial_id", "terminated")
     terms = features_.document_terms(placed.filter("split = 'train'"), "trial_id", "full_text")
     model = features_.fit_tfidf(terms)
-    tokens = placed.withColumn("terms", uni_bigrams(terms_of(F.col("full_text"))))
+    tokens = features_.with_terms(placed, "full_text")
     vectors = model.transform(tokens).withColumn("label", F.col("terminated").cast("double"))
     train, test = vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
     fold = ranking.fold_of(F.col("trial_id"))

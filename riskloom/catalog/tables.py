@@ -12,7 +12,7 @@ from riskloom.catalog.scalars import SCENARIO_SQL
 from riskloom.operators import aggregates, curves, gates, joins, ranking
 from riskloom.operators.explain import contributions_long, linear_contributions
 from riskloom.operators.features import doc_frequency, document_terms, vocab_topk
-from riskloom.sources.tables import table, trials
+from riskloom.sources.tables import documents, table, trials
 
 QUERIES, ORACLES, query = registry()
 
@@ -134,11 +134,11 @@ GLOBS = {"Presence": ["has_*", "is_?nterventional"], "Criteria": ["criteria_leng
 @query(f"""with {CONTRIB_SQL}, s as (select *, case when feature = 'criteria_length' then 'Criteria'
   when feature like 'has\\_%' escape '\\' or feature = 'is_interventional' then 'Presence'
   when feature like 'criteria\\_%' escape '\\' then 'Criteria' when feature like '%enroll%' then 'Size' end as section from long)
-select section, feature, count(*) as n, {r('sum(shap)', 4)} as total from s group by all""")
+select section, feature, count(*) as n, {r('sum(shap)', 2)} as total from s group by all""")
 def pattern_map_join(spark, sf):
     mapped = joins.pattern_map_join(contribution_rows(spark, sf), "feature", GLOBS)
     return mapped.groupBy("section", "feature").agg(
-        F.count(F.lit(1)).alias("n"), X.numbers.half_up(F.sum("shap"), 4).alias("total")
+        F.count(F.lit(1)).alias("n"), X.numbers.half_up(F.sum("shap"), 2).alias("total")
     )
 
 
@@ -369,7 +369,7 @@ freq as (select term, count(distinct doc_id) as df, count(*) as total from grams
 
 
 def all_frequencies(spark, sf):
-    return doc_frequency(document_terms(table(spark, sf, "documents"), "doc_id", "text"))
+    return doc_frequency(document_terms(documents(spark, sf), "doc_id", "text"))
 
 
 @query(f"with {TERMS_SQL} select * from freq", "doc_frequency")

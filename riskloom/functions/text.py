@@ -14,7 +14,8 @@ BLANK = (
     r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WORD = rf"[^{BLANK}]+"
+# Printable ASCII comes first in the class, so most characters match at once.
+WORD = rf"[!-~[^{BLANK}]]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -168,19 +169,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
 
 
-def uni_bigrams(tokens: Column) -> Column:
-    """Single terms followed by neighbouring pairs."""
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
-            lambda left, right: F.concat_ws(" ", left, right),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
-
-
 def replies_to_list(raw: Column, limit: int = 3) -> Column:
     """Suggestions in a reply: a JSON list, else numbered lines, else the text."""
     whole = F.coalesce(raw, F.lit(""))

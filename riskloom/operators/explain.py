@@ -234,7 +234,7 @@ def section_attributions(
             for i, n in enumerate(members)
         ]
         ordered = F.transform(
-            F.array_sort(F.array(*features)),
+            F.sort_array(F.array(*features)),
             lambda f: F.struct(
                 f["name"].alias("name"), f["raw_name"].alias("raw_name"), f["shap"].alias("shap")
             ),
@@ -251,7 +251,7 @@ def section_attributions(
         )
         built.append(F.when(F.abs(total) > 1e-6, entry) if optional else entry)
     return F.transform(
-        F.array_sort(F.filter(F.array(*built), lambda s: s.isNotNull())),
+        F.sort_array(F.filter(F.array(*built), lambda s: s.isNotNull())),
         lambda s: F.struct(
             *[
                 s[c].alias(c)

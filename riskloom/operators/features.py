@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
+    NGram,
     Normalizer,
     SQLTransformer,
     VectorAssembler,
@@ -186,28 +187,30 @@ def scaled_vector(
 
 def document_terms(rows: DataFrame, key: str, body: str) -> DataFrame:
     """Key and the list of single terms and neighbouring pairs of a text."""
-    tokens = rows.select(key, text.terms(F.col(body)).alias("_t"))
-    return tokens.select(key, text.uni_bigrams(F.col("_t")).alias("terms"))
+    return with_terms(rows.select(key, body), body).drop(body)
+
+
+def with_terms(rows: DataFrame, body: str) -> DataFrame:
+    """Add the single terms and neighbouring pairs of a text as ``terms``."""
+    tokens = rows.withColumn("_t", text.terms(F.col(body)))
+    pairs = NGram(n=2, inputCol="_t", outputCol="_pairs").transform(tokens)
+    return pairs.withColumn("terms", F.concat("_t", "_pairs")).drop("_t", "_pairs")
 
 
 def doc_frequency(documents: DataFrame) -> DataFrame:
     """Documents and occurrences per term.
 
-    Sorting each list marks the first occurrence of a term in its document, so
-    both counts come from one map-side combined aggregate, with no shuffle of
-    (document, term) pairs.
+    Each document yields its distinct terms and all its terms, told apart by a
+    flag, so both counts come from one map-side combined aggregate, with no
+    shuffle of (document, term) pairs.
     """
-    ordered = documents.select(F.array_sort("terms").alias("_s"))
-    marked = F.transform(
-        "_s",
-        lambda term, i: F.struct(
-            term.alias("term"), ((i == 0) | (term != F.get(F.col("_s"), i - 1))).alias("first")
-        ),
-    )
+    once = F.struct(F.lit(True).alias("once"), F.array_distinct("terms").alias("terms"))
+    every = F.struct(F.lit(False).alias("once"), F.col("terms"))
+    lists = documents.select(F.explode(F.array(once, every)).alias("_l"))
     return (
-        ordered.select(F.explode(marked).alias("_m"))
-        .groupBy(F.col("_m.term").alias("term"))
-        .agg(F.count_if("_m.first").alias("df"), F.count(F.lit(1)).alias("total"))
+        lists.select("_l.once", F.explode("_l.terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("total"))
     )
 
 

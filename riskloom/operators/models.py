@@ -194,9 +194,10 @@ def fit_text_classifier(
     The class weights are the pair (rate, 1 - rate) for class 0 and 1.
     """
     rate = train.agg(F.avg("label")).first()[0] or 0.0
-    weighted = train.withColumn(
+    weighted = train.select(vector, "label").withColumn(
         "weight", F.when(F.col("label") == 1.0, F.lit(1.0 - rate)).otherwise(F.lit(rate))
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    held = validation.select(vector, "label").persist(StorageLevel.MEMORY_AND_DISK)
     best, best_model, progress = 0.0, None, []
     try:
         for strength in strengths:
@@ -210,7 +211,7 @@ def fit_text_classifier(
                 probabilityCol="text_vector",
                 rawPredictionCol="text_margin",
             ).fit(weighted)
-            scored = positive_probability(model.transform(validation), "text_vector", "p_text")
+            scored = positive_probability(model.transform(held), "text_vector", "p_text")
             area = curves.auroc(scored, "p_text", "label").first()["auroc"] or 0.0
             improved = area > best
             progress.append((strength, area, improved))
@@ -218,6 +219,7 @@ def fit_text_classifier(
                 best, best_model = max(best, area), model
     finally:
         weighted.unpersist()
+        held.unpersist()
     return TextClassifier(best_model, best, progress)
 
 

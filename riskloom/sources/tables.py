@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.plans.spread import spread
+
 
 def parquet_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -21,9 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return parquet_scan(spark, f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def trials(spark: SparkSession, folder: str, labelled: bool = True) -> DataFrame:
     """Documents as study records; the label join is left out where no label is needed."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     first_break = F.instr("text", "\n")
     records = docs.select(
         F.col("doc_id").alias("trial_id"),
