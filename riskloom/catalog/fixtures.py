@@ -56,22 +56,35 @@ def t(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def medians(spark: SparkSession, folder: str) -> DataFrame:
-    return X.fit_medians(t(spark, folder), SPEC)
+    return X.fit_medians(trials(spark, folder, labelled=False, texts=False), SPEC)
 
 
-def features(spark: SparkSession, folder: str, labelled: bool = True) -> DataFrame:
+def features(
+    spark: SparkSession, folder: str, labelled: bool = True, known: DataFrame | None = None
+) -> DataFrame:
     rows = trials(spark, folder, labelled)
-    return X.engineer_features(rows, medians(spark, folder), SPEC)
+    return X.engineer_features(rows, known or medians(spark, folder), SPEC)
 
 
-def split_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled features with their split, written down once for repeated use."""
-    labelled = features(spark, folder).filter("terminated is not null")
-    return ranking.stratified_split(labelled, "trial_id", "terminated")
+def split_features(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Labelled features with their split; the split is fitted on keys and labels alone."""
+    keys = trials(spark, folder, texts=False).select("trial_id", "terminated")
+    cutoffs = ranking.split_cutoffs(keys, "trial_id", "terminated")
+    labelled = features(spark, folder, known=known).filter("terminated is not null")
+    return ranking.stratified_split(labelled, "trial_id", "terminated", cutoffs=cutoffs)
 
 
-def fitted_scaler(spark: SparkSession, folder: str) -> X.Scaler:
-    return X.fit_scaler(split_features(spark, folder).filter("split = 'train'"))
+def fitted(spark: SparkSession, folder: str) -> tuple[DataFrame, X.Scaler]:
+    """The medians, and the scaler of the train rows made with them."""
+    known = medians(spark, folder)
+    train = split_features(spark, folder, known).filter("split = 'train'")
+    return known, X.fit_scaler(train)
+
+
+def linear_scores(spark: SparkSession, folder: str, output: str, labelled: bool = False):
+    """Features with the fixed linear score, and the scaler used."""
+    known, scaler = fitted(spark, folder)
+    return linear_score(features(spark, folder, labelled, known), scaler, output), scaler
 
 
 def linear_score(rows: DataFrame, scaler: X.Scaler, output: str) -> DataFrame:
@@ -87,9 +100,14 @@ def rounded(rows: DataFrame, places: int, *columns: str) -> DataFrame:
 
 # --- SQL -------------------------------------------------------------------
 
-WORD = rf"[^{text.BLANK}]+"
+# The white space of the word functions, spelled out for the SQL engine.
+BLANK = (
+    r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+WORD = rf"[^{BLANK}]+"
 TERM = text.TERM
-STRIP = rf"^[{text.BLANK}]+|[{text.BLANK}]+$"
+STRIP = rf"^[{BLANK}]+|[{BLANK}]+$"
 
 
 def r(expr: str, places: int) -> str:

@@ -175,8 +175,7 @@ select trial_id, scenario_id, {r('new_probability', 5)} as new_probability, {X.s
   {r('new_probability - old_p', 5)} as delta,
   case when new_probability > old_p then 'increased' when new_probability < old_p then 'decreased' else 'unchanged' end as direction from n""")
 def whatif_rescore(spark, sf):
-    fitted = X.fitted_scaler(spark, sf)
-    base = X.linear_score(X.features(spark, sf, labelled=False), fitted, "probability")
+    base, fitted = X.linear_scores(spark, sf, "probability")
     base = base.withColumn("p_text", text_share())
     scored = whatif.whatif_rescore(
         base, X.SCENARIOS, lambda rows: X.linear_score(rows, fitted, "p_struct"), X.THRESHOLD
@@ -224,8 +223,9 @@ def contribution_sql():
 
 @query(f"with {contribution_sql()} select trial_id, feature, {r('shap', 6)} as shap from long")
 def linear_attributions(spark, sf):
-    rows = X.features(spark, sf, labelled=False)
-    long = explain.contributions_long(rows, "trial_id", scaled_contributions(X.fitted_scaler(spark, sf)))
+    known, fitted = X.fitted(spark, sf)
+    rows = X.features(spark, sf, False, known)
+    long = explain.contributions_long(rows, "trial_id", scaled_contributions(fitted))
     return rounded(long, 6, "shap")
 
 
@@ -239,8 +239,7 @@ feats as (select trial_id, section, feature, label, {r('shap', 4)} as shap,
 
 
 def explained_rows(spark, sf):
-    fitted = X.fitted_scaler(spark, sf)
-    rows = X.linear_score(X.features(spark, sf, labelled=False), fitted, "probability")
+    rows, fitted = X.linear_scores(spark, sf, "probability")
     return rows.select(
         "trial_id", "probability", explain.section_attributions(scaled_contributions(fitted)).alias("sections")
     )
@@ -422,7 +421,7 @@ def stream_score(spark, sf):
     source, target, checkpoint = (shared_folder(spark) for _ in range(3))
     rows = t(spark, sf)
     rows.repartition(4, "trial_id").write.parquet(source)
-    known, fitted = X.medians(spark, sf), X.fitted_scaler(spark, sf)
+    known, fitted = X.fitted(spark, sf)
 
     def score(arriving):
         made = features_.engineer_features(arriving, known, X.SPEC)

@@ -475,7 +475,7 @@ def replies(spark, sf):
 
 
 @query(f"""with {REPLY_SQL},
-parts as (select conv_id, turn, reply, list_filter(list_transform(string_split_regex(reply, '\\n[{text.BLANK}]*\\p{{Nd}}+[.):][{text.BLANK}]+'),
+parts as (select conv_id, turn, reply, list_filter(list_transform(string_split_regex(reply, '\\n[{X.BLANK}]*\\p{{Nd}}+[.):][{X.BLANK}]+'),
    lambda x: {sql_strip('x')}), lambda x: x <> '') as parts from replies),
 lists as (select conv_id, turn, case when starts_with(reply, '```json')
    then [trim(regexp_extract(reply, '"(First[^"]*)"', 1)), regexp_extract(reply, '"(Second[^"]*)"', 1)]

@@ -298,8 +298,7 @@ def auroc(spark, sf):
 @query(f"""with {SCORED}, s as (select p as score, terminated as y from scored where terminated is not null), {AUROC_SQL}
 select n_pos, n_neg, {r('auroc', 9)} as auroc from area""")
 def auroc_of_records(spark, sf):
-    rows = X.features(spark, sf).filter("terminated is not null")
-    scored = X.linear_score(rows, X.fitted_scaler(spark, sf), "p")
+    scored = X.linear_scores(spark, sf, "p", labelled=True)[0].filter("terminated is not null")
     return rounded(curves.auroc(scored, "p", "terminated"), 9, "auroc")
 
 

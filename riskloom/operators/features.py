@@ -77,7 +77,7 @@ def fit_medians(rows: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame
     small = pin_small(medians)
     if small is None:
         return medians
-    return small if small.count() else default_medians(rows, "phase_encoded")
+    return small if small.take(1) else default_medians(rows, "phase_encoded")
 
 
 def engineer_features(

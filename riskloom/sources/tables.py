@@ -27,9 +27,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
-def trials(spark: SparkSession, folder: str, labelled: bool = True) -> DataFrame:
-    """Documents as study records; the label join is left out where no label is needed."""
-    docs = documents(spark, folder)
+def trials(spark: SparkSession, folder: str, labelled: bool = True, texts: bool = True) -> DataFrame:
+    """Documents as study records; the label join is left out where no label is needed.
+
+    Without ``texts`` the scan is not spread, for work on the short columns only.
+    """
+    docs = documents(spark, folder) if texts else table(spark, folder, "documents")
     first_break = F.instr("text", "\n")
     records = docs.select(
         F.col("doc_id").alias("trial_id"),
