@@ -39,7 +39,7 @@ def harvest_pages(spark, sf):
 @query("""select event_id, regexp_extract(props, '"k": (\\d+)', 1)::BIGINT as k from events""")
 def flatten_nested(spark, sf):
     parsed = table(spark, sf, "events").select("event_id", F.parse_json("props").alias("v"))
-    found = records.find_key(F.col("v"), records.variant_schema(parsed, "v"), "k")
+    found = records.find_key(F.col("v"), records.variant_shape(parsed, "v"), "k")
     return parsed.select("event_id", F.try_variant_get(found, "$", "bigint").alias("k"))
 
 

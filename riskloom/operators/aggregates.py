@@ -99,9 +99,16 @@ def target_correlation(rows: DataFrame, target: str, columns: Sequence[str], top
     A constant column has none (null) and sorts last.
     """
     number = lambda c: F.col(c).cast("double")
-    found = rows.agg(*[F.corr(number(c), number(target)).alias(f"{c}|corr") for c in columns])
-    long = _unpivot(found, columns, ["corr"]).select(
-        "column", F.abs(F.nanvl("corr", F.lit(None).cast("double"))).alias("abs_corr")
+    # From moments, since a constant column must not divide by zero. Both sides
+    # of a pair count only where both are known.
+    moments = []
+    for c in columns:
+        both = number(c).isNotNull() & number(target).isNotNull()
+        x, y = F.when(both, number(c)), F.when(both, number(target))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        moments.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"{c}|corr"))
+    long = _unpivot(rows.agg(*moments), columns, ["corr"]).select(
+        "column", F.abs("corr").alias("abs_corr")
     )
     return (
         long.orderBy(F.desc_nulls_last("abs_corr"), F.asc("column")).limit(top) if top else long

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,48 +45,78 @@ def harvest_pages(
 # --- nested records --------------------------------------------------------
 
 
-def variant_schema(rows: DataFrame, column: str) -> T.DataType:
-    """Merged type of all values of a VARIANT column, from one aggregate."""
-    merged = rows.agg(F.schema_of_variant_agg(column)).first()[0]
-    return T.DataType.fromDDL(merged.replace("OBJECT<", "STRUCT<"))
+@dataclass
+class Shape:
+    """What a VARIANT column holds: fields of its objects, elements of its lists."""
 
+    fields: dict[str, Shape] = field(default_factory=dict)
+    element: Shape | None = None
 
-def find_key(value: Column, schema: T.DataType, key: str) -> Column:
+
+def variant_shape(rows: DataFrame, column: str) -> Shape:
+    """Merged shape of all values of a VARIANT column, from one aggregate.
+
+    Where values differ in kind (text here, an object there), the objects and
+    the lists of that one place are merged apart, in one more aggregate.
+    """
+    values = rows.select(F.col(column).alias("v"))
+    return _shape_of(values, _merged(values.agg(F.schema_of_variant_agg("v")).first()[0]))
+
+
+def _merged(schema: str | None) -> T.DataType:
+    return T.DataType.fromDDL((schema or "VOID").replace("OBJECT<", "STRUCT<"))
+
+
+def _shape_of(values: DataFrame, kind: T.DataType) -> Shape:
+    shape = Shape()
+    if isinstance(kind, T.VariantType):
+        of = lambda start: F.schema_of_variant_agg(
+            F.when(F.startswith(F.schema_of_variant("v"), F.lit(start)), F.col("v"))
+        )
+        objects, lists = values.agg(of("OBJECT").alias("o"), of("ARRAY").alias("a")).first()
+        shape = _shape_of(values, _merged(objects))
+        shape.element = _shape_of(values, _merged(lists)).element
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            inside = values.select(F.try_variant_get("v", f"$['{f.name}']", "variant").alias("v"))
+            shape.fields[f.name] = _shape_of(inside, f.dataType)
+    elif isinstance(kind, T.ArrayType):
+        inside = values.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
+        shape.element = _shape_of(inside, kind.elementType)
+    return shape
+
+
+def find_key(value: Column, shape: Shape, key: str) -> Column:
     """First value of a key anywhere in a VARIANT, as VARIANT.
 
     A hit at a level wins over deeper ones; siblings follow in key order, and a
     null hit hands over to the next sibling. The paths come from the merged
-    schema, so every record runs the same compiled expression.
+    shape, so every record runs the same compiled expression.
     """
-    return F.coalesce(*_hits(value, "$", schema, key), F.lit(None).cast("variant"))
+    return F.coalesce(*_hits(value, "$", shape, key), F.lit(None).cast("variant"))
 
 
-def _hits(root: Column, path: str, schema: T.DataType, key: str) -> list[Column]:
+def _hits(root: Column, path: str, shape: Shape, key: str) -> list[Column]:
     """Places of a key under a path, in search order."""
-    if not isinstance(schema, T.StructType):
-        return []
     hits = []
-    if key in schema.fieldNames():
+    if key in shape.fields:
         hits.append(F.try_variant_get(root, f"{path}['{key}']", "variant"))
-    for field in schema.fields:
-        below = f"{path}['{field.name}']"
-        if field.name == key:
+    for name, inner in sorted(shape.fields.items()):
+        below = f"{path}['{name}']"
+        if name == key:
             continue
-        if isinstance(field.dataType, T.ArrayType):
-            element = field.dataType.elementType
-            if _hits(root, "$", element, key):
-                items = F.try_variant_get(root, below, "array<variant>")
-                found = F.transform(items, _in_element(element, key))
-                hits.append(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
-        else:
-            inner = _hits(root, below, field.dataType, key)
-            if inner:
-                hits.append(_known(F.coalesce(*inner)))
+        deeper = _hits(root, below, inner, key)
+        if deeper:
+            hits.append(_known(F.coalesce(*deeper)))
+        if inner.element and _hits(root, "$", inner.element, key):
+            items = F.try_variant_get(root, below, "array<variant>")
+            found = F.transform(items, _in_element(inner.element, key))
+            hits.append(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
     return hits
 
 
-def _in_element(schema: T.DataType, key: str):
-    return lambda value: _known(F.coalesce(*_hits(value, "$", schema, key)))
+def _in_element(shape: Shape, key: str):
+    return lambda value: _known(F.coalesce(*_hits(value, "$", shape, key)))
 
 
 def _known(value: Column) -> Column:
@@ -108,10 +139,10 @@ def flatten_records(rows: DataFrame, column: str) -> DataFrame:
     The sections stay in columns of their own beside the joined text.
     """
     parsed = rows.withColumn("_v", F.try_parse_json(column))
-    schema = variant_schema(parsed, "_v")
+    shape = variant_shape(parsed, "_v")
 
     def get(key: str, target: str) -> Column:
-        found = find_key(F.col("_v"), schema, key)
+        found = find_key(F.col("_v"), shape, key)
         return found if target == "variant" else F.try_variant_get(found, "$", target)
 
     wanted = T.DataType.fromDDL(RECORD_SCHEMA)
