@@ -240,9 +240,8 @@ feats as (select trial_id, section, feature, label, {r('shap', 4)} as shap,
 
 def explained_rows(spark, sf):
     rows, fitted = X.linear_scores(spark, sf, "probability")
-    return rows.select(
-        "trial_id", "probability", explain.section_attributions(scaled_contributions(fitted)).alias("sections")
-    )
+    explained = explain.with_sections(rows, scaled_contributions(fitted), "sections")
+    return explained.select("trial_id", "probability", "sections")
 
 
 @query(f"""with {SECTION_SQL} select trial_id, section, contribution, abs(contribution) as abs_contribution, direction, place::INTEGER as place,

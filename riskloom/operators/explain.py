@@ -261,6 +261,19 @@ def section_attributions(
     )
 
 
+def with_sections(
+    rows: DataFrame, contributions: Mapping[str, Column], output: str = "section_attributions", **options
+) -> DataFrame:
+    """Add the section attributions of a record.
+
+    Contributions become columns of their own first, so that each is computed
+    once however often the sections mention it.
+    """
+    staged = rows.withColumns({f"_phi_{n}": c for n, c in contributions.items()})
+    built = section_attributions({n: F.col(f"_phi_{n}") for n in contributions}, **options)
+    return staged.withColumn(output, built).drop(*[f"_phi_{n}" for n in contributions])
+
+
 def top_risk_sections(sections: Column, n: int = 3) -> Column:
     return F.slice(F.filter(sections, lambda s: s["contribution"] > 0), 1, n)
 
@@ -319,10 +332,10 @@ def explain_batch(
 ) -> DataFrame:
     """Scored records with sections, summary and base value, one row per record."""
     phi = {name: F.col("phi")[i] for i, name in enumerate(features)}
-    explained = attributions.select(
+    explained = with_sections(attributions, phi).select(
         key,
         numbers.half_up(F.col("base_value"), 4).alias("base_value"),
-        section_attributions(phi).alias("section_attributions"),
+        "section_attributions",
     )
     joined = scored.join(explained, key)
     return joined.withColumn(
