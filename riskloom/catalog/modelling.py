@@ -328,9 +328,8 @@ def _model_round_trip(spark, sf):
     folder = shared_folder(spark)
     artifacts.model_sink(calibrated(spark, sf), folder)
     loaded = artifacts.model_scan(folder)
-    rows = matrix(spark, sf, "test")
-    again = loaded.transform(rows).select("trial_id", F.col("probability").alias("reloaded"))
-    return calibrated(spark, sf).transform(rows).select("trial_id", "probability").join(again, "trial_id")
+    again = loaded.transform(matrix(spark, sf, "test")).withColumnRenamed("probability", "reloaded")
+    return calibrated(spark, sf).transform(again).select("trial_id", "probability", "reloaded")
 
 
 @query()
@@ -398,10 +397,9 @@ def explain_batch(spark, sf):
     rows = features_.scale_features(X.features(spark, sf), scaler(spark, sf))
     assembled = features_.feature_matrix(rows.drop("terminated"), columns=C.FEATURES)
     model = calibrated(spark, sf)
-    scored = models.score_records(assembled, model, X.THRESHOLD).drop("features")
-    attributed = explain.tree_attributions(assembled, models.gbt_members(model))
+    scored = models.score_records(assembled, model, X.THRESHOLD)
     folder = shared_folder(spark)
-    artifacts.json_artifact_sink(explain.explain_batch(scored, attributed, "trial_id"), folder)
+    artifacts.json_artifact_sink(explain.explain_batch(scored, models.gbt_members(model)), folder)
     return artifacts.json_artifact_scan(spark, folder, EXPLAINED)
 
 

@@ -326,19 +326,20 @@ def nl_summary(sections: Column, tier: Column, probability: Column) -> Column:
 
 def explain_batch(
     scored: DataFrame,
-    attributions: DataFrame,
-    key: str,
+    models: Sequence[GBTClassificationModel],
     features: Sequence[str] = tuple(C.FEATURES),
+    vector: str = "features",
 ) -> DataFrame:
-    """Scored records with sections, summary and base value, one row per record."""
+    """Scored records with sections, summary and base value, one row per record.
+
+    The attribution keeps the columns of a record, so nothing is joined back and
+    copies of a key stay apart.
+    """
     phi = {name: F.col("phi")[i] for i, name in enumerate(features)}
-    explained = with_sections(attributions, phi).select(
-        key,
-        numbers.half_up(F.col("base_value"), 4).alias("base_value"),
-        "section_attributions",
-    )
-    joined = scored.join(explained, key)
-    return joined.withColumn(
-        "natural_language_summary",
-        nl_summary(F.col("section_attributions"), F.col("risk_tier"), F.col("probability")),
+    explained = with_sections(tree_attributions(scored, models, vector), phi)
+    summary = nl_summary(F.col("section_attributions"), F.col("risk_tier"), F.col("probability"))
+    return (
+        explained.withColumn("base_value", numbers.half_up(F.col("base_value"), 4))
+        .withColumn("natural_language_summary", summary)
+        .drop("phi", "log_odds")
     )

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
-from riskloom.plans.lookup import lookup_join, map_default
+from riskloom.plans.lookup import lookup_join, map_default, pin_small
 
 
 def exclude_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:
-    """Rows whose key was not selected."""
-    return rows.join(selected.select(key).distinct(), key, "left_anti")
+    """Rows whose key was not selected; a small selection is broadcast once its size is known."""
+    keys = selected.select(key).distinct()
+    small = pin_small(keys)
+    return rows.join(keys if small is None else F.broadcast(small), key, "left_anti")
 
 
 def split_membership(rows: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
@@ -58,9 +60,13 @@ def cache_lookup(
 
 
 def combine_features(vectors: DataFrame, vector: str, table: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Append structured columns to a vector, joined on the key."""
+    """Append structured columns to a vector, joined on the key.
+
+    A key has one vector, so copies of a key in the table do not multiply.
+    """
+    once = first_per_key(vectors.select(key, vector), key, [F.col(vector)])
     wide = table.select(key, F.array(*[F.col(c).cast("float") for c in columns]).alias("_extra"))
-    joined = vectors.select(key, vector).join(wide, key)
+    joined = once.join(wide, key)
     return joined.select(key, F.concat(F.col(vector), F.col("_extra")).alias("combined"))
 
 

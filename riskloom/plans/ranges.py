@@ -15,12 +15,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_RANGES = 2_000
+
 
 def range_cuts(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """Increasing cut points that split ``column`` into about equal ranges."""
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges, 10_000))
+    ranges = max(1, min(ranges, MAX_RANGES))
     if ranges == 1:
         return []
     probabilities = [i / ranges for i in range(1, ranges)]

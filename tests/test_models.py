@@ -173,3 +173,13 @@ def test_own_encoder(spark):
     rows = spark.createDataFrame([(1, "four"), (2, " ")], "id int, body string")
     made = embed.embed_texts(rows, "body", make_encoder=make).orderBy("id").collect()
     assert [r["embedding"] for r in made] == [[4.0, 0.0], [5.0, 1.0]]
+
+
+def test_copies_of_a_key_are_explained_once_each(matrix, calibrated):
+    row = matrix.filter("id = 5")
+    copies = row.unionByName(row).unionByName(matrix.filter("id = 6"))
+    scored = models.score_records(copies, calibrated, 0.4)
+    found = explain.explain_batch(scored, models.gbt_members(calibrated), NAMES).collect()
+    assert sorted(r["id"] for r in found) == [5, 5, 6]
+    assert all(r["natural_language_summary"].startswith("This trial is predicted") for r in found)
+    assert {"section_attributions", "base_value", "risk_tier", "confidence_pct"} <= set(found[0].asDict())
