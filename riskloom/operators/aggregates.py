@@ -148,13 +148,16 @@ def standard_scaler_fit(rows: DataFrame, columns: Sequence[str] = tuple(C.SCALED
 def latency_summary(rows: DataFrame, value: str, groups: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Count, rate per second, mean, median, 95th percentile and total of latencies in ms."""
     present = rows.filter(F.col(value).isNotNull())
+    if not groups:
+        whole = latency_summary(present.withColumn("_all", F.lit(0)), value, ["_all"], ranges)
+        return whole.drop("_all")
     totals = present.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(value).alias("avg_ms"),
         (F.sum(value) / 1000.0).alias("total_seconds"),
     )
     ranks = exact_quantiles(present, value, {"p50_ms": 0.5, "p95_ms": 0.95}, groups, ranges)
-    both = totals.join(ranks, list(groups)) if groups else totals.crossJoin(ranks)
+    both = totals.join(ranks, list(groups))
     rate = F.when(F.col("total_seconds") > 0, F.col("n") / F.col("total_seconds")).otherwise(0.0)
     return both.withColumn("per_second", rate)
 

@@ -109,15 +109,15 @@ def test_flag_or_text(spark):
 
 
 def test_sections(spark):
-    body = "intro\n--- STUDY DESIGN ---\nopen label\nrandomized\n--- Co-pilot NOTES ---\nend"
+    body = "intro\n--- STUDY DESIGN ---\nopen label\nrandomized\n--- Follow-up NOTES ---\nend"
     rows = [body, "no header", None, ""]
     names = values(spark, rows, text.list_sections(F.col("x")))
-    assert names[0] == ["Study Design", "Co-Pilot Notes"]
+    assert names[0] == ["Study Design", "Follow-Up Notes"]
     assert names[1:] == [C.DEFAULT_SECTIONS] * 3
     picked = values(spark, rows, text.extract_section(F.col("x"), F.lit("Study Design")))
     assert picked == ["--- STUDY DESIGN ---\nopen label\nrandomized", "no header", "", ""]
     # Titles are looked up in capitals, so a mixed-case one is not found.
-    assert values(spark, [body], text.extract_section(F.col("x"), F.lit("Co-Pilot Notes"))) == [body]
+    assert values(spark, [body], text.extract_section(F.col("x"), F.lit("Follow-Up Notes"))) == [body]
     assert values(spark, [body], text.extract_section(F.col("x"), F.lit("(Full Protocol)"))) == [body]
 
 
@@ -151,7 +151,7 @@ def test_replies(spark):
 def test_apply_suggestion(spark):
     rows = ["1. first\n2. second. more", "nothing numbered", ""]
     chosen = values(spark, rows, text.apply_suggestion(F.col("x"), F.lit("body"), F.lit(1)))
-    assert chosen == ["body\n\n[CO-PILOT REVISION]: second. more", "body", "body"]
+    assert chosen == [f"body\n\n{C.REVISION_MARK}: second. more", "body", "body"]
 
 
 def test_choice_label_round_trip(spark):

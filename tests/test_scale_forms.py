@@ -193,3 +193,11 @@ def test_patterns():
     assert joins.match_patterns(names, {"x": ["has_b", "has_*"], "y": ["emb_?"], "z": ["none"]}) == {
         "x": ["has_b", "has_a"], "y": ["emb_1", "emb_2"], "z": [],
     }
+
+
+def test_latencies_without_groups(spark, skewed):
+    row = aggregates.latency_summary(skewed, "v").first()
+    v = skewed.toPandas()["v"]
+    assert row["n"] == 3000 and row["p95_ms"] == pytest.approx(np.percentile(v, 95))
+    assert row["per_second"] == pytest.approx(3000 / (v.sum() / 1000))
+    assert aggregates.latency_summary(skewed.filter("v < 0"), "v").count() == 0
