@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import simhash
+from riskloom.llm import bpe, mixing, secrets, simhash, tokenfile
 from riskloom.llm.common import table
 
 QUERIES, ORACLES = {}, {}
+WORD_BPE = "word_bpe_49k.json"
 
 
 def query(make):
@@ -24,3 +26,44 @@ def hex16(value) -> Column:
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", hex16("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    shards = tokenfile.write_shards(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+    return tokenfile.read_shards(shards).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    placed, pieces = mixing.mix(table(spark, folder, "documents"))
+    return mixing.taken_words(placed, pieces).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+@query
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents")).select("doc_id", "_spans", "_more")
+    number = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("_spans")), 256).alias("base_sha256"),
+        secrets.written(F.sort_array(F.concat("_spans", "_more"))).alias("spans"),
+    )
