@@ -34,7 +34,9 @@ def components(edges: DataFrame, source: str = "source", target: str = "target")
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
         if mark == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            heads = links.select(F.col("v").alias("node")).distinct()
+            stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return stars.unionByName(heads.withColumn("root", F.col("node")))
         seen = mark
 
 

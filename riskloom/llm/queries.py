@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, mixing, secrets, simhash, tokenfile
+from riskloom.llm import bpe, lm, mainpage, mixing, neighbours, quality, secrets, simhash, tokenfile, urlrules
 from riskloom.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +67,55 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.written(F.col("_spans")), 256).alias("base_sha256"),
         secrets.written(F.sort_array(F.concat("_spans", "_more"))).alias("spans"),
     )
+
+
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"))
+    return judged.select(
+        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
+@query
+def op4_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = mainpage.main_texts(table(spark, folder, "pages").select("page_id", "url", "html"))
+    text = F.col("_text").alias("text")
+    return found.select("page_id", "url", text, F.char_length("_text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm.score(table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_lm_scoring"] = f"""
+with lists as (
+  select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+words as (select r, unnest(w) as w, unnest(range(len(w))) as i from lists),
+pairs as (select r, i, w, coalesce(lag(w) over (partition by r order by i), ' ') as p from words),
+c1 as (select w, count(*) as n from words group by 1
+  union all select ' ', count(*) from lists where len(w) > 0),
+c2 as (select p, w, count(*) as n from pairs group by 1, 2 having count(*) >= {lm.LEAST_COUNT}),
+scored as (
+  select pairs.r, case when c2.n is not null then ln(c2.n / a.n)
+    else ln(b.n / (select count(*) from words)) + ln({lm.BACKOFF}::DOUBLE) end as s
+  from pairs left join c2 on pairs.p = c2.p and pairs.w = c2.w
+  join c1 a on a.w = pairs.p join c1 b on b.w = pairs.w),
+sums as (select r, sum(s) as s from scored group by 1)
+select doc_id, len(w)::BIGINT as n_words, round(coalesce(s, 0), 4)::DOUBLE as log_score
+from lists left join sums using (r)"""
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
