@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from riskloom.llm.common import as_bytes, sliced
 
-#: Chunks of text and pieces of words a worker remembers.
-REMEMBERED = 200_000
+#: Chunks of text (and half as many pieces of words) a worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
 # Fixed value: contractions and kinds of characters of the format, in ASCII.
 ASCII_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 NONE = 1 << 60
@@ -75,7 +75,7 @@ class Codec:
         library = Tokenizer.from_file(path)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.find_ascii = re.compile(ASCII_PIECE)
-        self.pieces = Remembered(self.piece_ids)
+        self.pieces = Remembered(self.piece_ids, REMEMBERED // 2)
         self.chunks = Remembered(self.chunk_ids)
 
     # --- encoding
@@ -89,21 +89,21 @@ class Codec:
         text, ids, done = chunk.decode(), [], 0
         for special in self.cut_special.finditer(text):
             ids += self.plain_ids(text[done : special.start()])
-            ids.append(self.special[special.group()])
+            ids.append(self.special[special.group()].to_bytes(4, "little"))
             done = special.end()
         ids += self.plain_ids(text[done:])
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(ids)
 
-    def plain_ids(self, text: str) -> list[int]:
+    def plain_ids(self, text: str) -> list[bytes]:
         if text.isascii():
             pieces = self.find_ascii.findall(text.lower())
             if not text.isprintable():
                 pieces = ["".join(map(self.letters.__getitem__, piece.encode())) for piece in pieces]
         else:
             pieces = [piece for piece, _ in self.split(self.normal(text))]
-        return [number for piece in pieces for number in self.pieces[piece]]
+        return list(map(self.pieces.__getitem__, pieces))
 
-    def piece_ids(self, word: str) -> tuple[int, ...]:
+    def piece_ids(self, word: str) -> bytes:
         """Ids of one word, in the letters that stand for its bytes."""
         ids, first = [], 0
         for at in self.cuts(word):
@@ -111,7 +111,7 @@ class Codec:
             first = at
         last = list(word[first:])
         last[-1] += self.end
-        return (*ids, *self.fragment_ids(last))
+        return np.array(ids + self.fragment_ids(last), "<u4").tobytes()
 
     def cuts(self, word: str) -> list[int]:
         """Places that no token can span."""
