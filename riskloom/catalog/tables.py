@@ -150,14 +150,13 @@ def unassigned_rest(spark, sf):
     return rounded(joins.unassigned_rest(contribution_rows(spark, sf), "feature"), 6, "shap")
 
 
-_LABEL_CASE = " ".join(f"when '{k}' then '{v}'" for k, v in list(C.FEATURE_LABELS.items())[:8])
+_LABEL_CASE = " ".join(f"when '{k}' then '{v}'" for k, v in C.FEATURE_LABELS.items())
 
 
 @query(f"""with {CONTRIB_SQL} select case feature {_LABEL_CASE} else feature end as label, count(*) as n,
   {r('max(shap)', 6)} as largest from long group by 1""")
 def label_lookup(spark, sf):
-    labels = dict(list(C.FEATURE_LABELS.items())[:8])
-    named = joins.label_lookup(contribution_rows(spark, sf), "feature", labels)
+    named = joins.label_lookup(contribution_rows(spark, sf), "feature", C.FEATURE_LABELS)
     return named.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), X.numbers.half_up(F.max("shap"), 6).alias("largest")
     )

@@ -53,7 +53,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<s>_before`` (total or maximum of earlier cells) and ``<s>_all`` (of the group).
 
-    ``cells`` holds one row per group and order value; neither may be null.
+    ``cells`` holds one row per group and order value; groups may be null, the order may not.
     A maximum without earlier cells is null, a total 0.
     """
     ranged = with_range(cells, order, cuts, "_range")
@@ -78,7 +78,12 @@ def running_totals(
             return F.greatest(here, offset).alias(f"{name}_before")
         return (F.coalesce(here, F.lit(0)) + F.coalesce(offset, F.lit(0))).alias(f"{name}_before")
 
-    return ranged.join(offsets, [*groups, "_range"]).select(
+    # Null groups are groups too, so the join treats nulls as equal.
+    named = offsets.withColumnsRenamed({c: f"_offset_{c}" for c in (*groups, "_range")})
+    same = F.lit(True)
+    for column in (*groups, "_range"):
+        same = same & ranged[column].eqNullSafe(named[f"_offset_{column}"])
+    return ranged.join(named, same).select(
         *cells.columns,
         *[before(s, k) for s, k in kinds.items()],
         *[f"{s}_all" for s in kinds],

@@ -201,3 +201,16 @@ def test_latencies_without_groups(spark, skewed):
     assert row["n"] == 3000 and row["p95_ms"] == pytest.approx(np.percentile(v, 95))
     assert row["per_second"] == pytest.approx(3000 / (v.sum() / 1000))
     assert aggregates.latency_summary(skewed.filter("v < 0"), "v").count() == 0
+
+
+def test_best_so_far_keeps_rows_of_a_null_group(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, 0.5), (None, 2, 0.7), ("a", 1, 0.2), ("a", 2, 0.1)], "g string, step int, v double"
+    )
+    found = ranking.best_so_far(rows, "step", "v", ["g"], ranges=2).collect()
+    assert sorted((r["g"] or "", r["step"], r["best_before"], r["improved"]) for r in found) == [
+        ("", 1, 0.0, True),
+        ("", 2, 0.5, True),
+        ("a", 1, 0.0, True),
+        ("a", 2, 0.2, False),
+    ]
