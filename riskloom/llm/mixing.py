@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, partitions, settle, word_count
+from riskloom.llm.common import WORD, let, partitions, settle, word_count
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 1 << 16
@@ -235,19 +235,19 @@ def mixed_documents(
     parts = pieces.groupBy("rank", "start", "round").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"), F.sum("words").alias("_words")
     )
+    # One struct names a document on both sides: nulls in it are equal, and the texts are shuffled once.
     named = placed.filter("size > 0").join(parts, ["rank", "start"]).select(
-        F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("tie").alias("_tie"),
-        (F.col("size") == F.col("_words")).alias("_whole"), "_parts",
-    )
-    tied = docs.withColumn("_text_tie", F.xxhash64(text)).dropDuplicates([key, source, "_text_tie"])
-    same = (
-        F.col(key).eqNullSafe(F.col("_key"))
-        & F.col(source).eqNullSafe(F.col("_source"))
-        & (F.col("_text_tie") == F.col("_tie"))
+        F.struct("key", "source", "tie").alias("_placed"), (F.col("size") == F.col("_words")).alias("_whole"), "_parts"
     )
-    joined = tied.join(named, same).withColumn("_all", F.regexp_extract_all(text, F.lit(WORD), 0))
-    cut = F.flatten(F.transform("_parts", lambda p: F.slice("_all", p["first"].cast("int") + 1, p["words"].cast("int"))))
-    kept = joined.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(F.array_join(cut, " ")))
+    name = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("tie"))
+    joined = docs.withColumn("_name", name).dropDuplicates(["_name"]).join(named, F.col("_name") == F.col("_placed"))
+
+    def taken(words):
+        piece = lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int"))
+        return F.array_join(F.flatten(F.transform("_parts", piece)), " ")
+
+    cut = let(F.regexp_extract_all(text, F.lit(WORD), 0), taken)
+    kept = joined.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(cut))
     if length in docs.columns:
         kept = kept.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
