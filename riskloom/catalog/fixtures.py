@@ -9,7 +9,7 @@ from riskloom import constants as C
 from riskloom.functions import numbers, scoring, text
 from riskloom.operators import features as X
 from riskloom.operators import ranking
-from riskloom.sources.tables import trials
+from riskloom.sources.tables import labels, trials
 
 # The prose of the given documents is invented, so the words looked for are
 # words that occur in it.
@@ -62,8 +62,9 @@ def medians(spark: SparkSession, folder: str) -> DataFrame:
 def features(
     spark: SparkSession, folder: str, labelled: bool = True, known: DataFrame | None = None
 ) -> DataFrame:
-    rows = trials(spark, folder, labelled)
-    return X.engineer_features(rows, known or medians(spark, folder), SPEC)
+    """Features of every record; the label joins the narrow result, so that no text is shuffled for it."""
+    made = X.engineer_features(t(spark, folder), known or medians(spark, folder), SPEC)
+    return made.join(labels(spark, folder), "trial_id", "left") if labelled else made
 
 
 def split_features(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
@@ -115,12 +116,27 @@ def r(expr: str, places: int) -> str:
     return f"floor(({expr}) * 1e{places}::DOUBLE + 0.5::DOUBLE) / 1e{places}::DOUBLE"
 
 
+def sql_units(expr: str, places: int) -> str:
+    """The size of a number in units of its last place, half to even by its true value."""
+    size, scale = f"abs(({expr})::DOUBLE)", f"{10**places}::DOUBLE"
+    product = f"({size} * {scale})"
+    high = f"({size} * 134217729::DOUBLE - ({size} * 134217729::DOUBLE - {size}))"
+    lost = f"(({high} * {scale} - {product}) + ({size} - {high}) * {scale})"
+    whole, rest = f"floor({product})::BIGINT", f"({product} - floor({product}))"
+    up = f"{rest} > 0.5 or ({rest} = 0.5 and ({lost} > 0 or ({lost} = 0 and {whole} % 2 = 1)))"
+    return f"({whole} + case when {up} then 1 else 0 end)"
+
+
+def sql_half_even(expr: str, places: int) -> str:
+    units = sql_units(expr, places)
+    return f"((case when ({expr}) < 0 then -{units} else {units} end)::DOUBLE / {10**places}::DOUBLE)"
+
+
 def sql_fixed(expr: str, places: int, signed: bool = False) -> str:
-    scale = 10**places
-    units = f"floor(abs({expr}) * {scale}::DOUBLE + 0.5::DOUBLE)::BIGINT"
+    scale, units = 10**places, sql_units(expr, places)
     plus = "+" if signed else ""
     return (
-        f"(case when ({expr}) < 0 and {units} > 0 then '-' else '{plus}' end || "
+        f"(case when ({expr}) < 0 then '-' else '{plus}' end || "
         f"({units} // {scale})::VARCHAR || '.' || lpad(({units} % {scale})::VARCHAR, {places}, '0'))"
     )
 
@@ -128,7 +144,7 @@ def sql_fixed(expr: str, places: int, signed: bool = False) -> str:
 def sql_percent(expr: str, places: int = 0) -> str:
     if places:
         return f"({sql_fixed(f'({expr}) * 100.0::DOUBLE', places)} || '%')"
-    return f"(floor(({expr}) * 100.0::DOUBLE + 0.5)::INTEGER::VARCHAR || '%')"
+    return f"({sql_half_even(f'({expr}) * 100.0::DOUBLE', 0)}::INTEGER::VARCHAR || '%')"
 
 
 def sql_strip(expr: str) -> str:

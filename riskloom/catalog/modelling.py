@@ -231,11 +231,11 @@ def linear_attributions(spark, sf):
 
 SECTION_SQL = f"""{contribution_sql()},
 sums as (select trial_id, p, section, so, sum(shap order by fo) as s from long group by all),
-secs as (select trial_id, p, section, {r('s', 4)} as contribution, case when s >= 0 then 'increases risk' else 'reduces risk' end as direction,
-  row_number() over (partition by trial_id order by abs({r('s', 4)}) desc, so) - 1 as place
+secs as (select trial_id, p, section, {X.sql_half_even('s', 4)} as contribution, case when s >= 0 then 'increases risk' else 'reduces risk' end as direction,
+  row_number() over (partition by trial_id order by abs({X.sql_half_even('s', 4)}) desc, so) - 1 as place
   from sums where section <> '{C.OTHER_SECTION}' or abs(s) > 1e-6),
-feats as (select trial_id, section, feature, label, {r('shap', 4)} as shap,
-  row_number() over (partition by trial_id, section order by abs({r('shap', 4)}) desc, fo) - 1 as feature_place from long)"""
+feats as (select trial_id, section, feature, label, {X.sql_half_even('shap', 4)} as shap,
+  row_number() over (partition by trial_id, section order by abs({X.sql_half_even('shap', 4)}) desc, fo) - 1 as feature_place from long)"""
 
 
 def explained_rows(spark, sf):
@@ -380,7 +380,7 @@ def ablation_compare(spark, sf):
 
 @query()
 def embed_texts(spark, sf):
-    vectors = embed.embed_sections(t(spark, sf), "trial_id", dimension=64)
+    vectors = embed.embed_sections(t(spark, sf), "trial_id")
     return vectors.select("trial_id", "section", F.size("embedding").alias("dimension"), "embedding")
 
 

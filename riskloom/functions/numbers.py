@@ -12,16 +12,37 @@ def half_up(value: Column, places: int) -> Column:
     return F.floor(value.cast("double") * scale + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+def units_half_even(value: Column, places: int) -> Column:
+    """The size of a number in units of its last place, a tie going to the even unit.
+
+    What the product with the scale loses is computed exactly, so a tie is one
+    of the number's true value, not of its rounded product.
+    """
+    scale = float(10**places)
+    size = F.abs(value.cast("double"))
+    product = size * scale
+    # Halves of 26 bits, whose products with the scale are exact.
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    lost = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    return whole + F.when(up, 1).otherwise(0)
+
+
+def half_even(value: Column, places: int) -> Column:
+    """Round half to even; what rounds to zero is 0.0 without a sign."""
+    units = units_half_even(value, places)
+    return F.when(value < 0, -units).otherwise(units).cast("double") / F.lit(float(10**places))
+
+
 def fixed(value: Column, places: int, signed: bool = False) -> Column:
-    """Text of a number with a fixed count of decimals, optionally with its sign."""
+    """Text of a number with a fixed count of decimals, half to even, optionally with its sign."""
     scale = 10**places
-    units = F.floor(F.abs(value.cast("double")) * float(scale) + F.lit(0.5)).cast("bigint")
+    units = units_half_even(value, places)
     whole = F.floor(units / F.lit(scale)).cast("bigint").cast("string")
-    text = F.concat(
-        whole, F.lit("."), F.lpad((units % F.lit(scale)).cast("string"), places, "0")
-    )
-    minus = F.when((value < 0) & (units > 0), "-")
-    return F.concat(minus.otherwise("+" if signed else ""), text)
+    text = F.concat(whole, F.lit("."), F.lpad((units % F.lit(scale)).cast("string"), places, "0"))
+    return F.concat(F.when(value < 0, "-").otherwise("+" if signed else ""), text)
 
 
 def percent(value: Column, places: int = 0) -> Column:
@@ -32,7 +53,7 @@ def percent(value: Column, places: int = 0) -> Column:
 
 
 def whole_percent(value: Column) -> Column:
-    return F.floor(value * 100.0 + F.lit(0.5)).cast("int")
+    return half_even(value * 100.0, 0).cast("int")
 
 
 def clip(value: Column, low, high) -> Column:

@@ -225,11 +225,11 @@ def section_attributions(
             total = total + contributions[name]
         features = [
             F.struct(
-                (-F.abs(numbers.half_up(contributions[n], 4))).alias("_rank"),
+                (-F.abs(numbers.half_even(contributions[n], 4))).alias("_rank"),
                 F.lit(i).alias("_ordinal"),
                 F.lit(labels.get(n, n)).alias("name"),
                 F.lit(n).alias("raw_name"),
-                numbers.half_up(contributions[n], 4).alias("shap"),
+                numbers.half_even(contributions[n], 4).alias("shap"),
             )
             for i, n in enumerate(members)
         ]
@@ -239,7 +239,7 @@ def section_attributions(
                 f["name"].alias("name"), f["raw_name"].alias("raw_name"), f["shap"].alias("shap")
             ),
         )
-        rounded = numbers.half_up(total, 4)
+        rounded = numbers.half_even(total, 4)
         entry = F.struct(
             (-F.abs(rounded)).alias("_rank"),
             F.lit(ordinal).alias("_ordinal"),
@@ -339,7 +339,7 @@ def explain_batch(
     explained = with_sections(tree_attributions(scored, models, vector), phi)
     summary = nl_summary(F.col("section_attributions"), F.col("risk_tier"), F.col("probability"))
     return (
-        explained.withColumn("base_value", numbers.half_up(F.col("base_value"), 4))
+        explained.withColumn("base_value", numbers.half_even(F.col("base_value"), 4))
         .withColumn("natural_language_summary", summary)
         .drop("phi", "log_odds")
     )

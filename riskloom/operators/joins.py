@@ -44,15 +44,18 @@ def cache_lookup(
 ) -> DataFrame:
     """Cached results for known keys, generated ones for the rest.
 
-    ``generate`` maps the missed rows to the columns of ``cache``. The cache
-    counts once per key (the smallest entry by ``order``); ``cached`` tells
+    ``generate`` maps the missed rows, one per key (of copies the one whose
+    other columns are smallest), to the columns of ``cache``. The cache counts
+    once per key (the smallest entry by ``order``); ``cached`` tells
     which side a result came from.
     """
     values = [c for c in cache.columns if c != key]
     known = first_per_key(cache, key, order or [F.col(c) for c in values])
     wanted = rows.select(key).distinct()
     hits = wanted.join(known, key, "inner").withColumn("cached", F.lit(True))
-    misses = rows.join(known.select(key), key, "left_anti")
+    others = [F.col(c) for c in rows.columns if c != key]
+    missed = rows.join(known.select(key), key, "left_anti")
+    misses = first_per_key(missed, key, others) if others else missed.distinct()
     made = first_per_key(
         generate(misses).select(key, *values), key, order or [F.col(c) for c in values]
     ).withColumn("cached", F.lit(False))

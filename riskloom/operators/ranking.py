@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
+from riskloom.operators.joins import first_per_key
 from riskloom.plans.lookup import lookup_join
 from riskloom.plans.ranges import range_cuts, running_totals
 
@@ -88,10 +89,13 @@ def sample_per_stratum(
 ) -> DataFrame:
     """A few rows of every stratum that has enough, filled up with rows of any kind.
 
-    Ranks are limited before the shuffle (window group limit and top-k), so the
-    sample costs one scan however large a stratum is.
+    A repeated key counts once, by the copy whose other columns are smallest;
+    copies collapse on the map side. Ranks are limited before the shuffle
+    (window group limit and top-k), however large a stratum is.
     """
-    hashed = rows.withColumn("_hash", order_hash(F.col(key), seed))
+    others = [F.col(c) for c in rows.columns if c != key]
+    unique = first_per_key(rows, key, others) if others else rows.distinct()
+    hashed = unique.withColumn("_hash", order_hash(F.col(key), seed))
     name = F.lit(None).cast("string")
     for stratum, test in reversed(list(strata.items())):
         name = F.when(test, stratum).otherwise(name)

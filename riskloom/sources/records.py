@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -28,7 +29,8 @@ def harvest_pages(
 
     ``target_count`` stops between pages, in term and page order, once enough
     records came before; only page sizes are ordered for that, range by range.
-    With a ``key``, a record that several terms returned counts once.
+    With a ``key``, a record that several terms returned counts once, as the
+    first of them in term, page and list order gives it.
     """
     schema = f"term int, page int, studies array<{study_schema}>, nextPageToken string"
     pages = spark.read.schema(schema).json(path)
@@ -38,8 +40,11 @@ def harvest_pages(
         counted = running_totals(sizes, "_place", ["n"], cuts=range_cuts(sizes, "_place"))
         kept = counted.filter(F.col("n_before") < target_count).select("term", "page")
         pages = pages.join(kept, ["term", "page"], "left_semi")
-    studies = pages.select(F.explode("studies").alias("_s")).select("_s.*")
-    return studies.dropDuplicates([key]) if key else studies
+    studies = pages.select("term", "page", F.posexplode("studies").alias("_place", "_s"))
+    if key:
+        first = F.min_by("_s", F.struct("term", "page", "_place")).alias("_s")
+        studies = studies.groupBy(F.col("_s").getField(key).alias("_key")).agg(first)
+    return studies.select("_s.*")
 
 
 # --- nested records --------------------------------------------------------
@@ -64,7 +69,9 @@ def variant_shape(rows: DataFrame, column: str) -> Shape:
 
 
 def _merged(schema: str | None) -> T.DataType:
-    return T.DataType.fromDDL((schema or "VOID").replace("OBJECT<", "STRUCT<"))
+    # Names of fields stand in back-ticks and stay as they are.
+    named = r"(`(?:[^`]|``)*`)|OBJECT<"
+    return T.DataType.fromDDL(re.sub(named, lambda m: m[1] or "STRUCT<", schema or "VOID"))
 
 
 def _shape_of(values: DataFrame, kind: T.DataType) -> Shape:
@@ -78,7 +85,7 @@ def _shape_of(values: DataFrame, kind: T.DataType) -> Shape:
         shape.element = _shape_of(values, _merged(lists)).element
     elif isinstance(kind, T.StructType):
         for f in kind.fields:
-            inside = values.select(F.try_variant_get("v", f"$['{f.name}']", "variant").alias("v"))
+            inside = values.select(F.try_variant_get(*_below(F.col("v"), "$", f.name), "variant").alias("v"))
             shape.fields[f.name] = _shape_of(inside, f.dataType)
     elif isinstance(kind, T.ArrayType):
         inside = values.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
@@ -86,6 +93,14 @@ def _shape_of(values: DataFrame, kind: T.DataType) -> Shape:
     return shape
 
 
+def _below(root: Column, path: str, name: str) -> tuple[Column, str]:
+    """Where a field lies; a name that no path can spell is looked up in a map of the fields."""
+    if name and not set("'?") & set(name):
+        return root, f"{path}['{name}']"
+    fields = F.try_variant_get(root, path, "map<string, variant>")
+    return F.try_element_at(fields, F.lit(name)), "$"
+
+
 def find_key(value: Column, shape: Shape, key: str) -> Column:
     """First value of a key anywhere in a VARIANT, as VARIANT.
 
@@ -100,16 +115,16 @@ def _hits(root: Column, path: str, shape: Shape, key: str) -> list[Column]:
     """Places of a key under a path, in search order."""
     hits = []
     if key in shape.fields:
-        hits.append(F.try_variant_get(root, f"{path}['{key}']", "variant"))
+        hits.append(F.try_variant_get(*_below(root, path, key), "variant"))
     for name, inner in sorted(shape.fields.items()):
-        below = f"{path}['{name}']"
         if name == key:
             continue
-        deeper = _hits(root, below, inner, key)
+        base, below = _below(root, path, name)
+        deeper = _hits(base, below, inner, key)
         if deeper:
             hits.append(_known(F.coalesce(*deeper)))
         if inner.element and _hits(root, "$", inner.element, key):
-            items = F.try_variant_get(root, below, "array<variant>")
+            items = F.try_variant_get(base, below, "array<variant>")
             found = F.transform(items, _in_element(inner.element, key))
             hits.append(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
     return hits

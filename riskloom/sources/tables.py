@@ -27,6 +27,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").select(
+        F.col("doc_id").alias("trial_id"), (1 - F.col("quality")).alias("terminated")
+    )
+
+
 def trials(spark: SparkSession, folder: str, labelled: bool = True, texts: bool = True) -> DataFrame:
     """Documents as study records; the label join is left out where no label is needed.
 
@@ -49,7 +55,4 @@ def trials(spark: SparkSession, folder: str, labelled: bool = True, texts: bool
     )
     if not labelled:
         return records
-    labels = table(spark, folder, "labels").select(
-        F.col("doc_id").alias("trial_id"), (1 - F.col("quality")).alias("terminated")
-    )
-    return records.join(labels, "trial_id", "left")
+    return records.join(labels(spark, folder), "trial_id", "left")

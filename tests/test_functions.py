@@ -170,7 +170,14 @@ def test_describe_changes(spark):
 
 
 def test_fixed_decimals(spark):
-    frame = spark.createDataFrame([(0.125,), (-0.1,), (0.0,), (-0.0004,), (12.0,)], "v double")
-    assert [r[0] for r in frame.select(numbers.fixed(F.col("v"), 2, signed=True)).collect()] == [
-        "+0.13", "-0.10", "+0.00", "+0.00", "+12.00",
-    ]
+    values = [0.125, 0.375, -0.1, 0.0, -0.0004, 12.0, 0.0625, 0.00005, -0.00005, 0.00015, 0.005, 1.005, 2.675]
+    values += [k / 2000 for k in range(-40, 41)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (2, 3, 4):
+        text = numbers.fixed(F.col("v"), places, signed=True)
+        got = frame.select(text, numbers.half_even(F.col("v"), places)).collect()
+        assert [tuple(r) for r in got] == [(f"{v:+.{places}f}", round(v, places)) for v in values]
+    shares = [0.125, 0.135, 0.005, 0.015, 0.995, 1.0, 0.0]
+    frame = spark.createDataFrame([(v,) for v in shares], "v double")
+    got = frame.select(numbers.whole_percent(F.col("v")), numbers.percent(F.col("v"), 1)).collect()
+    assert [tuple(r) for r in got] == [(round(v * 100), f"{v * 100:.1f}%") for v in shares]

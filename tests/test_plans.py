@@ -59,3 +59,11 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     long = explain.contributions_long(made(spark), "trial_id", explain.linear_contributions(X.COEFFICIENTS))
     assert "WindowGroupLimit" in plan(ranking.topn_abs(long, "trial_id", "shap", "feature", 3))
     assert "TakeOrderedAndProject" in plan(QUERIES["sort_topk"](spark, FOLDER))
+
+
+def test_labels_join_no_text(spark):
+    node = QUERIES["engineer_features"](spark, FOLDER)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join" or "terminated" not in node.toString().splitlines()[-1] + str(node.right().output()):
+        node = node.children().head()
+    assert "trial_id" in str(node.left().output())
+    assert not any(name in str(node.left().output()) for name in ("text#", "full_text", "official_title", "eligibility_criteria"))

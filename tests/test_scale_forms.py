@@ -214,3 +214,25 @@ def test_best_so_far_keeps_rows_of_a_null_group(spark):
         ("a", 1, 0.0, True),
         ("a", 2, 0.2, False),
     ]
+
+
+def test_sample_counts_a_repeated_key_once(spark):
+    keys = [*range(60), *[7] * 100]
+    rows = spark.createDataFrame([(k, k % 2) for k in keys], "id int, kind int")
+    strata = {"odd": F.col("kind") == 1, "one": F.col("id") == 7}
+    sample = ranking.sample_per_stratum(rows, "id", strata, per_stratum=5, total=20).collect()
+    assert len(sample) == len({r.id for r in sample}) == 20
+    assert sorted(r.stratum for r in sample if r.stratum != "wildcard") == ["odd"] * 5
+
+
+def test_cache_generates_once_per_key(spark):
+    handed = []
+
+    def make(missed):
+        handed.append(missed.count())
+        return missed.select("id", F.col("n").alias("v"))
+
+    rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 0)], "id int, n int")
+    cache = spark.createDataFrame([(2, 9)], "id int, v int")
+    got = joins.cache_lookup(rows, cache, "id", make).collect()
+    assert handed == [1] and {(r.id, r.v, r.cached) for r in got} == {(1, 0, False), (2, 9, True)}

@@ -146,3 +146,21 @@ def test_stream_equals_batch(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("trial_id"))
     want = batch.join(labels, "trial_id", "left_anti")
     assert streamed.exceptAll(want).count() == 0 and want.exceptAll(streamed).count() == 0
+
+
+def test_key_search_with_odd_names(spark):
+    rows = [
+        """{"it's": {"k": 1}}""",
+        """{"OBJECT<a": {"k": 2}}""",
+        """{"what?": [{"k": 3}]}""",
+        """{"it's": {"what?": {"k": 4}}, "b": 1}""",
+    ]
+    assert found(spark, rows) == ["1", "2", "3", "4"]
+    assert found(spark, ["""{"a": {"it's": 5}}""", """{"it's": 6}"""], "it's") == ["5", "6"]
+
+
+def test_harvest_keeps_the_first_copy(spark, tmp_path):
+    page = lambda t, p, v: {"term": t, "page": p, "studies": [{"id": 1, "v": v}, {"id": 1, "v": v + 1}], "nextPageToken": "x"}
+    path = lines(tmp_path / "copies.json", [page(1, 0, 30), page(0, 1, 20), page(0, 0, 10)])
+    rows = records.harvest_pages(spark, path, "struct<id: bigint, v: bigint>", key="id")
+    assert [tuple(r) for r in rows.collect()] == [(1, 10)]
