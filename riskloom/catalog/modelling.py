@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
@@ -20,51 +23,44 @@ from riskloom.streaming.scoring import stream_score as run_stream
 
 QUERIES, ORACLES, query = registry()
 
-# Small fits, so that a query answers in seconds; GbtSettings() holds the full run.
-SMALL = models.GbtSettings(max_iter=4, max_depth=3, patience=2)
-FOLDS = 3
+SETTINGS = models.GbtSettings()
 
-_MADE: dict = {}
 
+@dataclass(frozen=True)
+class Prepared:
+    """Stored gold features and the scaler of their train rows."""
 
-def once(spark, sf, name, make):
-    """One fitted object per application, table folder and name."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MADE:
-        _MADE[key] = make()
-    return _MADE[key]
+    rows: DataFrame
+    scaler: features_.Scaler
 
+    def matrix(self, split):
+        scaled = features_.scale_features(self.rows.filter(F.col("split") == split), self.scaler)
+        return features_.feature_matrix(scaled, columns=C.FEATURES)
 
-def gold(spark, sf):
-    """Labelled features with their split, written once to the shared folder."""
+    def scaled(self, spark, sf):
+        """The feature vectors of all records, labelled or not."""
+        rows = features_.scale_features(X.features(spark, sf), self.scaler)
+        return features_.feature_matrix(rows.drop("terminated"), columns=C.FEATURES)
 
-    def write():
-        folder = shared_folder(spark)
-        X.split_features(spark, sf).write.partitionBy("split").parquet(folder)
-        return folder
 
-    return spark.read.parquet(once(spark, sf, "gold", write))
+def prepare(spark, sf):
+    """Gold: labelled features with their split, stored in files of even size whatever the scan's splits."""
+    folder = shared_folder(spark)
+    even = X.split_features(spark, sf).hint("rebalance", "split").sortWithinPartitions("split", "trial_id")
+    even.write.partitionBy("split").parquet(folder)
+    rows = spark.read.parquet(folder)
+    return Prepared(rows, features_.fit_scaler(rows.filter("split = 'train'")))
 
 
-def scaler(spark, sf):
-    return once(
-        spark, sf, "scaler", lambda: features_.fit_scaler(gold(spark, sf).filter("split = 'train'"))
-    )
+def calibrated(prepared):
+    """The calibrated model and its threshold: loaded if one was stored for these very rows and settings."""
+    train = prepared.matrix("train")
 
+    def fit():
+        model = models.calibrate_isotonic(train, "trial_id", settings=SETTINGS)
+        return model, models.tuned_threshold(model, train, "trial_id")
 
-def matrix(spark, sf, split):
-    rows = gold(spark, sf).filter(F.col("split") == split)
-    scaled = features_.scale_features(rows, scaler(spark, sf))
-    return features_.feature_matrix(scaled, columns=C.FEATURES)
-
-
-def calibrated(spark, sf):
-    return once(
-        spark,
-        sf,
-        "calibrated",
-        lambda: models.calibrate_isotonic(matrix(spark, sf, "train"), "trial_id", FOLDS, SMALL),
-    )
+    return artifacts.stored_model(train.select("trial_id", "label", "features"), f"calibrated {SETTINGS}", fit)
 
 
 # --- features --------------------------------------------------------------
@@ -187,7 +183,9 @@ def whatif_rescore(spark, sf):
 @query()
 def whatif_rescore_trees(spark, sf):
     """The same grid scored by the calibrated trees."""
-    model, fitted = calibrated(spark, sf), scaler(spark, sf)
+    prepared = prepare(spark, sf)
+    fitted = prepared.scaler
+    model, threshold = calibrated(prepared)
 
     def score(rows, output):
         vector = features_.scaled_vector(rows, fitted)
@@ -195,7 +193,7 @@ def whatif_rescore_trees(spark, sf):
 
     base = score(X.features(spark, sf, labelled=False), "now").withColumn("p_text", F.lit(None).cast("double"))
     scored = whatif.whatif_rescore(
-        base, X.SCENARIOS, lambda rows: score(rows, "p_struct").withColumnRenamed("now", "probability"), X.THRESHOLD
+        base, X.SCENARIOS, lambda rows: score(rows, "p_struct").withColumnRenamed("now", "probability"), threshold
     )
     return scored.select("trial_id", "scenario_id", "new_probability", "new_tier", "delta", "direction")
 
@@ -299,37 +297,43 @@ def nl_summary(spark, sf):
     )
 
 
-# --- fitted models (rows only) ---------------------------------------------
+# --- fitted models ---------------------------------------------
 
 
 @query()
 def train_gbt(spark, sf):
-    train = matrix(spark, sf, "train")
+    """The documented run, always fitted anew; ``trees`` tells how many rounds were kept."""
+    prepared = prepare(spark, sf)
+    train = prepared.matrix("train")
     fold = ranking.fold_of(F.col("trial_id"))
-    model = models.train_gbt(train.filter(fold != 0), train.filter(fold == 0), SMALL)
-    scored = models.positive_probability(model.transform(matrix(spark, sf, "test")), "gbt_probability", "p")
+    model = models.train_gbt(train.filter(fold != 0), train.filter(fold == 0), SETTINGS)
+    scored = models.positive_probability(model.transform(prepared.matrix("test")), "gbt_probability", "p")
     return scored.select("trial_id", "label", "p", F.lit(model.getNumTrees).alias("trees"))
 
 
 @query()
 def calibrate_isotonic(spark, sf):
-    return calibrated(spark, sf).transform(matrix(spark, sf, "test")).select("trial_id", "label", "probability")
+    prepared = prepare(spark, sf)
+    model, _ = calibrated(prepared)
+    return model.transform(prepared.matrix("test")).select("trial_id", "label", "probability")
 
 
 @query()
 def score_records(spark, sf):
-    rows = features_.scale_features(X.features(spark, sf), scaler(spark, sf))
-    assembled = features_.feature_matrix(rows.drop("terminated"), columns=C.FEATURES)
-    scored = models.score_records(assembled, calibrated(spark, sf), X.THRESHOLD)
+    prepared = prepare(spark, sf)
+    scored = models.score_records(prepared.scaled(spark, sf), *calibrated(prepared))
     return scored.select("trial_id", "probability", "risk_tier", "risk_color", "confidence_pct")
 
 
 def _model_round_trip(spark, sf):
+    """Every record scored by the model and by what was written and read back."""
     folder = shared_folder(spark)
-    artifacts.model_sink(calibrated(spark, sf), folder)
+    prepared = prepare(spark, sf)
+    model, _ = calibrated(prepared)
+    artifacts.model_sink(model, folder)
     loaded = artifacts.model_scan(folder)
-    again = loaded.transform(matrix(spark, sf, "test")).withColumnRenamed("probability", "reloaded")
-    return calibrated(spark, sf).transform(again).select("trial_id", "probability", "reloaded")
+    again = loaded.transform(prepared.scaled(spark, sf)).withColumnRenamed("probability", "reloaded")
+    return model.transform(again).select("trial_id", "probability", "reloaded")
 
 
 @query()
@@ -337,7 +341,7 @@ def model_sink(spark, sf):
     return _model_round_trip(spark, sf)
 
 
-@query()
+@query("select count(*) as n, 0.0::DOUBLE as largest_gap from documents")
 def model_scan(spark, sf):
     rows = _model_round_trip(spark, sf)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("probability") - F.col("reloaded"))).alias("largest_gap"))
@@ -361,21 +365,23 @@ def text_classifier(spark, sf):
 @query()
 def ablation_compare(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("trial_id"), "embedding")
-    scaled = features_.scale_features(
-        gold(spark, sf), scaler(spark, sf), keep=("trial_id", "terminated", "split")
-    )
+    prepared = prepare(spark, sf)
+    scaled = features_.scale_features(prepared.rows, prepared.scaler, keep=("trial_id", "terminated", "split"))
     joined = scaled.join(vectors, "trial_id").select(
         F.col("terminated").cast("double").alias("label"),
         "split",
         F.array(*[F.col(c).cast("double") for c in C.FEATURES]).alias("structured"),
         F.col("embedding").cast("array<double>").alias("text"),
     )
+    folder = shared_folder(spark)
+    joined.hint("rebalance", "split").write.partitionBy("split").parquet(folder)
+    joined = spark.read.parquet(folder)
     columns = {"text": F.col("text"), "structured": F.col("structured"), "combined": F.concat("text", "structured")}
     sets = {}
     for name, column in columns.items():
         rows = joined.select("label", "split", array_to_vector(column).alias("features"))
         sets[name] = (rows.filter("split = 'train'"), rows.filter("split = 'test'"))
-    return models.ablation_compare(sets, SMALL)
+    return models.ablation_compare(sets, SETTINGS)
 
 
 @query()
@@ -386,18 +392,18 @@ def embed_texts(spark, sf):
 
 @query()
 def tree_attributions(spark, sf):
-    members = models.gbt_members(calibrated(spark, sf))
-    rows = matrix(spark, sf, "test").select("trial_id", "features")
-    return explain.tree_attributions(rows, members)
+    prepared = prepare(spark, sf)
+    model, _ = calibrated(prepared)
+    rows = prepared.scaled(spark, sf).select("trial_id", "features")
+    return explain.tree_attributions(rows, models.gbt_members(model))
 
 
 @query()
 def explain_batch(spark, sf):
     """Score, attribute and summarise every record, stored by key and read back."""
-    rows = features_.scale_features(X.features(spark, sf), scaler(spark, sf))
-    assembled = features_.feature_matrix(rows.drop("terminated"), columns=C.FEATURES)
-    model = calibrated(spark, sf)
-    scored = models.score_records(assembled, model, X.THRESHOLD)
+    prepared = prepare(spark, sf)
+    model, threshold = calibrated(prepared)
+    scored = models.score_records(prepared.scaled(spark, sf), model, threshold)
     folder = shared_folder(spark)
     artifacts.json_artifact_sink(explain.explain_batch(scored, models.gbt_members(model)), folder)
     return artifacts.json_artifact_scan(spark, folder, EXPLAINED)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
@@ -20,7 +21,8 @@ from riskloom.functions.numbers import whole_percent
 from riskloom.operators import curves
 from riskloom.operators.ranking import fold_of
 
-CALIBRATION_PLACES = 4
+#: Models fitted at the same time; a fit on few rows is a chain of short jobs.
+PARALLEL_FITS = 5
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,15 @@ def patience_prefix(losses: Sequence[float], patience: int) -> int:
     return at + 1
 
 
+def side_by_side(make: Callable, over: Sequence, parallel: int = PARALLEL_FITS) -> list:
+    """``make`` of every item, ``parallel`` of them at the same time, in the order of the items."""
+    pool = ThreadPool(max(1, min(parallel, len(over))))
+    try:
+        return pool.map(inheritable_thread_target(SparkSession.active())(make), over)
+    finally:
+        pool.close()
+
+
 def train_gbt(
     train: DataFrame, validation: DataFrame | None = None, settings: GbtSettings = GbtSettings()
 ) -> GBTClassificationModel:
@@ -114,33 +125,33 @@ def calibrate_isotonic(
     """Cross-fitted isotonic calibration as one saved pipeline.
 
     Each fold refits the trees on the other folds and calibrates on its own
-    rows; the probability is the mean over folds. Held-out scores are reduced
-    to one weighted cell per rounded score first, so the part of the isotonic
-    fit that runs on the driver sees at most 10,001 cells at any scale.
+    rows; the probability is the mean over folds. Equal held-out scores are one
+    weighted cell. Spark pools the cells of each partition, and finishes on
+    what is left of all of them. The folds are fitted side by side.
     """
     folded = train.withColumn("_fold", fold_of(F.col(key), folds, seed)).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    stages = []
+
+    def fit(k: int) -> list:
+        names = {
+            "predictionCol": f"class_{k}",
+            "probabilityCol": f"probability_{k}",
+            "rawPredictionCol": f"margin_{k}",
+        }
+        part = weigh_positives(folded.filter(F.col("_fold") != k))
+        model = settings.estimator(**names).fit(part)
+        held = model.transform(folded.filter(F.col("_fold") == k))
+        cells = held.groupBy(vector_to_array(f"probability_{k}")[1].alias("score")).agg(
+            F.avg("label").alias("label"), F.count("label").cast("double").alias("weight")
+        )
+        isotonic = IsotonicRegression(
+            featuresCol="score", labelCol="label", weightCol="weight", predictionCol=f"calibrated_{k}"
+        ).fit(cells)
+        return [model, isotonic.setFeaturesCol(f"probability_{k}").setFeatureIndex(1)]
+
     try:
-        for k in range(folds):
-            names = {
-                "predictionCol": f"class_{k}",
-                "probabilityCol": f"probability_{k}",
-                "rawPredictionCol": f"margin_{k}",
-            }
-            part = weigh_positives(folded.filter(F.col("_fold") != k))
-            model = settings.estimator(**names).fit(part)
-            held = model.transform(folded.filter(F.col("_fold") == k))
-            score = F.round(vector_to_array(f"probability_{k}")[1], CALIBRATION_PLACES)
-            cells = held.groupBy(score.alias("score")).agg(
-                F.avg("label").alias("label"), F.count("label").cast("double").alias("weight")
-            )
-            isotonic = IsotonicRegression(
-                featuresCol="score", labelCol="label", weightCol="weight", predictionCol=f"calibrated_{k}"
-            ).fit(cells)
-            isotonic.setFeaturesCol(f"probability_{k}").setFeatureIndex(1)
-            stages += [model, isotonic]
+        stages = [stage for pair in side_by_side(fit, range(folds)) for stage in pair]
     finally:
         folded.unpersist()
     mean = " + ".join(f"calibrated_{k}" for k in range(folds))
@@ -153,6 +164,37 @@ def calibrate_isotonic(
     return PipelineModel([*stages, average])
 
 
+def held_out_scores(
+    model: PipelineModel, train: DataFrame, key: str, folds: int = 5, seed: int = C.SEED
+) -> DataFrame:
+    """(key, label, probability): each train row scored by the member that was not fitted on it.
+
+    ``folds`` and ``seed`` are those of :func:`calibrate_isotonic`.
+    """
+    parts = []
+    for k in range(folds):
+        rows = train.filter(fold_of(F.col(key), folds, seed) == k)
+        trees, isotonic = model.stages[2 * k : 2 * k + 2]
+        scored = isotonic.transform(trees.transform(rows))
+        parts.append(scored.select(key, "label", F.col(f"calibrated_{k}").alias("probability")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def tuned_threshold(
+    model: PipelineModel, train: DataFrame, key: str, folds: int = 5, seed: int = C.SEED, default: float = 0.5
+) -> float:
+    """The threshold of the best F1 on held-out scores; ``default`` without positives."""
+    scores = held_out_scores(model, train, key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        best = curves.best_f1_threshold(scores, "probability", "label").first()
+    finally:
+        scores.unpersist()
+    return best["threshold"] if best and best["f1"] else default
+
+
 def gbt_members(model: PipelineModel) -> list[GBTClassificationModel]:
     return [s for s in model.stages if isinstance(s, GBTClassificationModel)]
 
@@ -229,10 +271,10 @@ def ablation_compare(
     threshold: float = 0.5,
     train: Callable[[DataFrame, DataFrame | None, GbtSettings], GBTClassificationModel] = train_gbt,
 ) -> DataFrame:
-    """Same training on several feature sets; one row of test metrics per set."""
+    """Same training on several feature sets, side by side; one row of test metrics per set."""
     parts = []
-    for name, (train_rows, test_rows) in sets.items():
-        model = train(train_rows, None, settings)
+    fitted = side_by_side(lambda rows: train(rows[0], None, settings), list(sets.values()))
+    for (name, (_, test_rows)), model in zip(sets.items(), fitted, strict=True):
         scored = positive_probability(model.transform(test_rows), "gbt_probability", "p")
         area = curves.auroc(scored, "p", "label").first()["auroc"]
         parts.append(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import shared_folder
+
 
 def json_artifact_sink(rows: DataFrame, path: str) -> None:
     rows.write.option("ignoreNullFields", False).json(path)
@@ -53,3 +59,33 @@ def model_sink(model: PipelineModel, path: str) -> None:
 
 def model_scan(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+STORED = "kind string, rows bigint, mark string, threshold double, path string"
+
+
+def stored_model(
+    train: DataFrame, kind: str, fit: Callable[[], tuple[PipelineModel, float]]
+) -> tuple[PipelineModel, float]:
+    """The model stored for ``kind`` and these train rows, with its threshold; fitted and stored if there is none.
+
+    Models are listed as JSON records in the application's part of the shared
+    folder. A record holds the number and the hash sum of the train rows, so
+    that other rows never meet an old fit, and is written after its model.
+    """
+    spark = train.sparkSession
+    index = f"{shared_folder(spark).rpartition('/')[0]}/riskloom-models-{spark.sparkContext.applicationId}"
+    values = [vector_to_array(f.name) if isinstance(f.dataType, VectorUDT) else F.col(f.name) for f in train.schema]
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*values).cast("decimal(38,0)")).alias("mark")).first()
+    known = json_artifact_scan(spark, index, STORED).filter(
+        (F.col("kind") == kind) & (F.col("rows") == seen["n"]) & (F.col("mark") == str(seen["mark"]))
+    )
+    found = known.orderBy("path").first()
+    if found:
+        return model_scan(found["path"]), found["threshold"]
+    model, threshold = fit()
+    path = shared_folder(spark)
+    model_sink(model, path)
+    record = [(kind, seen["n"], str(seen["mark"]), float(threshold), path)]
+    spark.createDataFrame(record, STORED).write.mode("append").json(index)
+    return model, threshold
