@@ -1,5 +1,8 @@
 """Times the headline queries on whole tables and prints one JSON line.
 
+The documented model fits run for minutes and are timed once, without warm-up.
+The scoring queries after them load the model that calibrate_isotonic stored.
+
 BENCH_SF_DIR names the table folder, BENCH_CPUS the local cores, BENCH_REPEATS
 the timed runs per query after one warm-up run (the median counts).
 """
@@ -16,6 +19,7 @@ import time
 from riskloom.catalog import QUERIES
 from riskloom.session import build_session
 
+FITS = ["train_gbt", "calibrate_isotonic"]
 HEADLINE = [
     "engineer_features",
     "median_by_group",
@@ -32,7 +36,6 @@ HEADLINE = [
     "whatif_rescore",
     "flatten_records",
     "cache_lookup",
-    "train_gbt",
     "explain_batch",
 ]
 
@@ -57,6 +60,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
+    for name in FITS:
+        seconds[name] = round(run(spark, folder, name), 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     for name in HEADLINE:
         run(spark, folder, name)
         seconds[name] = round(statistics.median(run(spark, folder, name) for _ in range(repeats)), 3)

@@ -123,7 +123,7 @@ def csv_records_scan(spark, sf):
         F.concat(F.lit("PHASE"), F.col("phase_encoded").cast("int").cast("string")).alias("Phases"),
     )
     records.write_csv(upload, folder)
-    found = records.csv_records(records.read_csv(spark, folder), keep=["trial_id"])
+    found = records.csv_records(records.read_csv(spark, folder, line_breaks=True), keep=["trial_id"])
     return found.withColumn("body_md5", F.md5("text")).drop("text")
 
 

@@ -192,11 +192,17 @@ def flat_record_table(fields: DataFrame) -> DataFrame:
 # --- uploads ---------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """CSV with a header and quoted line breaks, every value as text unless a schema is given."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, line_breaks: bool = False
+) -> DataFrame:
+    """CSV with a header, every value as text unless a schema is given.
+
+    Files are split among tasks. ``line_breaks`` allows quoted line breaks; a
+    file is then read by one task, since no task can tell where a line ends.
+    """
     reader = spark.read.options(
         header=True,
-        multiLine=True,
+        multiLine=line_breaks,
         quote='"',
         escape='"',
         ignoreLeadingWhiteSpace=False,

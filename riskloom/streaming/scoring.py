@@ -17,18 +17,24 @@ def stream_score(
     checkpoint: str,
     cached: DataFrame | None = None,
     key: str = "trial_id",
+    files_per_batch: int = 1000,
 ) -> None:
     """Score the files that arrived in ``source`` and append the results to ``target``.
 
-    The query is stateless: fitted medians and scaler are part of ``score``, and
-    records whose key is already cached are skipped by a stream-static anti join.
-    The checkpoint makes every file count once, also after a restart.
+    Fitted medians and scaler are part of ``score``. Records whose key is
+    already cached are skipped by a stream-static anti join, and a key that
+    arrives again, in the same or a later file, is stored once: the state
+    holds the keys stored so far, and only narrow results are shuffled for it.
+    Records without a key are one key. A backlog is worked off in batches of
+    ``files_per_batch`` files. The checkpoint makes every file count once,
+    also after a restart.
     """
-    arriving = spark.readStream.schema(schema).parquet(source)
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     if cached is not None:
         arriving = arriving.join(cached.select(key), key, "left_anti")
     query = (
         score(arriving)
+        .dropDuplicates([key])
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

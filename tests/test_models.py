@@ -59,6 +59,33 @@ def test_reloaded_model_scores_equal(spark, matrix, calibrated):
     assert gap == 0.0
 
 
+def test_stored_model_belongs_to_its_rows(spark, matrix, calibrated):
+    fits = []
+
+    def fit():
+        fits.append(1)
+        return calibrated, 0.3
+
+    rows = matrix.select("id", "label", "features")
+    score = lambda model: model.transform(matrix).agg(F.sum("probability")).first()[0]
+    first, _ = artifacts.stored_model(rows, "a", fit)
+    again, threshold = artifacts.stored_model(rows, "a", fit)
+    assert len(fits) == 1 and threshold == 0.3
+    assert score(again) == pytest.approx(score(first))
+    artifacts.stored_model(rows.filter("id > 0"), "a", fit)
+    artifacts.stored_model(rows, "b", fit)
+    assert len(fits) == 3
+
+
+def test_threshold_comes_from_held_out_rows(matrix, calibrated):
+    held = models.held_out_scores(calibrated, matrix, "id", 3)
+    assert held.count() == held.select("id").distinct().count() == 400
+    threshold = models.tuned_threshold(calibrated, matrix, "id", 3)
+    rows = held.toPandas()
+    f1 = lambda t: 2 * ((rows.probability >= t) & (rows.label == 1)).sum() / ((rows.probability >= t).sum() + (rows.label == 1).sum())
+    assert f1(threshold) == pytest.approx(max(f1(t) for t in rows.probability.unique()))
+
+
 def margin(leaves, x, known):
     """Expected margin of a row when only some features are known."""
     total = 0.0

@@ -70,7 +70,7 @@ def test_csv_uploads(spark, tmp_path):
         'A,"line one\nline ""two""",short,"1,234",PHASE3,true\n'
         ',multi-center study,nan,lots,,\n'
     )
-    rows = records.csv_records(records.read_csv(spark, str(path))).orderBy("enrollment").collect()
+    rows = records.csv_records(records.read_csv(spark, str(path), line_breaks=True)).orderBy("enrollment").collect()
     second, first = rows
     assert first.text == '--- DETAILED DESCRIPTION ---\nline one\nline "two"\n\n--- BRIEF SUMMARY ---\nshort'
     assert (first.title, first.enrollment, first.phase, first.multicenter, first.has_placebo) == ("A", 1234, "Phase 3", False, True)
@@ -81,7 +81,7 @@ def test_csv_uploads(spark, tmp_path):
 def test_csv_without_text_columns(spark, tmp_path):
     path = tmp_path / "u.csv"
     path.write_text("x,title\n1,T\n")
-    row = records.csv_records(records.read_csv(spark, str(path))).first()
+    row = records.csv_records(records.read_csv(spark, str(path), line_breaks=True)).first()
     assert json.loads(row.text) == {"x": "1", "title": "T"} and row.title == "T"
 
 
@@ -164,3 +164,30 @@ def test_harvest_keeps_the_first_copy(spark, tmp_path):
     path = lines(tmp_path / "copies.json", [page(1, 0, 30), page(0, 1, 20), page(0, 0, 10)])
     rows = records.harvest_pages(spark, path, "struct<id: bigint, v: bigint>", key="id")
     assert [tuple(r) for r in rows.collect()] == [(1, 10)]
+
+
+def test_a_key_that_arrives_again_is_stored_once(spark, tmp_path):
+    from riskloom.streaming.scoring import stream_score
+
+    source, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    rows = lambda *ids: spark.createDataFrame([(i, float(i)) for i in ids], "trial_id long, x double")
+    score = lambda arriving: arriving.withColumn("p", F.col("x") / 10)
+    for ids in ((1, 2, 2), (2, 3), (1, 4)):
+        rows(*ids).coalesce(1).write.mode("append").parquet(source)
+        stream_score(spark, source, rows(1).schema, score, target, checkpoint, rows(4), files_per_batch=1)
+    assert sorted(r["trial_id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = tmp_path / "numbers.csv"
+    path.write_text("a,b\n" + "".join(f"{i},{i / 2}\n" for i in range(20_000)))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "20000")
+    try:
+        table = records.read_csv(spark, str(path), "a int, b double")
+        assert table.rdd.getNumPartitions() > 5
+        assert table.agg(F.count(F.lit(1)), F.sum("a")).first() == (20_000, sum(range(20_000)))
+        assert records.read_csv(spark, str(path), "a int, b double", True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set(size, before)
