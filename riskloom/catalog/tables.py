@@ -99,11 +99,11 @@ def combine_features(spark, sf):
     return combined.select("trial_id", F.posexplode("combined").alias("place", "value"))
 
 
-@query(f"""with {T}, m as (select phase_encoded, median(enrollment_count) as m from t where enrollment_count > 0 and phase_encoded > 0 group by 1)
+@query(f"""with {T}, m as (select phase_encoded, median(enrollment_count) as m from t where enrollment_count > 0 group by 1)
 select trial_id, coalesce(m, 150.0)::DOUBLE as median_value from t left join m using (phase_encoded)""")
 def dimension_default_lookup(spark, sf):
     rows = t(spark, sf).select("trial_id", "phase_encoded", "enrollment_count")
-    known = aggregates.median_by_group(rows.filter("phase_encoded > 0"), "phase_encoded", "enrollment_count")
+    known = aggregates.median_by_group(rows, "phase_encoded", "enrollment_count")
     looked = joins.dimension_default_lookup(rows, known, "phase_encoded", "median_value", 150.0)
     return looked.select("trial_id", "median_value")
 
@@ -212,8 +212,8 @@ def class_balance(spark, sf):
     return aggregates.class_balance(table(spark, sf, "orders"), label)
 
 
-PROFILE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
-_SPARK_TYPES = {"l_linenumber": "int", "l_partkey": "bigint"}
+PROFILE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"]
+_SPARK_TYPES = {"l_linenumber": "int", "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint"}
 
 
 @query(" union all ".join(

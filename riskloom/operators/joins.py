@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as C
 from riskloom.plans.lookup import lookup_join, map_default, pin_small
+from riskloom.session import shared_folder
+from riskloom.sources.artifacts import json_artifact_scan, json_artifact_sink
 
 
 def exclude_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:
@@ -62,6 +64,25 @@ def cache_lookup(
     return hits.unionByName(made)
 
 
+def cached_or_generated(
+    rows: DataFrame, path: str, schema: str, key: str, generate: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """:func:`cache_lookup` in the JSON cache at ``path``; what was generated is added to the cache.
+
+    The results are stored before the cache grows, so each missed key is
+    generated once. A missing cache is empty; ``schema`` declares its columns.
+    """
+    spark = rows.sparkSession
+    found = cache_lookup(rows, json_artifact_scan(spark, path, schema), key, generate)
+    folder = shared_folder(spark)
+    found.write.parquet(folder)
+    stored = spark.read.schema(found.schema).parquet(folder)
+    fresh = stored.filter("not cached").drop("cached")
+    if not fresh.isEmpty():
+        json_artifact_sink(fresh, path, "append")
+    return stored
+
+
 def combine_features(vectors: DataFrame, vector: str, table: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Append structured columns to a vector, joined on the key.
 

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from riskloom.session import shared_folder
 
 
-def json_artifact_sink(rows: DataFrame, path: str) -> None:
-    rows.write.option("ignoreNullFields", False).json(path)
+def json_artifact_sink(rows: DataFrame, path: str, mode: str = "error") -> None:
+    rows.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def json_artifact_scan(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -191,3 +191,23 @@ def test_csv_without_line_breaks_is_split(spark, tmp_path):
         assert records.read_csv(spark, str(path), "a int, b double", True).rdd.getNumPartitions() == 1
     finally:
         spark.conf.set(size, before)
+
+
+def test_the_cache_keeps_what_was_generated(spark, tmp_path):
+    from riskloom.operators.joins import cached_or_generated
+
+    path, asked = str(tmp_path / "cache"), []
+
+    def generate(missed):
+        asked.append(missed.count())
+        return missed.select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("reply"))
+
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    look = lambda table: cached_or_generated(table, path, "id long, reply string", "id", generate)
+    answers = lambda table: sorted((r["id"], r["reply"], r["cached"]) for r in look(table).collect())
+    assert answers(rows) == [(1, "text 1", False), (2, "text 2", False)]
+    assert answers(rows) == [(1, "text 1", True), (2, "text 2", True)]
+    more = rows.unionByName(spark.createDataFrame([(3,)], "id long"))
+    assert answers(more) == [(1, "text 1", True), (2, "text 2", True), (3, "text 3", False)]
+    assert asked == [2, 0, 1]
+    assert artifacts.json_artifact_scan(spark, path, "id long, reply string").count() == 3
