@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import partitions, settle
 
@@ -77,8 +78,8 @@ def squares(x: np.ndarray) -> np.ndarray:
 LINKS = "node long, other long, distance double"
 
 
-def nearest_in_cell(cell: pa.Table, degree: int) -> pa.Table:
-    nodes, x = cell["node"].to_numpy(), stacked(cell["vector"])
+def nearest_in_cell(cell: pa.Table, degree: int, kind: str) -> pa.Table:
+    nodes, x = cell["node"].to_numpy(), stacked(cell["vector"], kind)
     if len(nodes) < 2:
         return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
     apart = squares(x)
@@ -88,13 +89,13 @@ def nearest_in_cell(cell: pa.Table, degree: int) -> pa.Table:
     return pa.table({"node": np.repeat(nodes, k), "other": nodes[best].ravel(), "distance": np.take_along_axis(apart, best, 1).ravel()})
 
 
-def first_links(nodes: DataFrame, count: int, degree: int, seed: int) -> DataFrame:
+def first_links(nodes: DataFrame, count: int, degree: int, seed: int, kind: str) -> DataFrame:
     """Exact nearest vectors within cells of random hyperplanes, cells of more than ``CELL`` split by hash."""
     bits = max(0, int(np.ceil(np.log2(max(1, count / CELL)))))
 
     def sides(batches):
         for batch in batches:
-            x = stacked(batch.column("vector"))
+            x = stacked(batch.column("vector"), kind)
             for turn in range(CELLS):
                 planes = np.random.default_rng(seed + turn).standard_normal((x.shape[1], bits))
                 codes = (x @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
@@ -105,7 +106,7 @@ def first_links(nodes: DataFrame, count: int, degree: int, seed: int) -> DataFra
     coded = settle(nodes.mapInArrow(sides, "node long, vector binary, code long"))
     sizes = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * CELL)).alias("parts"))
     cells = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", "code"), F.col("parts")))
-    return cells.groupBy("code", "part").applyInArrow(lambda cell: nearest_in_cell(cell, degree), LINKS)
+    return cells.groupBy("code", "part").applyInArrow(lambda cell: nearest_in_cell(cell, degree, kind), LINKS)
 
 
 def best_links(links: DataFrame, degree: int) -> DataFrame:
@@ -141,17 +142,19 @@ def local_join(cell: pa.Table, degree: int) -> pa.Table:
     return pa.Table.from_pandas(frame, preserve_index=False)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def build_graph(
+    nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = SEED, kind: str = "<f4"
+) -> DataFrame:
     """(node, other, distance): about the ``degree`` nearest nodes of every node.
 
-    ``nodes`` has (node, vector as bytes). In each round a centre brings
+    ``nodes`` has (node, vector as bytes of numbers of ``kind``). In each round a centre brings
     together its neighbours and at most as many, chosen by hash, of those that
     count it as theirs. Distances are squared; they are of vectors in half
     precision and choose links only.
     """
     count = nodes.count()
-    half = settle(nodes.mapInArrow(halve, "node long, vector binary"))
-    links = settle(best_links(first_links(nodes, count, degree, seed), degree))
+    half = settle(nodes.mapInArrow(halve(kind), "node long, vector binary"))
+    links = settle(best_links(first_links(nodes, count, degree, seed, kind), degree))
     groups = max(partitions(nodes.sparkSession), count // 500)
     known = None
     for turn in range(rounds):
@@ -172,22 +175,31 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, se
     return links
 
 
-def halve(batches):
-    for batch in batches:
-        values = [np.frombuffer(v, "<f4").astype("<f2").tobytes() for v in batch.column("vector").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.binary())], ["node", "vector"])
+def halve(kind: str):
+    def half(batches):
+        for batch in batches:
+            values = [np.frombuffer(v, kind).astype("<f2").tobytes() for v in batch.column("vector").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.binary())], ["node", "vector"])
+
+    return half
+
+
+def gap(kind: str):
+    """Euclidean distance of two vectors as bytes of numbers of ``kind``, in double precision."""
 
+    def apart(left: pd.Series, right: pd.Series) -> pd.Series:
+        if not len(left):
+            return pd.Series([], dtype=float)
+        a = np.frombuffer(b"".join(left), kind).reshape(len(left), -1).astype(np.float64)
+        b = np.frombuffer(b"".join(right), kind).reshape(len(right), -1).astype(np.float64)
+        return pd.Series(np.sqrt(((a - b) ** 2).sum(axis=1)))
 
-def gap(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Euclidean distance of two vectors as bytes, in double precision."""
-    if not len(left):
-        return pd.Series([], dtype=float)
-    a = np.frombuffer(b"".join(left), "<f4").reshape(len(left), -1).astype(np.float64)
-    b = np.frombuffer(b"".join(right), "<f4").reshape(len(right), -1).astype(np.float64)
-    return pd.Series(np.sqrt(((a - b) ** 2).sum(axis=1)))
+    return F.pandas_udf(apart, "double")
 
 
-def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = MOST_HOPS) -> DataFrame:
+def search(
+    nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = MOST_HOPS, kind: str = "<f4"
+) -> DataFrame:
     """(query, node, distance): the ``beam`` nearest nodes found for each query.
 
     ``queries`` has (query, start): the node at which the search starts. In
@@ -199,7 +211,7 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, beam: int = B
     pool = wanted.select("query", F.col("start").alias("node"), F.lit(0.0).alias("distance"), F.lit(False).alias("done"))
     order = Window.partitionBy("query").orderBy("distance", "node")
     pool = settle(pool)
-    measured = F.pandas_udf(gap, "double")
+    measured = gap(kind)
     for _ in range(hops):
         front = pool.filter("not done").select("query", "node")
         reached = front.join(graph, "node").select("query", F.col("other").alias("node")).distinct()
@@ -223,12 +235,13 @@ def nearest(
     give fewer rows; empty tables none.
     """
     rows = settle(usable(vectors, key, vector))
+    kind = "<f4" if rows.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
     members = settle(nodes_of(rows, wanted + 1))
-    nodes = settle(packed(members.filter("vec_id = node"), ["node"]))
-    links = build_graph(nodes, **how)
+    nodes = settle(packed(members.filter("vec_id = node"), ["node"], kind))
+    links = build_graph(nodes, kind=kind, **how)
     asked = rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query")
     queries = asked.join(members.filter("vec_id = node").select("node", "vector"), "vector").select("query", F.col("node").alias("start"))
-    found = search(nodes, links, queries)
+    found = search(nodes, links, queries, kind=kind)
     named = found.join(members.select("node", "vec_id"), "node").filter("vec_id <> query")
     order = Window.partitionBy("query").orderBy("distance", "vec_id")
     ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted)

@@ -374,3 +374,13 @@ def test_pipeline(spark, library):
     whole = {k: library.encode(texts[k], add_special_tokens=False).ids for k in heads if not brute.secret_spans(texts[k])}
     same = [r for r in coded if r["doc_id"] in whole and np.frombuffer(r["ids"], "<u4").tolist() == whole[r["doc_id"]]]
     assert same and all(r["n_tokens"] == len(r["ids"]) // 4 for r in coded)
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.default_rng(5)
+    x = 1 + rng.normal(size=(40, 6)) * 1e-3
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(40)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, every=20, wanted=39).collect()
+    assert len(found) == 2 * 39
+    for row in found:
+        assert row["score"] == pytest.approx(np.sqrt(((x[row["query_id"]] - x[row["vec_id"]]) ** 2).sum()), rel=1e-12)
