@@ -32,6 +32,19 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text):
+    found = words((text or "").translate(UPPER))
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def jaccard(a, b):
+    if not a or not b:
+        return float(a == b)
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return 0.0
+    return len(a & b) / len(a | b)
+
+
 def groups(values, near):
     """Smallest member reachable over ``near`` for each of ``values`` (pairs of id and value)."""
     head = {i: i for i, _ in values}
