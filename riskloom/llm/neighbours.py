@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: a graph by NN-descent, searched greedily.
 
-The graph starts from exact lists within random cells. Each round joins every
+The graph starts from exact lists within random cells of about equal size; who
+is left with too few gets the nearest of the pivots. Each round joins every
 vector with the neighbours of its neighbours, and keeps what is nearer. A
 search starts at the query's own place in the graph and follows the links of
 the nearest vectors found so far until none of them is new.
@@ -21,6 +22,8 @@ DEGREE = 24
 ROUNDS = 4
 #: Random partitions for the first lists, and vectors in a cell of one.
 CELLS, CELL = 3, 1000
+#: About so many vectors, chosen by hash, say where cells are cut and are links for who has too few.
+PIVOTS = 1000
 #: Nearest vectors of a search that are followed.
 BEAM = 96
 MOST_HOPS = 12
@@ -89,16 +92,51 @@ def nearest_in_cell(cell: pa.Table, degree: int, kind: str) -> pa.Table:
     return pa.table({"node": np.repeat(nodes, k), "other": nodes[best].ravel(), "distance": np.take_along_axis(apart, best, 1).ravel()})
 
 
+def pivots_of(nodes: DataFrame, count: int, seed: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and vectors of about ``PIVOTS`` nodes; all if there are no more."""
+    chosen = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(count, 1))) < PIVOTS
+    found = nodes.filter(chosen).select("node", "vector").orderBy("node").toArrow()
+    return found["node"].to_numpy(), stacked(found["vector"], kind)
+
+
+def pivot_links(nodes: DataFrame, pivots: np.ndarray, at: np.ndarray, degree: int, kind: str) -> DataFrame:
+    """Links of every node to the ``degree`` nearest pivots."""
+
+    def link(batches):
+        for batch in batches:
+            own, x = batch.column("node").to_numpy(), stacked(batch.column("vector"), kind)
+            for first in range(0, len(own), 256):
+                names, part = own[first : first + 256], x[first : first + 256]
+                apart = np.maximum((part * part).sum(axis=1)[:, None] + (at * at).sum(axis=1)[None, :] - 2 * (part @ at.T), 0)
+                apart[names[:, None] == pivots[None, :]] = np.inf
+                best = np.argsort(apart, axis=1)[:, :degree]
+                near = np.take_along_axis(apart, best, 1)
+                there = np.isfinite(near)
+                columns = np.broadcast_to(names[:, None], best.shape)[there], pivots[best][there], near[there]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "other", "distance"])
+
+    return nodes.select("node", "vector").mapInArrow(link, LINKS)
+
+
 def first_links(nodes: DataFrame, count: int, degree: int, seed: int, kind: str) -> DataFrame:
-    """Exact nearest vectors within cells of random hyperplanes, cells of more than ``CELL`` split by hash."""
+    """Exact nearest vectors within cells of random hyperplanes, cells of more than ``CELL`` split by hash.
+
+    Each hyperplane halves the pivots, wherever the vectors point. Nodes with
+    fewer than ``degree`` links get those to the nearest pivots.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, count / CELL)))))
+    pivots, at = pivots_of(nodes, count, seed, kind) if bits else (None, None)
+    cuts = []
+    for turn in range(CELLS if bits else 0):
+        planes = np.random.default_rng(seed + turn).standard_normal((at.shape[1], bits)) if len(pivots) else np.zeros((0, bits))
+        cuts.append(np.median(at @ planes, axis=0) if len(pivots) else np.zeros(bits))
 
     def sides(batches):
         for batch in batches:
             x = stacked(batch.column("vector"), kind)
             for turn in range(CELLS):
                 planes = np.random.default_rng(seed + turn).standard_normal((x.shape[1], bits))
-                codes = (x @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
+                codes = (x @ planes > cuts[turn]) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), batch.column("vector"), pa.array(codes * CELLS + turn, pa.int64())], ["node", "vector", "code"]
                 )
@@ -106,7 +144,13 @@ def first_links(nodes: DataFrame, count: int, degree: int, seed: int, kind: str)
     coded = settle(nodes.mapInArrow(sides, "node long, vector binary, code long"))
     sizes = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * CELL)).alias("parts"))
     cells = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", "code"), F.col("parts")))
-    return cells.groupBy("code", "part").applyInArrow(lambda cell: nearest_in_cell(cell, degree, kind), LINKS)
+    links = cells.groupBy("code", "part").applyInArrow(lambda cell: nearest_in_cell(cell, degree, kind), LINKS)
+    if not bits or not len(pivots):
+        return links
+    links = settle(links)
+    served = links.select("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= degree)
+    poor = nodes.join(served.select("node"), "node", "left_anti")
+    return links.unionByName(pivot_links(poor, pivots, at, degree, kind))
 
 
 def best_links(links: DataFrame, degree: int) -> DataFrame:

@@ -409,3 +409,30 @@ def test_near_dedup_stage_by_jaccard(spark, odd_docs, no_docs):
     assert odd.columns == odd_docs.columns
     assert sorted(r["doc_id"] or 0 for r in odd.collect()) == [0, 0, 1, 1, 2, 5, 6, 7, 8, 9]
     assert corpus_pipeline.near_dedup(spark, no_docs, "").count() == 0
+
+
+def brute_recall(found, ids, x, every):
+    """Share of the true ten nearest found, and the fewest rows of a query."""
+    by_query = found.groupby("query_id").vec_id.agg(set).to_dict()
+    hits, asked = [], [i for i in range(len(ids)) if ids[i] % every == 0]
+    for i in asked:
+        apart = ((x - x[i]) ** 2).sum(axis=1)
+        apart[i] = np.inf
+        hits.append(len(set(ids[np.lexsort((ids, apart))[:10]]) & by_query.get(ids[i], set())) / 10)
+    return np.mean(hits), min(len(by_query.get(ids[i], ())) for i in asked), dict(zip(ids[asked], hits, strict=True))
+
+
+def test_vectors_alone_in_their_cells(spark):
+    rng = np.random.default_rng(6)
+    axis = rng.normal(size=24)
+    axis /= np.linalg.norm(axis)
+    x = np.concatenate([4 * axis + 0.3 * rng.normal(size=(6000, 24)), [-4 * axis], -6 * axis + 0.01 * rng.normal(size=(5, 24))]).astype("f4").astype(float)
+    ids = np.arange(len(x))
+    table = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in ids], "vec_id long, embedding array<float>").repartition(4)
+    found = neighbours.nearest(table, every=100).toPandas()
+    recall, fewest, hits = brute_recall(found, ids, x, 100)
+    assert fewest == 10 and recall >= 0.9
+    assert {6001, 6002, 6003, 6004, 6005} <= set(found[found.query_id == 6000].vec_id)
+    again = neighbours.nearest(table.filter("vec_id < 6001 or vec_id > 6003"), every=6004).toPandas()
+    assert set(again.query_id) == {0, 6004} and (again.groupby("query_id").size() == 10).all()
+    assert {6000, 6005} <= set(again[again.query_id == 6004].vec_id)
