@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import settle
 from riskloom.llm.components import components
@@ -18,8 +22,11 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 # Where pages name the address they stand for.
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)"""
+REFRESH_URL = re.compile(r"""url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"']+))""", re.I)
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+REFERENCE = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?", re.S)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -54,22 +61,68 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return rule, verdict
 
 
+def without_dots(path: str) -> str:
+    """``path`` with its ``.`` and ``..`` parts carried out."""
+    done, parts = [], path.split("/")
+    for part in parts:
+        if part == "..":
+            if len(done) > 1:
+                done.pop()
+        elif part != ".":
+            done.append(part)
+    if parts[-1] in (".", ".."):
+        done.append("")
+    return "/".join(done)
+
+
+def resolved(base: str | None, target: str) -> str | None:
+    """``target`` as an absolute url, read on the page ``base`` (RFC 3986); null if it or the page has no host."""
+    scheme, host, path, query = REFERENCE.match(target).groups()
+    if scheme is None:
+        if not base or not SCHEME.match(base):
+            return None
+        scheme, base_host, base_path, base_query = REFERENCE.match(base).groups()
+        if base_host is None:
+            return None
+        if host is None:
+            host = base_host
+            if not path:
+                path, query = base_path, base_query if query is None else query
+            elif not path.startswith("/"):
+                path = (base_path or "/").rpartition("/")[0] + "/" + path
+    return f"{scheme}://{host}{without_dots(path)}{query or ''}" if host else None
+
+
+@F.pandas_udf(T.StringType())
+def target_url(base: pd.Series, written: pd.Series, refresh: pd.Series) -> pd.Series:
+    """The url that an attribute value names, with its quotes and character references still in it."""
+
+    def named(page, value, moves):
+        value = unescape(value[1:-1] if value[0] in "\"'" else value)
+        if moves:
+            found = REFRESH_URL.search(value)
+            value = "".join(filter(None, found.groups())) if found else ""
+        value = value.strip(" \t\r\n\f")
+        return resolved(page and page.strip(), value) if value else None
+
+    return pd.Series([named(*row) for row in zip(base, written, refresh, strict=True)], dtype=object)
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) addresses: where pages declare a canonical address or a redirect."""
-    named = F.array(F.regexp_extract("_html", CANONICAL, 1), F.regexp_extract("_html", REFRESH, 1))
+    named = F.array(
+        F.struct(F.regexp_extract("_html", CANONICAL, 1).alias("written"), F.lit(False).alias("refresh")),
+        F.struct(F.regexp_extract("_html", REFRESH, 1).alias("written"), F.lit(True).alias("refresh")),
+    )
     saying = pages.select(F.col(url).alias("_url"), F.col(html).alias("_html")).filter(
         F.rlike("_html", F.lit(r"(?i)canonical|http-equiv"))
     )
     # Written before it is filtered: a pushed filter would unfold all the steps above it.
-    links = settle(saying.select("_url", F.explode(named).alias("_to")).filter("_to <> ''"))
-    links = with_parts(links, "_url", "host", "path", "source")
-    to, scheme = F.col("_to"), F.regexp_extract("_url", r"^([^:]*)://", 1)
-    full = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), "host", to))
+    links = settle(saying.select("_url", F.inline(named)).filter("written <> ''"))
+    links = with_parts(links, "_url", at="source").select(
+        "source", target_url("_url", "written", "refresh").alias("_to")
     )
-    links = with_parts(links.select("source", full.alias("_to")), "_to", at="target")
+    links = with_parts(links, "_to", at="target")
     return settle(links.select("source", "target"))
 
 

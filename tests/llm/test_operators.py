@@ -436,3 +436,37 @@ def test_vectors_alone_in_their_cells(spark):
     again = neighbours.nearest(table.filter("vec_id < 6001 or vec_id > 6003"), every=6004).toPandas()
     assert set(again.query_id) == {0, 6004} and (again.groupby("query_id").size() == 10).all()
     assert {6000, 6005} <= set(again[again.query_id == 6004].vec_id)
+
+
+def test_alias_targets_of_every_form(spark):
+    base = "http://a.com/d/e/page.html?x=1#top"
+    canonical, refresh = "<link rel=canonical href={}>", '<meta http-equiv="refresh" content={}>'
+    forms = [
+        (canonical.format('"other.html"'), "a.com/d/e/other.html"),
+        (canonical.format('"?page=1"'), "a.com/d/e/page.html?page=1"),
+        (canonical.format("'../x'"), "a.com/d/x"),
+        (canonical.format('"../../../x/./y/.."'), "a.com/x/"),
+        (canonical.format("/login?next=http://b.com"), "a.com/login?next=http://b.com"),
+        (canonical.format("login?next=http://b.com"), "a.com/d/e/login?next=http://b.com"),
+        (canonical.format('"http://c.com/?a=1&amp;b=2"'), "c.com/?a=1&b=2"),
+        (canonical.format('" //C.com/q "'), "c.com/q"),
+        (canonical.format('"mailto:x@b.com"'), None),
+        (canonical.format('"#part"'), "a.com/d/e/page.html?x=1"),
+        (refresh.format("\"0; url='http://c.com/r'\""), "c.com/r"),
+        (refresh.format("'0;URL=\"r.html?a=1&amp;b=2\"'"), "a.com/d/e/r.html?a=1&b=2"),
+        (refresh.format('"0; url=&#39;http://c.com/s&#39;"'), "c.com/s"),
+        (refresh.format("0;url=/t"), "a.com/t"),
+        (refresh.format('"30"'), None),
+    ]
+    pages = spark.createDataFrame([(base, html) for html, _ in forms], "url string, html string")
+    found = [r["target"] for r in urlrules.alias_links(pages).collect()]
+    assert sorted(filter(None, found)) == sorted(filter(None, [want for _, want in forms]))
+    lone = spark.createDataFrame([("a.com/no/scheme", canonical.format("x")), (None, canonical.format("x")), ("http://a.com", canonical.format("x"))], "url string, html string")
+    assert [r["target"] for r in urlrules.alias_links(lone).collect() if r["target"]] == ["a.com/x"]
+    rows = [
+        (1, "http://one.com/a/", '<link rel=canonical href="page.html">'),
+        (2, "http://one.com/a/page.html", "<meta http-equiv=refresh content=\"0; url='http://two.net/?a=1&amp;b=2'\">"),
+        (3, "http://three.com/", "<link rel=canonical href='/login?next=http://two.net'>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in urlrules.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
