@@ -3,8 +3,9 @@
 A page is a sequence of words and tags. Words score one, tags score below
 zero, the more so the more often they stand outside the article on labelled
 pages. The best contiguous run, found in one linear scan, is the content
-region. Words of menus, adverts and the like score nothing and are left out of
-the region. Pages that mark their article themselves are the labelled ones.
+region, and is taken to the bounds of the article or the part of the page that
+holds it. Words of menus, adverts and the like score nothing and are left out
+of the region. Pages that mark their article themselves are the labelled ones.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ MARKS = set(
     "navigation topnav breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus related "
     "recommended widget login search toolbar pagination pager complementary contentinfo dialog".split()
 )
+#: Parts of names that say what an element has or has not, and those of an article's own parts.
+STATES = set("has have no not with without is in work works".split())
+OWN = set("article post entry story content page main".split())
+#: An element whose name holds a mark beside other parts is apart up to this share of the page's words.
+FEW = 0.2
+HOLDERS = {"article", "main", "section", "div"}
+FLOW = set("h1 h2 h3 h4 h5 h6 p table blockquote pre figure dl ul ol hr".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|$)",
@@ -49,12 +57,54 @@ OTHER = "other"
 LEAST_COST, MOST_COST = 0.05, 2.0
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role name something that is no article."""
+def marked(attributes: str, within: bool = False) -> int:
+    """2 if a name in class, id or role is that of no article, 1 if only a part of one is, else 0.
+
+    ``within`` an article a header is the article's own.
+    """
     if "=" not in attributes:
-        return False
-    values = " ".join("".join(found) for found in NAMED.findall(attributes)).lower()
-    return not MARKS.isdisjoint(re.split(r"[^a-z]+", values))
+        return 0
+    most = 0
+    for name in " ".join("".join(found) for found in NAMED.findall(attributes)).lower().split():
+        parts = set(filter(None, re.split(r"[^a-z]+", name)))
+        marks = parts & MARKS
+        if not marks or parts & STATES or marks == {"header"} and (within or parts & OWN):
+            continue
+        most = max(most, 2 if marks == parts else 1)
+    return most
+
+
+def pieces(html: str) -> Iterator[tuple[str, str, str]]:
+    """(tag name or empty, end mark, attributes or text) in page order."""
+    at = 0
+    for found in TAG.finditer(html):
+        if found.start() > at:
+            yield "", "", html[at : found.start()]
+        at = found.end()
+        closing, name, attributes = (found.group(2), found.group(3), found.group(4)) if found.group(3) else found.group(5, 6, 7)
+        if name:
+            yield name.lower(), closing, attributes
+    if at < len(html):
+        yield "", "", html[at:]
+
+
+def shares(page: list[tuple[str, str, str]]) -> dict[int, float]:
+    """Share of the page's words in each element a part of whose name is a mark, by its place."""
+    held, open_, words = {}, {}, 0
+    for k, (name, closing, rest) in enumerate(page):
+        if not name:
+            words += len(rest.split())
+            continue
+        ends = [name] if closing else [x for x in ("p", "li") if open_.get(x)] if name in BLOCKS else []
+        for end in ends:
+            if open_.get(end):
+                place, before = open_[end].pop()
+                held[place] = words - before
+        if not closing and name not in VOID:
+            open_.setdefault(name, []).append((k, words))
+    for rest in open_.values():
+        held.update((place, words - before) for place, before in rest)
+    return {k: n / max(words, 1) for k, n in held.items()}
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
@@ -64,15 +114,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
     with its end tag, with the next block if it is a paragraph or item, and at
     the latest where an article, main part or body begins.
     """
-    apart, depth, articles, at = "", 0, 0, 0
-    for found in TAG.finditer(html):
-        if found.start() > at:
-            yield "", html[at : found.start()], bool(apart)
-        at = found.end()
-        closing, name, attributes = (found.group(2), found.group(3), found.group(4)) if found.group(3) else found.group(5, 6, 7)
+    page, held = list(pieces(html)), None
+    apart, depth, articles = "", 0, 0
+    for k, (name, closing, rest) in enumerate(page):
         if not name:
+            yield "", rest, bool(apart)
             continue
-        name = name.lower()
         if name in ("article", "main"):
             articles = max(0, articles + (-1 if closing else 1))
         if apart:
@@ -86,11 +133,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
                     continue
         if not apart and not closing and name not in VOID:
             own = name == "header" and articles
-            if (name in APART and not own) or (name not in ("body", "html", "article", "main") and not own and marked(attributes)):
+            mark = 0 if own or name in ("body", "html", "article", "main") else marked(rest, articles > 0)
+            if mark == 1:
+                held = shares(page) if held is None else held
+            if (name in APART and not own) or mark == 2 or mark == 1 and held[k] <= FEW:
                 apart, depth = name, 1
         yield name, closing, bool(apart)
-    if at < len(html):
-        yield "", html[at:], bool(apart)
 
 
 def tag_counts(html: str) -> Counter:
@@ -120,8 +168,48 @@ def costs_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return costs
 
 
+def spans(parts: list[tuple[str, str, bool]]) -> list[tuple[int, int, str]]:
+    """(place of the first tag, place after the last one, name) of all elements."""
+    found, open_ = [], []
+    for k, (name, text, _) in enumerate(parts):
+        if not name or name in VOID:
+            continue
+        if not text:
+            open_.append((k, name))
+        elif any(name == other for _, other in open_):
+            while open_:
+                start, other = open_.pop()
+                found.append((start, k + (name == other), other))
+                if other == name:
+                    break
+    return found + [(start, len(parts), name) for start, name in open_]
+
+
+def widened(parts: list[tuple[str, str, bool]], first: int, last: int) -> tuple[int, int]:
+    """The run to the bounds of its article, or of the part that holds it.
+
+    Directly in the body, it is carried on over headings, paragraphs, tables
+    and the like beside it, and over lists after it.
+    """
+    elements = spans(parts)
+    around = sorted((b - a, a, b, name) for a, b, name in elements if a < first and b >= last and name in HOLDERS)
+    for _, a, b, name in [x for x in around if x[3] in ("article", "main")] or around:
+        return a, b
+    inner = [(a, b) for a, b, name in elements if name not in ("body", "html") and name not in HOLDERS]
+    first = min([first, *(a for a, b in inner if a < first < b)])
+    last = max([last, *(b for a, b in inner if a < last < b)])
+    after = {a: b for a, b, name in elements if name in FLOW}
+    before = {b: a for a, b, name in elements if name in FLOW - {"ul", "ol"}}
+    plain = lambda k: not parts[k][0] or parts[k][0] in INLINE or parts[k][0] in ("br", "hr", "img")
+    while last < len(parts) and (last in after or plain(last)):
+        last = after.get(last, last + 1)
+    while first > 0 and (first in before or plain(first - 1)):
+        first = before.get(first, first - 1)
+    return first, last
+
+
 def extract(html: str, costs: dict[str, float]) -> str:
-    """Text of the best run, one line per block; empty if the page has no words."""
+    """Text of the best run and of what holds it, one line per block; empty if the page has no words."""
     parts = list(tokens(html))
     best, best_from, best_to, score, start = 0.0, 0, 0, 0.0, 0
     for k, (name, text, apart) in enumerate(parts):
@@ -133,6 +221,9 @@ def extract(html: str, costs: dict[str, float]) -> str:
             best, best_from, best_to = score, start, k + 1
         if score <= 0:
             score, start = 0.0, k + 1
+    if not best:
+        return ""
+    best_from, best_to = widened(parts, best_from, best_to)
     blocks, block = [], []
     for name, text, apart in parts[best_from:best_to]:
         if name in BLOCKS:

@@ -470,3 +470,31 @@ def test_alias_targets_of_every_form(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["verdict"] for r in urlrules.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_main_text_in_wrappers_with_marks_in_their_names(spark):
+    costs = mainpage.costs_of({})
+    words = "<p>Many words in a long paragraph of a page that has something to say.</p>" * 5
+    for name in ("post no-sidebar", "post has-sidebar", "content-with-sidebar", "page-banner-layout", "related-work"):
+        for body in ('<div class="{}"><h1>It</h1>{}</div>', '<article><div class="{}"><h1>It</h1>{}</div></article>'):
+            text = mainpage.extract(PAGE.format(body.format(name, words)), costs)
+            assert text.startswith("It\nMany words") and text.count("\n") == 5 and "comment" not in text, name
+    head = '<article><div class="article-header"><h1>Title of it</h1></div>{}<div class="share-buttons">Share this</div></article>'
+    assert mainpage.extract(PAGE.format(head.format(words)), costs).split("\n")[0] == "Title of it"
+    assert "Share" not in mainpage.extract(PAGE.format(head.format(words)), costs)
+    side = '<div class="page">{}</div><div class="left-sidebar">Some other things here</div><div class="site-footer">us</div>'
+    assert "other things" not in mainpage.extract(PAGE.format(side.format(words)), costs)
+
+
+def test_main_text_keeps_tables_and_lists(spark):
+    costs = mainpage.costs_of({})
+    words = "<p>Many words in a long paragraph of a page that has something to say.</p>" * 3
+    table = "<table>" + "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(60)) + "</table>"
+    items = "<ul>" + "".join(f"<li>c{k}</li>" for k in range(60)) + "</ul>"
+    for body in ("<article><h1>It</h1>{}</article>", '<div id="content"><h1>It</h1>{}</div>', "<h1>It</h1>{}"):
+        for inside in (words + table, words + items, words + table + words, table + words):
+            text = mainpage.extract(PAGE.format(body.format(inside)), costs)
+            assert text.startswith("It\n") and "comment" not in text and "Read more" not in text
+            for k in range(60):
+                assert f"a{k} b{k}" in text or f"\nc{k}" in text, (body, k)
+            assert text.count("Many words") == inside.count("Many words")
