@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -25,16 +26,19 @@ def stream_score(
     already cached are skipped by a stream-static anti join, and a key that
     arrives again, in the same or a later file, is stored once: the state
     holds the keys stored so far, and only narrow results are shuffled for it.
-    Records without a key are one key. A backlog is worked off in batches of
-    ``files_per_batch`` files. The checkpoint makes every file count once,
-    also after a restart.
+    Records without a key are all stored: each is a key of its own. A backlog
+    is worked off in batches of ``files_per_batch`` files. The checkpoint makes
+    every file count once, also after a restart.
     """
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     if cached is not None:
         arriving = arriving.join(cached.select(key), key, "left_anti")
+    own = F.when(F.col(key).isNull(), F.uuid())
     query = (
         score(arriving)
-        .dropDuplicates([key])
+        .withColumn("_own", own)
+        .dropDuplicates([key, "_own"])
+        .drop("_own")
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

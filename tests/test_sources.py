@@ -211,3 +211,16 @@ def test_the_cache_keeps_what_was_generated(spark, tmp_path):
     assert answers(more) == [(1, "text 1", True), (2, "text 2", True), (3, "text 3", False)]
     assert asked == [2, 0, 1]
     assert artifacts.json_artifact_scan(spark, path, "id long, reply string").count() == 3
+
+
+def test_records_without_a_key_are_all_stored(spark, tmp_path):
+    from riskloom.streaming.scoring import stream_score
+
+    source, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "trial_id long, x double")
+    for pairs in (((None, 1.0), (None, 1.0), (1, 2.0)), ((None, 3.0), (1, 2.0))):
+        rows(*pairs).coalesce(1).write.mode("append").parquet(source)
+        stream_score(spark, source, rows((1, 1.0)).schema, lambda r: r, target, checkpoint, rows((4, 1.0)), files_per_batch=1)
+    stored = spark.read.parquet(target)
+    assert stored.columns == ["trial_id", "x"]
+    assert sorted((r["trial_id"] or 0, r["x"]) for r in stored.collect()) == [(0, 1.0), (0, 1.0), (0, 3.0), (1, 2.0)]
