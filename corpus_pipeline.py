@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, jaccard, mixing, quality, secrets
+from riskloom.llm import bpe, mixing, quality, secrets, simhash
 from riskloom.llm.common import settle, table
 from riskloom.llm.queries import WORD_BPE
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of 5-word Jaccard similarity of 0.8 and more."""
-    return jaccard.one_per_group(docs)
+    """One document, that of the smallest id, of each group of near-duplicate fingerprints."""
+    return simhash.one_per_group(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
