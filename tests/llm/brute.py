@@ -1,6 +1,7 @@
 """Plain repetitions of the operators, one document at a time."""
 
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -32,19 +33,6 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def shingles(text):
-    found = words((text or "").translate(UPPER))
-    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
-
-
-def jaccard(a, b):
-    if not a or not b:
-        return float(a == b)
-    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
-        return 0.0
-    return len(a & b) / len(a | b)
-
-
 def groups(values, near):
     """Smallest member reachable over ``near`` for each of ``values`` (pairs of id and value)."""
     head = {i: i for i, _ in values}
@@ -90,3 +78,55 @@ def targets(sizes):
             left -= got[s]
         open_ -= over
     return got
+
+
+def planted(key, found):
+    """The words of a document, from some word on repeated if its key says so."""
+    h, n = zlib.crc32(str(key).encode()), len(found)
+    if h % 10 or not n:
+        return found
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return [w if i < first else found[first + (i - first) % period] for i, w in enumerate(found)]
+
+
+def word_runs(found, least=12):
+    """(start, length, period) of all runs, period by period."""
+    held = []
+    for q in range(1, len(found) // 2 + 1):
+        same = [a == b for a, b in zip(found, found[q:])] + [False]
+        first = None
+        for i, equal in enumerate(same):
+            if equal and first is None:
+                first = i
+            if not equal and first is not None:
+                if i + q - first >= max(least, 2 * q):
+                    held.append((first, i + q - first, q))
+                first = None
+    smaller = lambda r: any(s <= r[0] and s + n >= r[0] + r[1] and q < r[2] for s, n, q in held)
+    inner = lambda r: any(all(found[k] == found[k + p] for k in range(r[0], r[0] + r[1] - p)) for p in range(1, r[2]) if r[2] % p == 0)
+    return sorted(r for r in held if not inner(r) and not smaller(r))
+
+
+def divergence(docs, least, terms):
+    """Rows of the source audit, every term and pair in full."""
+    letters = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = [((d["lang"] or ""), (d["source"] or ""), letters.findall((d["text"] or "").translate(UPPER))) for d in docs]
+    out = []
+    for lang in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == lang]
+        times = Counter(t for r in own for t in set(r[2]))
+        kept = sorted(t for t, n in times.items() if n >= least)
+        counts = {s: Counter(t for r in own if r[1] == s for t in r[2] if times[t] >= least) for s in {r[1] for r in own}}
+        whole = sum(counts.values(), Counter())
+
+        def share(count, t):
+            return 1 + 10**9 * (count[t] + 5) // (sum(count.values()) + 5 * len(kept))
+
+        for s, count in counts.items():
+            pairs = [(-sum(abs(share(count, t) - share(c, t)) for t in kept), o) for o, c in counts.items() if o != s]
+            above = [(share(whole, t) - share(count, t), t) for t in kept if count[t] and share(count, t) > share(whole, t)]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(above)[:terms])):
+                out += [(lang, s, part, item, -value, rank) for rank, (value, item) in enumerate(found, 1)]
+    return sorted(out)
