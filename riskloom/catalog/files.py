@@ -256,9 +256,25 @@ def _sql_list(items):
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
 
-@query(f"""with k as (select o_orderkey, o_orderkey as k from orders)
-select o_orderkey, replace(replace(replace(replace(replace({_sql_list(C.SAMPLE_TEMPLATES)}[(k % 5 + 1)::INTEGER],
-  '{{cond}}', {_sql_list(C.SAMPLE_CONDITIONS)}[(k % 8 + 1)::INTEGER]), '{{drug}}', {_sql_list(C.SAMPLE_DRUGS)}[(k % 8 + 1)::INTEGER]),
-  '{{phase}}', {_sql_number('phase', 1, 4)}), '{{enroll}}', {_sql_number('enroll', 50, 2000)}), '{{sites}}', {_sql_number('sites', 5, 120)}) as text from k""")
+#: Notes of a warehouse, for rows of orders.
+NOTES = [
+    "Pallet {pallet} of {good} waits at gate {gate} for the {carrier}.",
+    "{carrier} took {boxes} boxes of {good}; the seals were whole.",
+    "Count of {good} differs by {boxes}: see the list of gate {gate}.",
+]
+NOTE_WORDS = {"good": ["salt", "oak boards", "baker's yeast", "lamp oil"], "carrier": ["night train", "barge", "ox cart", "post coach", "mule"]}
+NOTE_RANGES = {"pallet": (100, 1000), "gate": (1, 9), "boxes": (2, 60)}
+
+
+def _sql_notes():
+    filled = f"{_sql_list(NOTES)}[(k % {len(NOTES)} + 1)::INTEGER]"
+    values = {n: f"{_sql_list(w)}[(k % {len(w)} + 1)::INTEGER]" for n, w in NOTE_WORDS.items()}
+    values |= {n: _sql_number(n, *ends) for n, ends in NOTE_RANGES.items()}
+    for name, value in values.items():
+        filled = f"replace({filled}, '{{{name}}}', {value})"
+    return filled
+
+
+@query(f"with k as (select o_orderkey, o_orderkey as k from orders) select o_orderkey, {_sql_notes()} as text from k")
 def synth_texts(spark, sf):
-    return samples.synth_texts(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return samples.synth_texts(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", NOTES, NOTE_WORDS, NOTE_RANGES)

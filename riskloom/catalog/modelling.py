@@ -57,8 +57,8 @@ def calibrated(prepared):
     train = prepared.matrix("train")
 
     def fit():
-        model = models.calibrate_isotonic(train, "trial_id", settings=SETTINGS)
-        return model, models.tuned_threshold(model, train, "trial_id")
+        found = models.calibrate_isotonic(train, "trial_id", settings=SETTINGS)
+        return found.model, models.tuned_threshold(found.held_out)
 
     return artifacts.stored_model(train.select("trial_id", "label", "features"), f"calibrated {SETTINGS}", fit)
 
@@ -306,9 +306,9 @@ def train_gbt(spark, sf):
     prepared = prepare(spark, sf)
     train = prepared.matrix("train")
     fold = ranking.fold_of(F.col("trial_id"))
-    model = models.train_gbt(train.filter(fold != 0), train.filter(fold == 0), SETTINGS)
-    scored = models.positive_probability(model.transform(prepared.matrix("test")), "gbt_probability", "p")
-    return scored.select("trial_id", "label", "p", F.lit(model.getNumTrees).alias("trees"))
+    model = models.train_gbt(train.filter(fold != 0), train.filter(fold == 0), SETTINGS, "trial_id")
+    scored = model.transform(prepared.matrix("test"), "p")
+    return scored.select("trial_id", "label", "p", F.lit(model.n_trees).alias("trees"))
 
 
 @query()
@@ -369,7 +369,7 @@ def ablation_compare(spark, sf):
     scaled = features_.scale_features(prepared.rows, prepared.scaler, keep=("trial_id", "terminated", "split"))
     joined = scaled.join(vectors, "trial_id").select(
         F.col("terminated").cast("double").alias("label"),
-        "split",
+        "split", "trial_id",
         F.array(*[F.col(c).cast("double") for c in C.FEATURES]).alias("structured"),
         F.col("embedding").cast("array<double>").alias("text"),
     )
@@ -379,8 +379,9 @@ def ablation_compare(spark, sf):
     columns = {"text": F.col("text"), "structured": F.col("structured"), "combined": F.concat("text", "structured")}
     sets = {}
     for name, column in columns.items():
-        rows = joined.select("label", "split", array_to_vector(column).alias("features"))
-        sets[name] = (rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+        rows = joined.select("label", "split", "trial_id", array_to_vector(column).alias("features"))
+        train, held = rows.filter("split = 'train'"), ranking.fold_of(F.col("trial_id")) == 0
+        sets[name] = (train.filter(~held), train.filter(held), rows.filter("split = 'test'"))
     return models.ablation_compare(sets, SETTINGS)
 
 

@@ -6,6 +6,8 @@ ordered, and running totals go through ranges, so no task sees all scores.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,21 @@ def auroc(rows: DataFrame, score: str, label: str, ranges: int | None = None) ->
     return row.select("n_pos", "n_neg", F.when(pairs > 0, F.col("_won") / pairs).alias("auroc"))
 
 
+def auroc_by(
+    rows: DataFrame, groups: Sequence[str], score: str, label: str, ranges: int | None = None
+) -> DataFrame:
+    """(groups, auroc): the area of every group's scores; null with a single class."""
+    usable = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    cells = usable.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(
+        F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
+        F.sum((F.col(label) != 1).cast("bigint")).alias("neg"),
+    )
+    ranked = running_totals(cells, "threshold", ["pos", "neg"], groups, cuts=range_cuts(usable, score, ranges))
+    won = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return ranked.groupBy(*groups).agg(F.when(pairs > 0, F.sum(won) / pairs).alias("auroc"))
+
+
 def pr_curve(rows: DataFrame, score: str, label: str, ranges: int | None = None) -> DataFrame:
     """Precision, recall and F1 of every distinct score used as threshold."""
     cells = score_cells(rows, score, label)

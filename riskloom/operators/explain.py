@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom import constants as C
 from riskloom.functions import numbers
 from riskloom.functions.text import concat_nonempty
+from riskloom.operators import boosting
+from riskloom.operators.boosting import Trees
+from riskloom.operators.ensembles import number_array
 from riskloom.operators.joins import match_patterns
-from riskloom.session import shared_folder
-
-MAX_TREE_DEPTH = 8
 
 
 # --- linear scores ---------------------------------------------------------
@@ -66,28 +61,14 @@ class Leaves:
     n_features: int
 
 
-def tree_leaves(models: Sequence[GBTClassificationModel]) -> Leaves:
+def tree_leaves(models: Sequence[Trees]) -> Leaves:
     """Leaf paths of the mean margin of several models, in log-odds.
 
-    Nodes come from the saved form of each model; their count is bounded by the
-    number of trees and their depth. Row counts are the training cover.
+    Their number is bounded by the trees and their depth. The hessian sums of
+    the train rows are the cover.
     """
-    spark = SparkSession.active()
-    paths = []
-    for model in models:
-        folder = shared_folder(spark)
-        model.write().save(folder)
-        nodes: dict[int, dict[int, tuple]] = {}
-        saved = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect()
-        for n in saved:
-            nodes.setdefault(n["treeID"], {})[n["id"]] = n
-        # Spark's margin F gives p = 1 / (1 + exp(-2F)).
-        for tree, weight in enumerate(model.treeWeights):
-            for path, value in _walk(nodes[tree]):
-                paths.append((path, 2.0 * weight * value / len(models)))
+    paths = [(path, value / len(models)) for model in models for root in model.roots for path, value in _walk(model, int(root))]
     width = max((len(p) for p, _ in paths), default=0)
-    if width > MAX_TREE_DEPTH:
-        raise ValueError(f"paths over {width} features; trees may be {MAX_TREE_DEPTH} deep")
     shape = (len(paths), max(width, 1))
     feature, share = np.full(shape, -1), np.ones(shape)
     low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
@@ -96,140 +77,136 @@ def tree_leaves(models: Sequence[GBTClassificationModel]) -> Leaves:
             feature[i, j], low[i, j], high[i, j], share[i, j] = f, lo, hi, r
     value = np.array([v for _, v in paths])
     base = float((value * share.prod(axis=1)).sum())
-    return Leaves(value, feature, low, high, share, base, models[0].numFeatures)
+    return Leaves(value, feature, low, high, share, base, models[0].n_features)
 
 
-def _walk(nodes: Mapping[int, object]) -> Iterator[tuple[dict, float]]:
+def _walk(model: Trees, root: int) -> Iterator[tuple[dict, float]]:
     """Leaves of one tree, each with interval and row share per path feature."""
-    pending = [(min(nodes), {})]
+    pending = [(root, {})]
     while pending:
-        number, path = pending.pop()
-        node = nodes[number]
-        if node["leftChild"] < 0:
-            yield path, node["prediction"]
+        node, path = pending.pop()
+        left = int(model.left[node])
+        if left == node:
+            yield path, float(model.value[node])
             continue
-        f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+        f, cut = int(model.feature[node]), float(model.cut[node])
         lo, hi, r = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, bounds in (
-            (node["leftChild"], (lo, min(hi, cut))),
-            (node["rightChild"], (max(lo, cut), hi)),
-        ):
-            part = nodes[child]["rawCount"] / node["rawCount"]
+        whole = model.cover[left] + model.cover[left + 1]
+        for child, bounds in ((left, (lo, min(hi, cut))), (left + 1, (max(lo, cut), hi))):
+            part = model.cover[child] / whole if whole > 0 else 0.5
             pending.append((child, {**path, f: (*bounds, r * part)}))
 
 
-def leaf_effects(leaves: Leaves) -> np.ndarray:
-    """Shapley value of every path feature for every pattern of met demands.
+def attribute_batch(x: np.ndarray, leaves: Leaves) -> np.ndarray:
+    """Contributions of a batch of rows: (rows, features).
 
-    A leaf pays its value to a row that meets all demands; an unknown demand
-    counts with its row share. Padding (always met, share 1) earns nothing.
-    Indexed [leaf, pattern, path feature], bit j of the pattern for demand j.
+    A leaf pays its value to a row that meets all its demands; an unknown demand
+    counts with its row share r, a known one with o, 1 if it is met and else 0.
+    The Shapley value of demand i is value (o_i - r_i) times the integral over
+    t from 0 to 1 of the product of the other demands' r + t (o - r). That is a
+    polynomial of a degree below the number of demands, for which Gauss-Legendre
+    points of half that number are exact. So a leaf costs the square of its
+    path's length, not its subsets. Padding (always met, share 1) earns nothing.
     """
     count, width = leaves.feature.shape
-    met = (np.arange(2**width)[:, None] >> np.arange(width)) & 1
-    effects = np.zeros((count, 2**width, width))
-    for i in range(width):
-        others = [j for j in range(width) if j != i]
-        total = np.zeros((count, 2**width))
-        for size in range(width):
-            weight = factorial(size) * factorial(width - size - 1) / factorial(width)
-            for known in combinations(others, size):
-                unknown = [j for j in others if j not in known]
-                total += (
-                    weight
-                    * met[:, list(known)].prod(axis=1)[None, :]
-                    * leaves.share[:, unknown].prod(axis=1)[:, None]
-                )
-        effects[:, :, i] = leaves.value[:, None] * (met[None, :, i] - leaves.share[:, i : i + 1]) * total
-    return effects
-
-
-def attribute_batch(x: np.ndarray, leaves: Leaves, effects: np.ndarray) -> np.ndarray:
-    """Contributions of a batch of rows: (rows, features)."""
-    count, width = leaves.feature.shape
     source = np.where(leaves.feature < 0, 0, leaves.feature)
-    onehot = np.zeros((count * width, leaves.n_features))
-    real = leaves.feature.ravel() >= 0
-    onehot[np.flatnonzero(real), leaves.feature.ravel()[real]] = 1.0
-    bits = 1 << np.arange(width)
-    out = np.empty((len(x), leaves.n_features))
-    step = max(1, 4_000_000 // max(count * width, 1))
+    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+    real = leaves.feature >= 0
+    onehot = [np.zeros((count, leaves.n_features)) for _ in range(width)]
+    for j in range(width):
+        onehot[j][np.flatnonzero(real[:, j]), leaves.feature[real[:, j], j]] = 1.0
+    out = np.zeros((len(x), leaves.n_features))
+    step = max(1, 1_000_000 // max(count, 1))
     for start in range(0, len(x), step):
-        seen = x[start : start + step][:, source]
-        pattern = (((seen > leaves.low) & (seen <= leaves.high)) * bits).sum(axis=2)
-        gained = effects[np.arange(count)[None, :], pattern]
-        out[start : start + step] = gained.reshape(len(pattern), -1) @ onehot
+        part = x[start : start + step]
+        seen = [np.nan_to_num(part[:, source[:, j]], nan=-np.inf, neginf=-np.inf, posinf=np.inf) for j in range(width)]
+        # What is not a number goes left: it is above no cut, and below all.
+        gap = [((s > leaves.low[:, j]) | (leaves.low[:, j] == -np.inf)) & (s <= leaves.high[:, j]) for j, s in enumerate(seen)]
+        gap = [g - leaves.share[:, j] for j, g in enumerate(gap)]
+        gained = [np.zeros((len(part), count)) for _ in range(width)]
+        for t, weight in zip(points, weights, strict=True):
+            terms = [leaves.share[:, j] + t * gap[j] for j in range(width)]
+            after = [np.full((len(part), count), weight)]
+            for j in range(width - 1, 0, -1):
+                after.append(after[-1] * terms[j])
+            before = np.ones((len(part), count))
+            for j in range(width):
+                gained[j] += before * after[width - 1 - j]
+                before = before * terms[j]
+        for j in range(width):
+            out[start : start + step] += (gained[j] * gap[j] * leaves.value) @ onehot[j]
     return out
 
 
-def tree_attributions(
-    matrix: DataFrame,
-    models: Sequence[GBTClassificationModel],
-    vector: str = "features",
-) -> DataFrame:
-    """Exact Shapley values of the mean log-odds of tree models.
+def tree_attributions(matrix: DataFrame, models: Sequence[Trees], vector: str = "features") -> DataFrame:
+    """Exact Shapley values of the mean log-odds of tree models, of any depth.
 
     Adds ``phi`` (one value per feature), ``base_value`` and ``log_odds`` (their
     sum). Arrow batches go through a small numpy kernel; nothing is shuffled and
     only the leaf paths travel to the tasks.
     """
     leaves = tree_leaves(models)
-    staged = matrix.withColumn("_x", vector_to_array(vector)).drop(vector)
-    kept = staged.drop("_x")
-    columns = kept.columns
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        effects = leaf_effects(leaves)
-        for batch in batches:
-            x = np.stack(batch["_x"].to_numpy()) if len(batch) else np.empty((0, leaves.n_features))
-            phi = attribute_batch(x, leaves, effects)
-            out = batch[columns].copy()
-            out["phi"] = list(phi)
-            out["base_value"] = leaves.base
-            out["log_odds"] = leaves.base + phi.sum(axis=1)
-            yield out
-
-    number = T.DoubleType()
-    added = [T.StructField("phi", T.ArrayType(number)), T.StructField("base_value", number)]
-    schema = T.StructType([*kept.schema.fields, *added, T.StructField("log_odds", number)])
-    return staged.mapInPandas(explain, schema)
+
+    def explain(vectors: pa.Array) -> pa.Array:
+        phi = attribute_batch(boosting.matrix_of(vectors, leaves.n_features), leaves)
+        offsets = np.arange(len(phi) + 1, dtype=np.int32) * leaves.n_features
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
+
+    found = F.arrow_udf(explain, "array<double>")(number_array(matrix, vector))
+    total = F.aggregate("phi", F.lit(leaves.base), lambda a, b: a + b)
+    explained = matrix.withColumn("phi", found).drop(vector)
+    return explained.withColumn("base_value", F.lit(leaves.base)).withColumn("log_odds", total)
 
 
 # --- sections and summaries ------------------------------------------------
 
 
+def section_members(
+    names: Sequence[str], sections: Mapping[str, Sequence[str]], other: str
+) -> list[tuple[str, list[str], bool]]:
+    """(section, features, whether it is shown only if its sum is not negligible)."""
+    matched = match_patterns(names, sections)
+    assigned = {n for hits in matched.values() for n in hits}
+    groups = [(s, list(hits), False) for s, hits in matched.items() if hits]
+    rest = [n for n in names if n not in assigned]
+    return [*groups, (other, rest, True)] if rest else groups
+
+
+def section_sum(contributions: Mapping[str, Column], members: Sequence[str]) -> Column:
+    total = contributions[members[0]]
+    for name in members[1:]:
+        total = total + contributions[name]
+    return total
+
+
 def section_attributions(
     contributions: Mapping[str, Column],
     sections: Mapping[str, Sequence[str]] = C.SECTION_FEATURES,
     labels: Mapping[str, str] = C.FEATURE_LABELS,
     other: str = C.OTHER_SECTION,
+    rounded: Callable[[str, Column], Column] = lambda name, value: numbers.half_even(value, 4),
+    sums: Mapping[str, Column] | None = None,
 ) -> Column:
     """Contributions summed by section, the strongest section first.
 
     A record's features are its own columns, so this is one projection: no
     long table, no shuffle. Features in no section make up the ``other`` one,
-    shown when its sum is not negligible.
+    shown when its sum is not negligible. ``rounded`` gives the shown value of
+    a feature's contribution or, by its name, of a section's sum; both are
+    named more than once, so :func:`with_sections` makes columns of them.
     """
-    names = list(contributions)
-    matched = match_patterns(names, sections)
-    assigned = {n for hits in matched.values() for n in hits}
-    groups = [(s, hits, False) for s, hits in matched.items() if hits]
-    rest = [n for n in names if n not in assigned]
-    if rest:
-        groups.append((other, rest, True))
-
     built = []
-    for ordinal, (section, members, optional) in enumerate(groups):
-        total = contributions[members[0]]
-        for name in members[1:]:
-            total = total + contributions[name]
+    for ordinal, (section, members, optional) in enumerate(section_members(list(contributions), sections, other)):
+        total = sums[section] if sums else section_sum(contributions, members)
+        shown = {n: rounded(n, contributions[n]) for n in members}
         features = [
             F.struct(
-                (-F.abs(numbers.half_even(contributions[n], 4))).alias("_rank"),
+                (-F.abs(shown[n])).alias("_rank"),
                 F.lit(i).alias("_ordinal"),
                 F.lit(labels.get(n, n)).alias("name"),
                 F.lit(n).alias("raw_name"),
-                numbers.half_even(contributions[n], 4).alias("shap"),
+                shown[n].alias("shap"),
             )
             for i, n in enumerate(members)
         ]
@@ -239,13 +216,13 @@ def section_attributions(
                 f["name"].alias("name"), f["raw_name"].alias("raw_name"), f["shap"].alias("shap")
             ),
         )
-        rounded = numbers.half_even(total, 4)
+        whole = rounded(section, total)
         entry = F.struct(
-            (-F.abs(rounded)).alias("_rank"),
+            (-F.abs(whole)).alias("_rank"),
             F.lit(ordinal).alias("_ordinal"),
             F.lit(section).alias("section"),
-            rounded.alias("contribution"),
-            F.abs(rounded).alias("abs_contribution"),
+            whole.alias("contribution"),
+            F.abs(whole).alias("abs_contribution"),
             F.when(total >= 0, "increases risk").otherwise("reduces risk").alias("direction"),
             ordered.alias("features"),
         )
@@ -262,16 +239,28 @@ def section_attributions(
 
 
 def with_sections(
-    rows: DataFrame, contributions: Mapping[str, Column], output: str = "section_attributions", **options
+    rows: DataFrame,
+    contributions: Mapping[str, Column],
+    output: str = "section_attributions",
+    sections: Mapping[str, Sequence[str]] = C.SECTION_FEATURES,
+    other: str = C.OTHER_SECTION,
+    **options,
 ) -> DataFrame:
     """Add the section attributions of a record.
 
-    Contributions become columns of their own first, so that each is computed
-    once however often the sections mention it.
+    Contributions, then sums, then what is shown of both become columns of
+    their own, so that each is computed once however often it is mentioned.
     """
     staged = rows.withColumns({f"_phi_{n}": c for n, c in contributions.items()})
-    built = section_attributions({n: F.col(f"_phi_{n}") for n in contributions}, **options)
-    return staged.withColumn(output, built).drop(*[f"_phi_{n}" for n in contributions])
+    phi = {n: F.col(f"_phi_{n}") for n in contributions}
+    members = {s: m for s, m, _ in section_members(list(contributions), sections, other)}
+    staged = staged.withColumns({f"_sum_{s}": section_sum(phi, m) for s, m in members.items()})
+    sums = {s: F.col(f"`_sum_{s}`") for s in members}
+    staged = staged.withColumns({f"_shown_{n}": numbers.half_even(c, 4) for n, c in {**phi, **sums}.items()})
+    built = section_attributions(
+        phi, sections, other=other, rounded=lambda name, _: F.col(f"`_shown_{name}`"), sums=sums, **options
+    )
+    return staged.withColumn(output, built).drop(*[c for c in staged.columns if c not in rows.columns])
 
 
 def top_risk_sections(sections: Column, n: int = 3) -> Column:
@@ -326,7 +315,7 @@ def nl_summary(sections: Column, tier: Column, probability: Column) -> Column:
 
 def explain_batch(
     scored: DataFrame,
-    models: Sequence[GBTClassificationModel],
+    models: Sequence[Trees],
     features: Sequence[str] = tuple(C.FEATURES),
     vector: str = "features",
 ) -> DataFrame:

@@ -1,89 +1,32 @@
-"""Training, calibration and scoring with Spark ML."""
+"""Training, calibration and scoring of boosted trees, and a text classifier."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
-from riskloom.functions.scoring import risk_tier, tier_color
 from riskloom.functions.numbers import whole_percent
-from riskloom.operators import curves
-from riskloom.operators.ranking import fold_of
-
-#: Models fitted at the same time; a fit on few rows is a chain of short jobs.
-PARALLEL_FITS = 5
-
-
-@dataclass(frozen=True)
-class GbtSettings:
-    """Boosting settings; the defaults are the documented training run."""
-
-    max_iter: int = 300
-    max_depth: int = 4
-    step_size: float = 0.05
-    row_share: float = 0.8
-    column_share: float = 0.8
-    min_rows: int = 3
-    patience: int = 30
-    seed: int = C.SEED
-    names: Mapping[str, str] = field(
-        default_factory=lambda: {
-            "predictionCol": "gbt_class",
-            "probabilityCol": "gbt_probability",
-            "rawPredictionCol": "gbt_margin",
-        }
-    )
-
-    def estimator(self, max_iter: int | None = None, **names: str) -> GBTClassifier:
-        trees = GBTClassifier(
-            maxIter=max_iter or self.max_iter,
-            maxDepth=self.max_depth,
-            stepSize=self.step_size,
-            subsamplingRate=self.row_share,
-            featureSubsetStrategy=str(self.column_share),
-            minInstancesPerNode=self.min_rows,
-            seed=self.seed,
-            weightCol="weight",
-            labelCol="label",
-            featuresCol="features",
-        )
-        columns = {**self.names, **names}
-        return (
-            trees.setPredictionCol(columns["predictionCol"])
-            .setProbabilityCol(columns["probabilityCol"])
-            .setRawPredictionCol(columns["rawPredictionCol"])
-        )
-
-
-def weigh_positives(train: DataFrame) -> DataFrame:
-    """Add the class-balancing weight: n_neg / n_pos for positives."""
-    row = train.agg(F.sum("label").alias("pos"), F.count("label").alias("n")).first()
-    positives = row["pos"] or 0.0
-    weight = (row["n"] - positives) / max(positives, 1.0)
-    return train.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(float(weight))).otherwise(1.0))
-
+from riskloom.functions.scoring import risk_tier, tier_color
+from riskloom.operators import boosting, curves
+from riskloom.operators.boosting import GbtSettings, Trees, patience_prefix, sigmoid
+from riskloom.operators.calibration import Isotonic, isotonic_models
+from riskloom.operators.ensembles import GbtModel
+from riskloom.operators.ranking import fold_of, stratified_folds
 
-def patience_prefix(losses: Sequence[float], patience: int) -> int:
-    """Trees to keep: the best round before ``patience`` rounds without progress."""
-    best, at = float("inf"), 0
-    for i, loss in enumerate(losses):
-        if loss < best:
-            best, at = loss, i
-        elif i - at >= patience:
-            break
-    return at + 1
+__all__ = ["GbtSettings", "patience_prefix"]
 
+#: Models fitted at the same time; a fit on few rows is a chain of short jobs.
+PARALLEL_FITS = 3
 
 def side_by_side(make: Callable, over: Sequence, parallel: int = PARALLEL_FITS) -> list:
     """``make`` of every item, ``parallel`` of them at the same time, in the order of the items."""
@@ -95,99 +38,70 @@ def side_by_side(make: Callable, over: Sequence, parallel: int = PARALLEL_FITS)
 
 
 def train_gbt(
-    train: DataFrame, validation: DataFrame | None = None, settings: GbtSettings = GbtSettings()
-) -> GBTClassificationModel:
-    """Boosted trees on ``(label, features)``; a validation table trims the rounds.
+    train: DataFrame, validation: DataFrame | None = None, settings: GbtSettings = GbtSettings(), key: str | None = None
+) -> GbtModel:
+    """Boosted trees on ``(label, features)``; a validation table stops the rounds and cuts the model."""
+    columns = ["label", "features", *([key] if key else [])]
+    rows = train.select(*columns, F.lit(boosting.ALL).alias("out"))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*columns, F.lit(boosting.NONE).alias("out")))
+    fitted, _ = boosting.fit(rows, settings, key=key)
+    return GbtModel(tuple(fitted))
 
-    Spark's own early stop has no patience, so all rounds are fitted, the loss of
-    every prefix is read in one pass, and a shorter model is refitted with the
-    same seed when a prefix is better.
-    """
-    weighted = weigh_positives(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = settings.estimator().fit(weighted)
-        if validation is None:
-            return model
-        losses = model.evaluateEachIteration(weigh_positives(validation))
-        rounds = patience_prefix(losses, settings.patience)
-        return model if rounds == settings.max_iter else settings.estimator(rounds).fit(weighted)
-    finally:
-        weighted.unpersist()
 
+@dataclass(frozen=True)
+class Calibrated:
+    """A calibrated model and (label, fold, score, probability) of its train rows, not seen in their fits.
 
-def calibrate_isotonic(
-    train: DataFrame,
-    key: str,
-    folds: int = 5,
-    settings: GbtSettings = GbtSettings(),
-    seed: int = C.SEED,
-) -> PipelineModel:
-    """Cross-fitted isotonic calibration as one saved pipeline.
-
-    Each fold refits the trees on the other folds and calibrates on its own
-    rows; the probability is the mean over folds. Equal held-out scores are one
-    weighted cell. Spark pools the cells of each partition, and finishes on
-    what is left of all of them. The folds are fitted side by side.
+    ``score`` is a row's probability by the member that was not fitted on it;
+    ``probability`` calibrates it by a curve that has not seen the row either.
     """
-    folded = train.withColumn("_fold", fold_of(F.col(key), folds, seed)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
 
-    def fit(k: int) -> list:
-        names = {
-            "predictionCol": f"class_{k}",
-            "probabilityCol": f"probability_{k}",
-            "rawPredictionCol": f"margin_{k}",
-        }
-        part = weigh_positives(folded.filter(F.col("_fold") != k))
-        model = settings.estimator(**names).fit(part)
-        held = model.transform(folded.filter(F.col("_fold") == k))
-        cells = held.groupBy(vector_to_array(f"probability_{k}")[1].alias("score")).agg(
-            F.avg("label").alias("label"), F.count("label").cast("double").alias("weight")
-        )
-        isotonic = IsotonicRegression(
-            featuresCol="score", labelCol="label", weightCol="weight", predictionCol=f"calibrated_{k}"
-        ).fit(cells)
-        return [model, isotonic.setFeaturesCol(f"probability_{k}").setFeatureIndex(1)]
-
-    try:
-        stages = [stage for pair in side_by_side(fit, range(folds)) for stage in pair]
-    finally:
-        folded.unpersist()
-    mean = " + ".join(f"calibrated_{k}" for k in range(folds))
-    helpers = ", ".join(
-        f"{name}_{k}" for k in range(folds) for name in ("class", "probability", "calibrated", "margin")
-    )
-    average = SQLTransformer(
-        statement=f"SELECT * EXCEPT ({helpers}), ({mean}) / {float(folds)}D AS probability FROM __THIS__"
-    )
-    return PipelineModel([*stages, average])
+    model: GbtModel
+    held_out: DataFrame
 
 
-def held_out_scores(
-    model: PipelineModel, train: DataFrame, key: str, folds: int = 5, seed: int = C.SEED
-) -> DataFrame:
-    """(key, label, probability): each train row scored by the member that was not fitted on it.
+def calibrate_isotonic(
+    train: DataFrame, key: str, folds: int = 5, settings: GbtSettings = GbtSettings(), seed: int = C.SEED
+) -> Calibrated:
+    """Cross-fitted isotonic calibration over folds that hold an exact share of each label.
 
-    ``folds`` and ``seed`` are those of :func:`calibrate_isotonic`.
+    Member k is fitted on all folds but the k-th, all members in the same
+    passes, and calibrated on the k-th. The fit leaves every row's margins, so
+    its held-out score needs no further scoring.
     """
-    parts = []
-    for k in range(folds):
-        rows = train.filter(fold_of(F.col(key), folds, seed) == k)
-        trees, isotonic = model.stages[2 * k : 2 * k + 2]
-        scored = isotonic.transform(trees.transform(rows))
-        parts.append(scored.select(key, "label", F.col(f"calibrated_{k}").alias("probability")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def tuned_threshold(
-    model: PipelineModel, train: DataFrame, key: str, folds: int = 5, seed: int = C.SEED, default: float = 0.5
-) -> float:
-    """The threshold of the best F1 on held-out scores; ``default`` without positives."""
-    scores = held_out_scores(model, train, key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stratified_folds(train.select(key, "label", "features"), key, "label", folds, seed)
+    fitted, ends = boosting.fit(folded.withColumnRenamed("fold", "out"), settings, folds, key)
+
+    def own_margin(margins: pa.Array, out: pa.Array) -> pa.Array:
+        every = boosting.bytes_of(margins, float, folds)
+        return pa.array(sigmoid(every[np.arange(len(every)), out.to_numpy()]))
+
+    score = F.arrow_udf(own_margin, "double")("margins", "out")
+    # Two halves of each fold, each calibrated by the other for the tuning of thresholds.
+    half = F.pmod(F.shiftright("turn", 7), F.lit(2)).cast("int")
+    held = ends.select("label", F.col("out").alias("fold"), (2 * F.col("out") + half).alias("part"), score.alias("score"))
+    whole = isotonic_models(held, "fold")
+    halves = isotonic_models(held, "part")
+    none = Isotonic.of([])
+
+    def cross(scores: pa.Array, part: pa.Array) -> pa.Array:
+        values, number = scores.to_numpy(), part.to_numpy()
+        out = np.zeros(len(values))
+        for k in np.unique(number):
+            # A fold with one row has no other half.
+            curve = halves.get(int(k) ^ 1) or whole.get(int(k) // 2, none)
+            out[number == k] = curve(values[number == k])
+        return pa.array(out)
+
+    held = held.withColumn("probability", F.arrow_udf(cross, "double")("score", "part")).drop("part")
+    model = GbtModel(tuple(fitted), tuple(whole.get(k, none) for k in range(folds)))
+    return Calibrated(model, held)
+
+
+def tuned_threshold(held_out: DataFrame, default: float = 0.5) -> float:
+    """The threshold of the best F1 on scores that no fit has seen; ``default`` without positives."""
+    scores = held_out.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         best = curves.best_f1_threshold(scores, "probability", "label").first()
     finally:
@@ -195,12 +109,12 @@ def tuned_threshold(
     return best["threshold"] if best and best["f1"] else default
 
 
-def gbt_members(model: PipelineModel) -> list[GBTClassificationModel]:
-    return [s for s in model.stages if isinstance(s, GBTClassificationModel)]
+def gbt_members(model: GbtModel) -> list[Trees]:
+    return list(model.members)
 
 
 def score_records(
-    matrix: DataFrame, model: PipelineModel, threshold: float, mode: str = "additive"
+    matrix: DataFrame, model: GbtModel, threshold: float, mode: str = "additive"
 ) -> DataFrame:
     """Probability, tier, colour and whole percent of every record."""
     scored = model.transform(matrix)
@@ -266,25 +180,31 @@ def fit_text_classifier(
 
 
 def ablation_compare(
-    sets: Mapping[str, tuple[DataFrame, DataFrame]],
-    settings: GbtSettings = GbtSettings(),
-    threshold: float = 0.5,
-    train: Callable[[DataFrame, DataFrame | None, GbtSettings], GBTClassificationModel] = train_gbt,
+    sets: Mapping[str, tuple[DataFrame, DataFrame, DataFrame]], settings: GbtSettings = GbtSettings()
 ) -> DataFrame:
-    """Same training on several feature sets, side by side; one row of test metrics per set."""
-    parts = []
-    fitted = side_by_side(lambda rows: train(rows[0], None, settings), list(sets.values()))
-    for (name, (_, test_rows)), model in zip(sets.items(), fitted, strict=True):
-        scored = positive_probability(model.transform(test_rows), "gbt_probability", "p")
-        area = curves.auroc(scored, "p", "label").first()["auroc"]
-        parts.append(
-            curves.confusion_metrics(scored, "p", "label", threshold).select(
-                F.lit(name).alias("feature_set"),
-                "*",
-                F.lit(area).cast("double").alias("auroc"),
-                F.lit(model.numFeatures).alias("n_features"),
-            )
+    """Same training on several feature sets, side by side; one row of test metrics per set.
+
+    A set is (train, validation, test). The validation rows stop the rounds of
+    their set and tune its threshold; the test rows only measure.
+    """
+
+    def arm(item: tuple[str, tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
+        name, (train, validation, test) = item
+        model = train_gbt(train, validation, settings)
+        threshold = tuned_threshold(model.transform(validation).select("probability", "label"))
+        scored = model.transform(test).select("probability", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            area = curves.auroc(scored, "probability", "label").first()["auroc"]
+            found = curves.confusion_metrics(scored, "probability", "label", threshold).first()
+        finally:
+            scored.unpersist()
+        facts = [(name, *found, area, threshold, model.n_features, model.n_trees)]
+        kinds = "tn long, fp long, fn long, tp long, precision double, recall double, f1_macro double"
+        return SparkSession.active().createDataFrame(
+            facts, f"feature_set string, {kinds}, auroc double, threshold double, n_features int, trees int"
         )
+
+    parts = side_by_side(arm, list(sets.items()))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

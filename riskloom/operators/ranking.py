@@ -74,6 +74,22 @@ def stratified_split(
     return placed.withColumn(output, side).drop("_cut")
 
 
+def stratified_folds(
+    rows: DataFrame, key: str, label: str, folds: int = 5, seed: int = C.SEED, output: str = "fold"
+) -> DataFrame:
+    """Number the rows of every label 0 to ``folds`` - 1 in equal shares, up to one row, by seeded hash order.
+
+    Copies of a key stay together. Rows without key or label are in fold 0.
+    """
+    for k in range(1, folds):
+        cuts = split_cutoffs(rows, key, label, k / folds, seed + 1).withColumnRenamed("_cut", f"_cut_{k}")
+        rows = rows.join(cuts, label, "left")
+    mine = F.struct(order_hash(F.col(key), seed + 1).alias("_hash"), F.col(key).alias("_key"))
+    above = [F.coalesce((mine > F.col(f"_cut_{k}")).cast("int"), F.lit(0)) for k in range(1, folds)]
+    numbered = rows.withColumn(output, sum(above[1:], above[0]) if above else F.lit(0))
+    return numbered.drop(*[f"_cut_{k}" for k in range(1, folds)])
+
+
 def fold_of(key: Column, folds: int = 5, seed: int = C.SEED) -> Column:
     """Fold number from the seeded order hash."""
     return F.pmod(F.conv(F.substring(order_hash(key, seed + 1), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators.ensembles import FACTS, GbtModel
 from riskloom.session import shared_folder
 
 
@@ -53,11 +54,18 @@ def vector_scan(spark: SparkSession, path: str, vector: str) -> DataFrame:
     return rows.withColumn(vector, F.col(vector).cast("array<float>"))
 
 
-def model_sink(model: PipelineModel, path: str) -> None:
-    model.write().save(path)
+def model_sink(model: PipelineModel | GbtModel, path: str) -> None:
+    if isinstance(model, GbtModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().save(path)
 
 
-def model_scan(path: str) -> PipelineModel:
+def model_scan(path: str) -> PipelineModel | GbtModel:
+    """What was stored at ``path``: a model of boosted trees, which has its facts there, or a Spark pipeline."""
+    spark = SparkSession.active()
+    if json_artifact_scan(spark, f"{path}/facts", FACTS).first():
+        return GbtModel.load(spark, path)
     return PipelineModel.load(path)
 
 
@@ -65,8 +73,8 @@ STORED = "kind string, rows bigint, mark string, threshold double, path string"
 
 
 def stored_model(
-    train: DataFrame, kind: str, fit: Callable[[], tuple[PipelineModel, float]]
-) -> tuple[PipelineModel, float]:
+    train: DataFrame, kind: str, fit: Callable[[], tuple[PipelineModel | GbtModel, float]]
+) -> tuple[PipelineModel | GbtModel, float]:
     """The model stored for ``kind`` and these train rows, with its threshold; fitted and stored if there is none.
 
     Models are listed as JSON records in the application's part of the shared

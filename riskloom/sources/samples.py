@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +19,22 @@ def hash_number(key: Column, name: str, low: int, high: int, seed: int = C.SEED)
 def synth_texts(
     rows: DataFrame,
     key: str,
-    templates: Sequence[str] = tuple(C.SAMPLE_TEMPLATES),
-    conditions: Sequence[str] = tuple(C.SAMPLE_CONDITIONS),
-    drugs: Sequence[str] = tuple(C.SAMPLE_DRUGS),
+    templates: Sequence[str],
+    words: Mapping[str, Sequence[str]],
+    ranges: Mapping[str, tuple[int, int]],
     seed: int = C.SEED,
 ) -> DataFrame:
-    """A text per row: template, condition and drug cycle with the key, numbers are hashed."""
+    """A text per row: its template and ``words`` cycle with the key, numbers come from ``ranges`` by hash.
+
+    A template names what is put in as ``{name}``.
+    """
     number = F.col(key)
     cycle = lambda items: F.get(
         F.array(*[F.lit(i) for i in items]), F.pmod(number, F.lit(len(items))).cast("int")
     )
+    values = {name: cycle(items) for name, items in words.items()}
+    values |= {name: hash_number(number, name, low, high, seed).cast("string") for name, (low, high) in ranges.items()}
     filled = cycle(templates)
-    values = {
-        "cond": cycle(conditions),
-        "drug": cycle(drugs),
-        "phase": hash_number(number, "phase", 1, 4, seed).cast("string"),
-        "enroll": hash_number(number, "enroll", 50, 2000, seed).cast("string"),
-        "sites": hash_number(number, "sites", 5, 120, seed).cast("string"),
-    }
     for name, value in values.items():
         filled = F.replace(filled, F.lit("{" + name + "}"), value)
     return rows.select(key, filled.alias("text"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.operators import embed, explain, models
+from riskloom.operators import boosting, curves, embed, explain, models
 from riskloom.operators.features import fit_tfidf, tfidf_long, vocabulary_of, with_terms
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts
@@ -28,27 +28,32 @@ def matrix(spark):
 
 
 @pytest.fixture(scope="module")
-def calibrated(matrix):
+def cross_fitted(matrix):
     return models.calibrate_isotonic(matrix, "id", 3, SETTINGS)
 
 
+@pytest.fixture(scope="module")
+def calibrated(cross_fitted):
+    return cross_fitted.model
+
+
 def test_patience():
-    assert models.patience_prefix([3, 2, 1], 2) == 3
-    assert models.patience_prefix([3, 1, 2, 2, 0], 2) == 2
-    assert models.patience_prefix([3, 1, 2, 0.5, 2], 3) == 4
+    assert models.patience_prefix([1, 2, 3], 2) == 3
+    assert models.patience_prefix([1, 3, 2, 2, 4], 2) == 2
+    assert models.patience_prefix([1, 3, 2, 3.5, 2], 3) == 4
 
 
 def test_early_stop_keeps_a_prefix(matrix):
     fold = F.col("id") % 4
     model = models.train_gbt(matrix.filter(fold != 0), matrix.filter(fold == 0), SETTINGS)
-    assert 1 <= model.getNumTrees <= 5
+    assert 1 <= model.n_trees <= 5
 
 
 def test_calibration_is_monotone_and_bounded(matrix, calibrated):
     scored = calibrated.transform(matrix).select("probability").toPandas()
     assert scored.probability.between(0, 1).all()
-    cells = calibrated.stages[1]
-    assert list(cells.predictions) == sorted(cells.predictions)
+    for curve in calibrated.calibrations:
+        assert list(curve.value) == sorted(curve.value) and list(curve.at) == sorted(curve.at)
 
 
 def test_reloaded_model_scores_equal(spark, matrix, calibrated):
@@ -77,15 +82,25 @@ def test_stored_model_belongs_to_its_rows(spark, matrix, calibrated):
     assert len(fits) == 3
 
 
-def test_threshold_comes_from_held_out_rows(matrix, calibrated):
-    held = models.held_out_scores(calibrated, matrix, "id", 3)
-    assert held.count() == held.select("id").distinct().count() == 400
-    threshold = models.tuned_threshold(calibrated, matrix, "id", 3)
-    rows = held.toPandas()
+def test_threshold_comes_from_held_out_rows(matrix, cross_fitted):
+    rows = cross_fitted.held_out.toPandas()
+    assert len(rows) == 400 and rows.probability.between(0, 1).all()
+    own = np.stack([r["features"].toArray() for r in matrix.collect()])
+    every = [boosting.sigmoid(m.margins(own)) for m in cross_fitted.model.members]
+    for k, found in rows.groupby("fold").score:
+        assert np.isin(found.round(9), every[k].round(9)).all()
+    threshold = models.tuned_threshold(cross_fitted.held_out)
     f1 = lambda t: 2 * ((rows.probability >= t) & (rows.label == 1)).sum() / ((rows.probability >= t).sum() + (rows.label == 1).sum())
     assert f1(threshold) == pytest.approx(max(f1(t) for t in rows.probability.unique()))
 
 
+def test_held_out_probability_has_not_seen_its_row(spark, matrix):
+    """Labels that nothing explains: a curve fitted on the rows themselves would seem to know them."""
+    noise = matrix.withColumn("label", (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)) == 0).cast("double"))
+    found = models.calibrate_isotonic(noise, "id", 3, SETTINGS).held_out
+    assert curves.auroc(found, "probability", "label").first()["auroc"] < 0.6
+
+
 def margin(leaves, x, known):
     """Expected margin of a row when only some features are known."""
     total = 0.0
@@ -123,12 +138,9 @@ def test_attributions_are_exact(matrix, calibrated):
 def test_attributions_add_up_to_log_odds(matrix, calibrated):
     members = models.gbt_members(calibrated)
     attributed = explain.tree_attributions(matrix, members).select("id", "log_odds", "phi", "base_value")
-    scored = matrix
-    for k, member in enumerate(members):
-        scored = member.transform(scored)
-    rows = scored.join(attributed, "id").collect()
+    rows = matrix.join(attributed, "id").collect()
     for row in rows:
-        odds = np.mean([np.log(row[f"probability_{k}"][1] / row[f"probability_{k}"][0]) for k in range(3)])
+        odds = np.mean([m.margins(row["features"].toArray()[None])[0] for m in members])
         assert row["log_odds"] == pytest.approx(odds, abs=1e-6)
         assert row["log_odds"] == pytest.approx(row["base_value"] + sum(row["phi"]), abs=1e-9)
 
