@@ -10,6 +10,8 @@ first; a small table names each shard's file and counts.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -20,9 +22,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from tokenizers import Tokenizer
 
-from riskloom.llm.bpe import REMEMBERED
+from riskloom.llm.bpe import ASCII_PIECE, REMEMBERED
 from riskloom.llm.common import as_bytes, partitions, settle, sliced
 from riskloom.llm.eliasfano import EliasFano
 from riskloom.session import shared_folder
@@ -31,6 +34,9 @@ from riskloom.session import shared_folder
 TAIL = "<QQQQQB7s"
 MARK = b"EFTOKEN"
 END_ID = 2
+#: Ids of a file, about; bounds the lists of lengths and keys a worker holds.
+SHARD_IDS = 1 << 26
+ROWS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,72 +47,158 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+class Generations:
+    """Values by key; of those not asked for since ``most`` others came, the oldest are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library, which sees every piece of a word once.
+
+    White space is no part of any token, and pieces of a word are encoded
+    independently, so the distinct chunks of a batch are looked up, their
+    pieces are where they are new, and the library gets the new pieces.
+    """
+
+    def __init__(self, path: str, width: str):
+        self.library, self.width = tokenizer(path), np.dtype(width)
+        self.chunks, self.pieces = Generations(REMEMBERED // 2), Generations(REMEMBERED // 2)
+        self.find_ascii = re.compile(ASCII_PIECE)
+
+    def pieces_of(self, chunk: bytes) -> list[str]:
+        """Pieces that the library splits this into; the whole where only it knows."""
+        text = chunk.decode()
+        return self.find_ascii.findall(text.lower()) if chunk.isascii() and b"<|" not in chunk else [text]
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, all of them new ones in one call of the library."""
+        found = {p: self.pieces.get(p) for p in pieces}
+        missing = [p for p, ids in found.items() if ids is None]
+        if missing:
+            made = self.library.encode(missing, is_pretokenized=True, add_special_tokens=False)
+            ids, words = np.array(made.ids, self.width), np.array(made.word_ids, np.int64)
+            ends = np.searchsorted(words, np.arange(len(missing) + 1)).tolist()
+            for piece, first, end in zip(missing, ends, ends[1:], strict=False):
+                found[piece] = ids[first:end].tobytes()
+                self.pieces.put(piece, found[piece])
+        return found
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids per text), each text with ``end`` behind it."""
+        words = [text.split() for text in texts]
+        for own in words:
+            own.append(b"")  # no text has an empty chunk: it stands for the end
+        coded = pa.array(itertools.chain.from_iterable(words), pa.binary()).dictionary_encode()
+        vocabulary = coded.dictionary.to_pylist()
+        known = [self.chunks.get(c) for c in vocabulary]
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        cut = [self.pieces_of(vocabulary[k]) if vocabulary[k] else [] for k in missing]
+        found = self.learn([p for own in cut for p in own])
+        for k, own in zip(missing, cut, strict=True):
+            known[k] = b"".join(map(found.__getitem__, own)) if vocabulary[k] else np.array([end], self.width).tobytes()
+            self.chunks.put(vocabulary[k], known[k])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width.itemsize
+        flat = np.frombuffer(b"".join(known), self.width)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[index]
+        total = np.cumsum(lengths)
+        starts = (np.cumsum(sizes) - sizes)[index] - total + lengths
+        ids = flat[np.repeat(starts, lengths) + np.arange(total[-1] if len(total) else 0)]
+        ends = total[np.cumsum(list(map(len, words))) - 1] if words else total
+        return ids, np.diff(ends, prepend=0)
+
+
 @functools.lru_cache(maxsize=4)
-def remembered(path: str) -> dict[bytes, bytes]:
-    return {}
-
-
-def encode_texts(texts: list[bytes], path: str, width: str) -> list[bytes]:
-    """Ids of each text. White space is no part of any token, so each chunk
-    between ASCII white space is encoded once, by the tokenizers library."""
-    known = remembered(path)
-    chunks = [text.split() for text in texts]
-    missing = list({c for words in chunks for c in words if c not in known})
-    if missing:
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list({c for words in chunks for c in words})
-        found = tokenizer(path).encode([c.decode() for c in missing], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, width)
-        words = np.array(found.word_ids, np.int64)
-        ends = np.searchsorted(words, np.arange(len(missing) + 1))
-        known.update((c, ids[a:b].tobytes()) for c, a, b in zip(missing, ends, ends[1:], strict=False))
-    return [b"".join(map(known.__getitem__, words)) for words in chunks]
+def encoder(path: str, width: str) -> Encoder:
+    """One encoder per worker and file."""
+    return Encoder(path, width)
+
+
+class Writer:
+    """One file under construction."""
+
+    def __init__(self, system: fs.FileSystem, root: str, shard: int, width: str):
+        self.system, self.width = system, np.dtype(width)
+        self.name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
+        self.out = system.open_output_stream(self.name)
+        self.lengths, self.keys, self.nulls, self.n_ids = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], 0, 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, keys: pa.Array) -> None:
+        self.out.write(ids.tobytes())
+        self.lengths.append(lengths)
+        self.nulls += keys.null_count
+        self.keys.append(keys.drop_null().to_numpy())
+        self.n_ids += len(ids)
+
+    def close(self) -> int:
+        """Write both lists and the tail; the number of documents."""
+        bounds = np.cumsum(np.concatenate(self.lengths))
+        lists = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.concatenate(self.keys)).to_bytes()]
+        self.out.write(b"".join(lists))
+        self.out.write(struct.pack(TAIL, self.n_ids, len(bounds) - 1, self.nulls, *map(len, lists), self.width.itemsize, MARK))
+        self.out.close()
+        return len(bounds) - 1
 
 
 def write_shards(
-    docs: DataFrame, path: str, folder: str | None = None, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    folder: str | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    most: int = SHARD_IDS,
 ) -> DataFrame:
     """Encode every text, append the end id, write shards; returns their table.
 
-    (shard, file, n_docs, n_ids), shards without documents left out. Null and
-    empty texts hold the end id alone. Repeated rows are written each. A task
-    writes to a file name of its own and the table names the file of the task
-    that counted, so lost or repeated tasks do no harm. ``folder`` must be
-    reachable from every executor; by default it lies in the shared folder.
+    (shard, part, file, n_docs, n_ids): a task begins a new part once one has
+    ``most`` ids. Null and empty texts hold the end id alone. Repeated rows are
+    written each; documents of one key, or of none, stand in the order of their
+    texts. A key that is no whole number is refused. A task writes to file
+    names of its own and the table names the files of the task that counted, so
+    lost or repeated tasks do no harm. ``folder`` must be reachable from every
+    executor; by default it lies in the shared folder.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"keys of token files are whole numbers, {key} is {docs.schema[key].dataType.simpleString()}")
     folder = folder or shared_folder(docs.sparkSession)
     size = tokenizer(path).get_vocab_size(with_added_tokens=True)
     width = "<u2" if max(size, END_ID + 1) <= 1 << 16 else "<u4"
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, part, writer = TaskContext.get().partitionId(), 0, None
         system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         system.create_dir(root, recursive=True)
-        name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
-        end = np.array([END_ID], width).tobytes()
-        lengths, keys, nulls = [0], [], 0
-        with system.open_output_stream(name) as out:
-            for batch in sliced(batches, "text"):
-                for ids in encode_texts(as_bytes(batch, "text"), path, width):
-                    out.write(ids + end)
-                    lengths.append(len(ids + end) // int(width[2]))
-                column = batch.column("key")
-                nulls += column.null_count
-                keys.append(column.drop_null().to_numpy())
-            bounds = np.cumsum(lengths)
-            lists = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.concatenate(keys or [np.zeros(0, np.int64)])).to_bytes()]
-            out.write(b"".join(lists))
-            out.write(struct.pack(TAIL, bounds[-1], len(bounds) - 1, nulls, *map(len, lists), int(width[2]), MARK))
-        if len(bounds) > 1:
-            row = {"shard": [shard], "file": [name], "n_docs": [len(bounds) - 1], "n_ids": [int(bounds[-1])]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-        else:
-            system.delete_file(name)
-
-    shards = ordered.mapInArrow(write, "shard int, file string, n_docs long, n_ids long")
+        known = encoder(path, width)
+
+        def done() -> pa.RecordBatch:
+            row = {"shard": [shard], "part": [part], "file": [writer.name], "n_docs": [writer.close()], "n_ids": [writer.n_ids]}
+            return pa.RecordBatch.from_pydict(row, ROWS)
+
+        for batch in sliced(batches, "text"):
+            if writer and writer.n_ids >= most:
+                yield done()
+                writer, part = None, part + 1
+            writer = writer or Writer(system, root, shard, width)
+            writer.add(*known.encode(as_bytes(batch, "text"), END_ID), batch.column("key"))
+        if writer:
+            yield done()
+
+    shards = ordered.mapInArrow(write, "shard int, part int, file string, n_docs long, n_ids long")
     return settle(shards.withColumn("folder", F.lit(folder)))
 
 
@@ -138,8 +230,8 @@ def read_shards(shards: DataFrame, step: int = 256) -> DataFrame:
     ``ids`` holds little-endian unsigned 32-bit integers. A shard is read in
     steps of ``step`` documents.
     """
-    # One row per shard, of which there are as many as shuffle partitions.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file of some ten million ids.
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = settle(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")))
     schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -165,5 +257,5 @@ def read_shards(shards: DataFrame, step: int = 256) -> DataFrame:
                     schema=schema,
                 )
 
-    spread = placed.repartition(partitions(shards.sparkSession), "shard")
+    spread = placed.repartition(partitions(shards.sparkSession), "shard", "part")
     return spread.mapInArrow(read, "key long, start long, n_tokens long, ids binary")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pandas as pd
@@ -21,9 +21,10 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-# Where pages name the address they stand for.
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)"""
+# Elements whose content is text and no markup.
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+TAG = re.compile(r"<([A-Za-z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 REFRESH_URL = re.compile(r"""url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"']+))""", re.I)
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 REFERENCE = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?", re.S)
@@ -40,7 +41,7 @@ def with_parts(rows: DataFrame, url: str, host: str = "host", path: str = "path"
     in lower case; null without a host.
     """
     begin = F.instr(url, "://")
-    rest = F.when(begin > 0, F.regexp_replace(F.substring(F.col(url), begin + 3, F.char_length(url)), "#.*", "")).otherwise("")
+    rest = F.when(begin > 0, F.regexp_replace(F.substring(F.col(url), begin + 3, F.char_length(url)), "(?s)#.*", "")).otherwise("")
     rows = rows.withColumn("_rest", F.coalesce(rest, F.lit("")))
     rows = rows.withColumn("_host", lower_ascii(F.regexp_extract("_rest", r"^[^/?]*", 0)))
     rows = rows.withColumn("_tail", F.substring("_rest", F.char_length("_host") + 1, F.char_length("_rest")))
@@ -93,36 +94,69 @@ def resolved(base: str | None, target: str) -> str | None:
     return f"{scheme}://{host}{without_dots(path)}{query or ''}" if host else None
 
 
-@F.pandas_udf(T.StringType())
-def target_url(base: pd.Series, written: pd.Series, refresh: pd.Series) -> pd.Series:
-    """The url that an attribute value names, with its quotes and character references still in it."""
-
-    def named(page, value, moves):
-        value = unescape(value[1:-1] if value[0] in "\"'" else value)
-        if moves:
-            found = REFRESH_URL.search(value)
-            value = "".join(filter(None, found.groups())) if found else ""
-        value = value.strip(" \t\r\n\f")
-        return resolved(page and page.strip(), value) if value else None
-
-    return pd.Series([named(*row) for row in zip(base, written, refresh, strict=True)], dtype=object)
+def tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """(name, attributes) of every start tag outside comments and raw text, in one pass."""
+    at = html.find("<")
+    while at >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            if end < 0:
+                return
+            at = html.find("<", end)
+            continue
+        found = TAG.match(html, at)
+        if not found:
+            at = html.find("<", at + 1)
+            continue
+        name, at, own = found.group(1).lower(), found.end(), {}
+        while found := ATTRIBUTE.match(html, at):
+            value = next((v for v in found.groups()[1:] if v is not None), "")
+            own.setdefault(found.group(1).lower(), unescape(value))
+            at = found.end()
+        yield name, own
+        if name in RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            if not end:
+                return
+            at = end.start() + 1
+        at = html.find("<", at)
+
+
+def alias_targets(url: str | None, html: str | None) -> list[str]:
+    """Absolute urls that a page names as its canonical address or sends its readers to."""
+    base, written = (url or "").strip(" \t\r\n\f"), []
+    first = True
+    for name, own in tags(html or ""):
+        if name == "base" and "href" in own and first:
+            first, base = False, resolved(base, own["href"].strip(" \t\r\n\f")) or base
+        elif name == "link" and "canonical" in own.get("rel", "").lower().split():
+            written.append(own.get("href", ""))
+        elif name == "meta" and own.get("http-equiv", "").strip().lower() == "refresh":
+            found = REFRESH_URL.search(own.get("content", ""))
+            written.append("".join(filter(None, found.groups())) if found else "")
+    values = (value.strip(" \t\r\n\f") for value in written)
+    found = (resolved(base, value) for value in values if value)
+    return list(dict.fromkeys(filter(None, found)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def page_targets(url: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([alias_targets(*row) for row in zip(url, html, strict=True)], dtype=object)
 
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses: where pages declare a canonical address or a redirect."""
-    named = F.array(
-        F.struct(F.regexp_extract("_html", CANONICAL, 1).alias("written"), F.lit(False).alias("refresh")),
-        F.struct(F.regexp_extract("_html", REFRESH, 1).alias("written"), F.lit(True).alias("refresh")),
-    )
+    """(source, target) addresses: where pages declare canonical addresses or redirects.
+
+    All links of a page count, in any order; ``rel`` is a list of words; a
+    ``base`` element changes where relative links start. Comments, scripts and
+    other raw text hold no links.
+    """
     saying = pages.select(F.col(url).alias("_url"), F.col(html).alias("_html")).filter(
         F.rlike("_html", F.lit(r"(?i)canonical|http-equiv"))
     )
     # Written before it is filtered: a pushed filter would unfold all the steps above it.
-    links = settle(saying.select("_url", F.inline(named)).filter("written <> ''"))
-    links = with_parts(links, "_url", at="source").select(
-        "source", target_url("_url", "written", "refresh").alias("_to")
-    )
-    links = with_parts(links, "_to", at="target")
+    links = settle(saying.select("_url", F.explode(page_targets("_url", "_html")).alias("_to")))
+    links = with_parts(with_parts(links, "_url", at="source").select("source", "_to"), "_to", at="target")
     return settle(links.select("source", "target"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -162,6 +163,29 @@ def test_token_files(spark, library, odd_docs, no_docs, texts):
     assert [r["key"] for r in odd] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert [r["start"] for r in odd] == [0, *np.cumsum([r["n_tokens"] for r in odd])[:-1]]
     assert tokenfile.read_shards(tokenfile.write_shards(no_docs, VOCABULARY)).count() == 0
+    with pytest.raises(TypeError):
+        tokenfile.write_shards(odd_docs.withColumn("doc_id", F.lit("x")), VOCABULARY)
+
+
+def test_token_files_of_several_parts(spark, library):
+    texts = ["b a", "a b c don't", "", None, "Zebra! 12", "é漢字 <|endoftext|>x"] * 40
+    rows = [(k // 3 if k % 7 else None, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shards = tokenfile.write_shards(docs.limit(240), VOCABULARY, most=1)
+    found = tokenfile.read_shards(shards).orderBy("start").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    assert [r["key"] for r in found] == [k for k, _ in want]
+    for r, (_, text) in zip(found, want, strict=True):
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1]]
+
+
+def test_generations_forget_the_oldest():
+    held = tokenfile.Generations(2)
+    for k in (1, 2, 3, 4):
+        held.put(k, k)
+        held.get(2)
+    assert held.get(2) == 2 and held.get(1) is None
 
 
 PAGE = (
@@ -448,6 +472,23 @@ def test_alias_targets_of_every_form(spark):
     pages = spark.createDataFrame([(base, html) for html, _ in forms], "url string, html string")
     found = [r["target"] for r in urlrules.alias_links(pages).collect()]
     assert sorted(filter(None, found)) == sorted(filter(None, [want for _, want in forms]))
+    more = [
+        ("<script>var a = '<link rel=canonical href=/no>';</script><!-- <link rel=canonical href=/no> -->", []),
+        ("<!-- open <link rel=canonical href=/no>", []),
+        ('<a title="<link rel=canonical href=/no>">x</a><LINK REL="canonical" HREF="/a">', ["http://a.com/a"]),
+        ('<base href="/b/"><link rel="alternate canonical" href="x"><link rel=canonical href=y><link rel=nocanonical href=z>', ["http://a.com/b/x", "http://a.com/b/y"]),
+        ('<base target=x><base href="http://c.com/q"><base href="/no/"><meta content="1; url=w" http-equiv=Refresh>', ["http://c.com/w"]),
+        ("<script>no end <link rel=canonical href=/no>", []),
+        ("<style></style><link/rel='canonical'/href=/slash>", ["http://a.com/slash"]),
+        ("<link rel=canonical", []),
+        (None, []),
+    ]
+    for html, want in more:
+        assert urlrules.alias_targets(base, html) == want, html
+    started = time.time()
+    for part in ("<link rel=\"", "<!--", "<script ", "<a b='", "<"):
+        urlrules.alias_targets(base, part * 200_000)
+    assert time.time() - started < 20
     lone = spark.createDataFrame([("a.com/no/scheme", canonical.format("x")), (None, canonical.format("x")), ("http://a.com", canonical.format("x"))], "url string, html string")
     assert [r["target"] for r in urlrules.alias_links(lone).collect() if r["target"]] == ["a.com/x"]
     rows = [
@@ -459,6 +500,48 @@ def test_alias_targets_of_every_form(spark):
     assert {r["page_id"]: r["verdict"] for r in urlrules.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_fragments_with_line_breaks(spark):
+    ends = ["\n", "\r", "\u0085", "\u2028", "\u2029"]
+    pages = spark.createDataFrame([(k, f"http://a.com/x#f{e}b/y?z") for k, e in enumerate(ends)], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    assert {(r["host"], r["path"]) for r in urlrules.judge(pages).collect()} == {("a.com", "/x")}
+
+
+def test_verdicts_over_a_generated_link_graph(spark):
+    """Closure by repeated passes over the links of 2,000 pages."""
+    rng = np.random.default_rng(7)
+    hosts = ["a.com", "b.org", "c.net", "www.example.net", "example.com", "d.org"]
+    paths = ["/", "/en/x", "/de/y", "/fr/z", "/q"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}?{k}" for k in range(2000)]
+    links = {}
+    for k in range(2000):
+        if rng.random() < 0.6:
+            links[k] = [int(v) for v in rng.integers(max(0, k - 40), min(2000, k + 40), rng.integers(1, 3))]
+    forms = ['<link rel=canonical href="{}">', '<meta http-equiv=refresh content="0; url={}">']
+    rows = [(k, urls[k], "".join(forms[(k + i) % 2].format(urls[v]) for i, v in enumerate(links.get(k, [])))) for k in range(2000)]
+
+    def rule(url):
+        host, _, path = url.partition("://")[2].partition("?")[0].partition("/")
+        fits = [(len(h + p), say) for say, h, p in urlrules.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    group = list(range(2000))
+    moved = True
+    while moved:
+        moved = False
+        for k, targets in links.items():
+            for v in targets:
+                low = min(group[k], group[v])
+                moved |= group[k] != low or group[v] != low
+                group[k] = group[v] = low
+    said = {}
+    for k in range(2000):
+        said.setdefault(group[k], set()).add(rule(urls[k]))
+    want = {k: rule(urls[k]) or ("allow" if "allow" in said[group[k]] else "block" if "block" in said[group[k]] else "allow") for k in range(2000)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    found = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages).collect()}
+    assert found == want and sum(v == "block" for k, v in want.items() if rule(urls[k]) is None) > 20
+
+
 def test_main_text_in_wrappers_with_marks_in_their_names(spark):
     costs = mainpage.costs_of({})
     words = "<p>Many words in a long paragraph of a page that has something to say.</p>" * 5
