@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as C
 from riskloom.catalog import fixtures as X
+from riskloom.catalog import given
 from riskloom.catalog.fixtures import FEAT, SCALER, SCORED, T, r, rounded, sql_scaled, t
 from riskloom.catalog.registry import registry
 from riskloom.catalog.scalars import SCENARIO_SQL, SCORE, share_score
 from riskloom.functions import scoring
-from riskloom.operators import embed, explain, models, ranking, whatif
+from riskloom.operators import embed, epochs, explain, models, ranking, whatif
 from riskloom.operators import features as features_
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts
@@ -205,18 +206,20 @@ def scaled_contributions(fitted):
     return {c: F.lit(float(w)) * features_.scaled_column(c, fitted) for c, w in X.COEFFICIENTS.items()}
 
 
-def contribution_sql():
+def contribution_sql(scored=SCORED, effects=None):
+    """``scored`` with a table ``long`` of every record's contributions, by feature."""
     parts = []
     labels = C.FEATURE_LABELS
+    effects = effects or {c: f"{w}::DOUBLE * {sql_scaled(c)}" for c, w in X.COEFFICIENTS.items()}
     section_of = {f: (i, s) for i, (s, fs) in enumerate(C.SECTION_FEATURES.items()) for f in fs}
-    for k, (c, w) in enumerate(X.COEFFICIENTS.items()):
+    for k, (c, effect) in enumerate(effects.items()):
         i, section = section_of.get(c, (9, C.OTHER_SECTION))
         order = C.SECTION_FEATURES[section].index(c) if section in C.SECTION_FEATURES else k
         parts.append(
             f"select trial_id, p, '{c}' as feature, '{labels[c]}' as label, '{section}' as section, {i} as so, {order} as fo, "
-            f"{w}::DOUBLE * {sql_scaled(c)} as shap from scored, scaler"
+            f"{effect} as shap from scored, scaler"
         )
-    return SCORED + ",\nlong as (" + " union all ".join(parts) + ")"
+    return scored + ",\nlong as (" + " union all ".join(parts) + ")"
 
 
 @query(f"with {contribution_sql()} select trial_id, feature, {r('shap', 6)} as shap from long")
@@ -227,7 +230,8 @@ def linear_attributions(spark, sf):
     return rounded(long, 6, "shap")
 
 
-SECTION_SQL = f"""{contribution_sql()},
+def section_sql(contributions):
+    return f"""{contributions},
 sums as (select trial_id, p, section, so, sum(shap order by fo) as s from long group by all),
 secs as (select trial_id, p, section, {X.sql_half_even('s', 4)} as contribution, case when s >= 0 then 'increases risk' else 'reduces risk' end as direction,
   row_number() over (partition by trial_id order by abs({X.sql_half_even('s', 4)}) desc, so) - 1 as place
@@ -236,6 +240,9 @@ feats as (select trial_id, section, feature, label, {X.sql_half_even('shap', 4)}
   row_number() over (partition by trial_id, section order by abs({X.sql_half_even('shap', 4)}) desc, fo) - 1 as feature_place from long)"""
 
 
+SECTION_SQL = section_sql(contribution_sql())
+
+
 def explained_rows(spark, sf):
     rows, fitted = X.linear_scores(spark, sf, "probability")
     explained = explain.with_sections(rows, scaled_contributions(fitted), "sections")
@@ -277,19 +284,23 @@ def _named(found, name):
     )
 
 
-@query(f"""with {SECTION_SQL},
+def summary_sql(sections, threshold):
+    return f"""with {sections},
 ids as (select distinct trial_id, p from secs),
 risk as (select trial_id, count(*) as n, arg_min(section, place) as s1, max(case when k = 2 then section end) as s2
   from (select *, row_number() over (partition by trial_id order by place) as k from secs where contribution > 0) group by 1),
 guard as (select trial_id, arg_min(section, place) as g from secs where contribution < 0 group by 1),
 strong as (select risk.trial_id, label, shap from risk join feats on feats.trial_id = risk.trial_id and feats.section = risk.s1 where feature_place = 0)
-select trial_id, 'This trial is predicted ' || {X.sql_tier('p', X.THRESHOLD)} || ' (' || {X.sql_percent('p')} || ' probability) '
+select trial_id, 'This trial is predicted ' || {X.sql_tier('p', threshold)} || ' (' || {X.sql_percent('p')} || ' probability) '
   || case when n >= 2 then 'primarily because the ' || lower(s1) || ' and ' || lower(s2) || ' are both strong predictors of early termination in historical trials.'
      when n = 1 then 'primarily due to concerns with the ' || lower(s1) || ', a strong predictor of early termination.'
      else 'with no single dominant risk factor.' end
   || case when n >= 1 then ' The strongest individual signal is "' || label || '" (SHAP contribution: ' || {X.sql_fixed('shap', 2, True)} || ').' else '' end
   || case when g is not null then ' However, the ' || lower(g) || ' partially offset this risk.' else '' end as summary
-from ids left join risk using (trial_id) left join guard using (trial_id) left join strong using (trial_id)""")
+from ids left join risk using (trial_id) left join guard using (trial_id) left join strong using (trial_id)"""
+
+
+@query(summary_sql(SECTION_SQL, X.THRESHOLD))
 def nl_summary(spark, sf):
     tier = scoring.risk_tier(F.col("probability"), X.THRESHOLD)
     return explained_rows(spark, sf).select(
@@ -300,6 +311,73 @@ def nl_summary(spark, sf):
 # --- fitted models ---------------------------------------------
 
 
+# The same operators with a given ensemble, whose results SQL can tell.
+
+GIVEN_SCORED = f"{SCALER},\nscored as (select feat.*, {given.sql_probability()} as p from feat, scaler)"
+
+
+def given_matrix(spark, sf):
+    known, fitted = X.fitted(spark, sf)
+    rows = features_.scale_features(X.features(spark, sf, False, known), fitted)
+    return features_.feature_matrix(rows, columns=C.FEATURES)
+
+
+@query(f"""with {GIVEN_SCORED} select trial_id, {r('p', 6)} as probability, {X.sql_tier('p', given.THRESHOLD)} as risk_tier,
+  case {X.sql_tier('p', given.THRESHOLD)} when 'HIGH RISK' then '#E24B4A' when 'MEDIUM RISK' then '#EF9F27' else '#1D9E75' end as risk_color,
+  {X.sql_half_even('p * 100.0::DOUBLE', 0)}::INTEGER as confidence_pct from scored""")
+def score_given_trees(spark, sf):
+    scored = models.score_records(given_matrix(spark, sf), given.MODEL, given.THRESHOLD)
+    return rounded(scored.select("trial_id", "probability", "risk_tier", "risk_color", "confidence_pct"), 6, "probability")
+
+
+@query(f"with {GIVEN_SCORED} select count(*) as n, {r('sum(p)', 6)} as total from scored")
+def given_model_round_trip(spark, sf):
+    """Every record scored by the given ensemble after it was written and read back."""
+    folder = shared_folder(spark)
+    artifacts.model_sink(given.MODEL, folder)
+    scored = artifacts.model_scan(folder).transform(given_matrix(spark, sf))
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), F.sum("probability").alias("total")), 6, "total")
+
+
+GIVEN_EFFECTS = {c: given.sql_effect(c) for c in C.FEATURES}
+
+
+@query(f"""with {contribution_sql(GIVEN_SCORED, GIVEN_EFFECTS)} select trial_id, feature, {r('shap', 6)} as shap,
+  {r(repr(given.base_value()) + '::DOUBLE', 6)} as base_value,
+  {r(repr(given.base_value()) + '::DOUBLE + sum(shap) over (partition by trial_id)', 6)} as log_odds from long""")
+def attribute_given_trees(spark, sf):
+    found = explain.tree_attributions(given_matrix(spark, sf).select("trial_id", "features"), given.MODEL.members)
+    names = F.array(*map(F.lit, C.FEATURES))
+    pairs = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("shap")))
+    long = found.select("trial_id", pairs.alias("one"), "base_value", "log_odds")
+    return rounded(long.select("trial_id", "one.*", "base_value", "log_odds"), 6, "shap", "base_value", "log_odds")
+
+
+@query(summary_sql(section_sql(contribution_sql(GIVEN_SCORED, GIVEN_EFFECTS)), given.THRESHOLD).replace(
+    "as summary\nfrom", f"as natural_language_summary, {X.sql_half_even(repr(given.base_value()), 4)} as base_value\nfrom"))
+def explain_given_trees(spark, sf):
+    """Score, attribute and summarise every record, stored by key and read back."""
+    scored = models.score_records(given_matrix(spark, sf), given.MODEL, given.THRESHOLD)
+    folder = shared_folder(spark)
+    artifacts.json_artifact_sink(explain.explain_batch(scored, given.MODEL.members), folder)
+    return artifacts.json_artifact_scan(spark, folder, EXPLAINED).select("trial_id", "natural_language_summary", "base_value")
+
+
+@query(f"""with {GIVEN_SCORED}, {SCENARIO_SQL},
+x as (select {_OVERRIDES}, {_KEPT}, p as old_p from scored, scenarios s),
+q as (select x.*, {given.sql_probability()} as ps from x, scaler),
+n as (select trial_id, scenario_id, old_p, greatest(0.01::DOUBLE, least(ps + {X.sql_shift('enrollment_ratio')}, 0.99::DOUBLE)) as new_probability from q)
+select trial_id, scenario_id, {r('new_probability', 5)} as new_probability, {X.sql_tier('new_probability', given.THRESHOLD, 'proportional')} as new_tier,
+  {r('new_probability - old_p', 5)} as delta from n""")
+def whatif_given_trees(spark, sf):
+    known, fitted = X.fitted(spark, sf)
+    rows = X.features(spark, sf, False, known)
+    score = lambda table, name: given.MODEL.transform(features_.scaled_vector(table, fitted), name).drop("features")
+    base = score(rows, "probability").withColumn("p_text", F.lit(None).cast("double"))
+    scored = whatif.whatif_rescore(base, X.SCENARIOS, lambda table: score(table, "p_struct"), given.THRESHOLD)
+    return rounded(scored.select("trial_id", "scenario_id", "new_probability", "new_tier", "delta"), 5, "new_probability", "delta")
+
+
 @query()
 def train_gbt(spark, sf):
     """The documented run, always fitted anew; ``trees`` tells how many rounds were kept."""
@@ -347,19 +425,31 @@ def model_scan(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("probability") - F.col("reloaded"))).alias("largest_gap"))
 
 
-@query()
-def text_classifier(spark, sf):
+def _text_epochs(spark, sf):
+    """The test rows' term vectors, and the states of all epochs on the train rows."""
     docs = trials(spark, sf).select("trial_id", "terminated", "full_text").filter("terminated is not null")
     placed = ranking.stratified_split(docs, "trial_id", "terminated")
     terms = features_.document_terms(placed.filter("split = 'train'"), "trial_id", "full_text")
     model = features_.fit_tfidf(terms)
     tokens = features_.with_terms(placed, "full_text")
-    vectors = model.transform(tokens).withColumn("label", F.col("terminated").cast("double"))
+    vectors = model.transform(tokens).select("trial_id", "split", F.col("terminated").cast("double").alias("label"), "tfidf")
     train, test = vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
-    fold = ranking.fold_of(F.col("trial_id"))
-    best = models.fit_text_classifier(train.filter(fold != 0), train.filter(fold == 0))
-    scored = models.positive_probability(best.model.transform(test), "text_vector", "p_text")
-    return scored.select("trial_id", "label", "p_text", F.lit(best.auroc).alias("validation_auroc"))
+    held = ranking.fold_of(F.col("trial_id")) == 0
+    return test, epochs.train_epochs(train.filter(~held), train.filter(held), "trial_id", "tfidf", shared_folder(spark))
+
+
+@query()
+def text_classifier(spark, sf):
+    """The test rows scored by the best epoch."""
+    test, states = _text_epochs(spark, sf)
+    best, area = epochs.best_model(states, "tfidf")
+    return best.transform(test).select("trial_id", "label", "p_text", F.lit(area).alias("validation_auroc"))
+
+
+@query()
+def text_epochs(spark, sf):
+    """Loss and area of every epoch, and whether it was kept."""
+    return epochs.progress(_text_epochs(spark, sf)[1])
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Training, calibration and scoring of boosted trees, and a text classifier."""
+"""Training, calibration, scoring and comparison of boosted trees."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +19,14 @@ from riskloom.operators import boosting, curves
 from riskloom.operators.boosting import GbtSettings, Trees, patience_prefix, sigmoid
 from riskloom.operators.calibration import Isotonic, isotonic_models
 from riskloom.operators.ensembles import GbtModel
-from riskloom.operators.ranking import fold_of, stratified_folds
+from riskloom.operators.ranking import stratified_folds
 
 __all__ = ["GbtSettings", "patience_prefix"]
 
 #: Models fitted at the same time; a fit on few rows is a chain of short jobs.
 PARALLEL_FITS = 3
 
+
 def side_by_side(make: Callable, over: Sequence, parallel: int = PARALLEL_FITS) -> list:
     """``make`` of every item, ``parallel`` of them at the same time, in the order of the items."""
     pool = ThreadPool(max(1, min(parallel, len(over))))
@@ -125,60 +124,6 @@ def score_records(
     )
 
 
-def positive_probability(scored: DataFrame, vector: str, output: str) -> DataFrame:
-    return scored.withColumn(output, vector_to_array(vector)[1])
-
-
-@dataclass(frozen=True)
-class TextClassifier:
-    """The best candidate, its validation AUROC and the progress of the search."""
-
-    model: object
-    auroc: float
-    progress: list[tuple[float, float, bool]]
-
-
-def fit_text_classifier(
-    train: DataFrame,
-    validation: DataFrame,
-    vector: str = "tfidf",
-    strengths: Sequence[float] = (1.0, 0.1, 0.01),
-    max_iter: int = 50,
-) -> TextClassifier:
-    """Weighted logistic regression on term vectors; keeps strict AUROC improvements.
-
-    The class weights are the pair (rate, 1 - rate) for class 0 and 1.
-    """
-    rate = train.agg(F.avg("label")).first()[0] or 0.0
-    weighted = train.select(vector, "label").withColumn(
-        "weight", F.when(F.col("label") == 1.0, F.lit(1.0 - rate)).otherwise(F.lit(rate))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    held = validation.select(vector, "label").persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_model, progress = 0.0, None, []
-    try:
-        for strength in strengths:
-            model = LogisticRegression(
-                featuresCol=vector,
-                labelCol="label",
-                weightCol="weight",
-                regParam=strength,
-                maxIter=max_iter,
-                predictionCol="text_class",
-                probabilityCol="text_vector",
-                rawPredictionCol="text_margin",
-            ).fit(weighted)
-            scored = positive_probability(model.transform(held), "text_vector", "p_text")
-            area = curves.auroc(scored, "p_text", "label").first()["auroc"] or 0.0
-            improved = area > best
-            progress.append((strength, area, improved))
-            if improved or best_model is None:
-                best, best_model = max(best, area), model
-    finally:
-        weighted.unpersist()
-        held.unpersist()
-    return TextClassifier(best_model, best, progress)
-
-
 def ablation_compare(
     sets: Mapping[str, tuple[DataFrame, DataFrame, DataFrame]], settings: GbtSettings = GbtSettings()
 ) -> DataFrame:

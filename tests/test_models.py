@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.operators import boosting, curves, embed, explain, models
+from riskloom.operators import boosting, curves, embed, epochs, explain, models
 from riskloom.operators.features import fit_tfidf, tfidf_long, vocabulary_of, with_terms
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts
@@ -222,3 +222,31 @@ def test_copies_of_a_key_are_explained_once_each(matrix, calibrated):
     assert sorted(r["id"] for r in found) == [5, 5, 6]
     assert all(r["natural_language_summary"].startswith("This trial is predicted") for r in found)
     assert {"section_attributions", "base_value", "risk_tier", "confidence_pct"} <= set(found[0].asDict())
+
+
+def test_epochs_resume_to_the_same_weights(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6)) * (rng.random((600, 6)) < 0.5)
+    y = (x[:, 0] - 2 * x[:, 3] + 0.3 * rng.normal(size=600) > 0.7).astype(float)
+    rows = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(600)], "id long, label double, v array<double>").repartition(5)
+    train, held = rows.filter("id % 4 > 0"), rows.filter("id % 4 = 0")
+    settings = epochs.EpochSettings(epochs=4, steps=5)
+    whole = epochs.train_epochs(train, held, "id", "v", shared_folder(spark), settings)
+    folder = shared_folder(spark)
+    assert epochs.train_epochs(train, held, "id", "v", folder, settings, stop_after=2).count() == 2
+    again = epochs.train_epochs(train, held, "id", "v", folder, settings)
+    state = lambda t: np.array([[*r["weights"], r["loss"], r["auroc"]] for r in t.orderBy("epoch").collect()])
+    assert state(whole).shape == (4, 9) and np.allclose(state(whole), state(again), atol=1e-12)
+    best, area = epochs.best_model(again, "v")
+    assert area > 0.9 and area == max(r["auroc"] for r in again.collect())
+    kept = epochs.progress(again).orderBy("epoch").collect()
+    assert [r["improved"] for r in kept] == [r["auroc"] > max([0.0] + [k["auroc"] for k in kept[:i]]) for i, r in enumerate(kept)]
+    # One step equals the gradient written out.
+    weight = np.where(y == 1, 1 - y[np.arange(600) % 4 > 0].mean(), y[np.arange(600) % 4 > 0].mean())
+    w = rng.normal(size=7)
+    sample = spark.createDataFrame([(float(y[i]), float(weight[i]), x[i].tolist()) for i in range(50)], "label double, weight double, x array<double>").repartition(3)
+    slope, loss = epochs.gradient(sample, w)
+    p = boosting.sigmoid(x[:50] @ w[:-1] + w[-1])
+    gap = weight[:50] * (p - y[:50])
+    assert np.allclose(slope, [*(gap @ x[:50]), gap.sum()] / weight[:50].sum())
+    assert loss == pytest.approx(-(weight[:50] * (y[:50] * np.log(p) + (1 - y[:50]) * np.log(1 - p))).sum() / weight[:50].sum())
