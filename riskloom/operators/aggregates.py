@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import constants as C
-from riskloom.plans.lookup import lookup_join
 from riskloom.plans.ranges import exact_quantiles
 
 
@@ -33,8 +32,8 @@ def impute_group_median(
     output: str,
     default: float = C.DEFAULT_EXPECTED,
 ) -> DataFrame:
-    """Replace zero values by the fitted median of their group."""
-    known = lookup_join(rows, medians.select(group, "median_value"), group)
+    """Replace zero values by the fitted median of their group; ``medians`` has a row per group."""
+    known = rows.join(medians.select(group, "median_value"), group, "left")
     number = F.col(value).cast("double")
     filled = F.when(number == 0, F.coalesce("median_value", F.lit(default))).otherwise(number)
     return known.withColumn(output, filled).drop("median_value")

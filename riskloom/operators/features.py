@@ -27,7 +27,7 @@ from riskloom.operators.aggregates import (
     median_by_group,
     standard_scaler_fit,
 )
-from riskloom.plans.lookup import pin_small
+from riskloom.plans.lookup import fitted_table
 
 
 @dataclass(frozen=True)
@@ -73,11 +73,8 @@ def fit_medians(rows: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame
         .alias("phase_encoded"),
         coding.coalesce_alias(rows, ["enrollment_count"], 0).cast("double").alias("enrollment_count"),
     )
-    medians = median_by_group(sizes, "phase_encoded", "enrollment_count")
-    small = pin_small(medians)
-    if small is None:
-        return medians
-    return small if small.take(1) else default_medians(rows, "phase_encoded")
+    medians = fitted_table(median_by_group(sizes, "phase_encoded", "enrollment_count"))
+    return default_medians(rows, "phase_encoded") if medians.isEmpty() else medians
 
 
 def engineer_features(

@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
-from riskloom.plans.lookup import lookup_join, map_default, pin_small
+from riskloom.plans.lookup import fitted_table, lookup_join, map_default
 from riskloom.session import shared_folder
 from riskloom.sources.artifacts import json_artifact_scan, json_artifact_sink
 
 
 def exclude_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:
-    """Rows whose key was not selected; a small selection is broadcast once its size is known."""
-    keys = selected.select(key).distinct()
-    small = pin_small(keys)
-    return rows.join(keys if small is None else F.broadcast(small), key, "left_anti")
+    """Rows whose key was not selected."""
+    return rows.join(fitted_table(selected.select(key).distinct()), key, "left_anti")
 
 
 def split_membership(rows: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:

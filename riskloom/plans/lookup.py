@@ -1,4 +1,4 @@
-"""Joins against small fitted tables, with a checked size and another way beyond it."""
+"""Joins against fitted tables, and literal maps."""
 
 from __future__ import annotations
 
@@ -6,59 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_LOOKUP_ROWS = 20_000
-MAX_LOOKUP_BYTES = 8 << 20
+from riskloom.session import shared_folder
 
 
-def pin_small(
-    table: DataFrame,
-    max_rows: int = MAX_LOOKUP_ROWS,
-    max_bytes: int = MAX_LOOKUP_BYTES,
-) -> DataFrame | None:
-    """Materialise a fitted table that is proven small, else return None.
+def fitted_table(table: DataFrame) -> DataFrame:
+    """A fitted table as written to the shared folder and read back.
 
-    At most ``max_rows + 1`` rows ever reach the driver. The result is a local
-    relation whose size the optimizer knows, so joining it needs no hint.
+    It is computed once, however often it is joined, and the optimizer knows its
+    size from its files: it broadcasts a small one, and shuffles and splits hot
+    keys where it is not.
     """
-    rows = table.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
-        return None
-    return table.sparkSession.createDataFrame(rows, schema=table.schema)
+    folder = shared_folder(table.sparkSession)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
 
 
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: str | Sequence[str],
-    salts: int = 32,
-    max_rows: int = MAX_LOOKUP_ROWS,
-) -> DataFrame:
-    """Left join ``rows`` to a table with unique keys.
-
-    A small table is broadcast after its size is checked. A larger one is
-    shuffled, with every key repeated under ``salts`` salts so that a hot key
-    of ``rows`` spreads over that many tasks.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    small = pin_small(table, max_rows)
-    if small is not None:
-        return rows.join(F.broadcast(small), keys, "left")
-    return salted_join(rows, table, keys, salts)
-
-
-def salted_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
-    """Shuffled left join in which a hot key is spread over ``salts`` tasks."""
-    # The salt comes from row content, so a retried task computes the same one.
-    hashable = [
-        f.name
-        for f in rows.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.VariantType)) and f.name not in keys
-    ]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int") if hashable else F.lit(0)
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(spread, [*keys, "_salt"], "left").drop("_salt")
+def lookup_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join ``rows`` to a fitted table with unique keys."""
+    return rows.join(fitted_table(table), [on] if isinstance(on, str) else list(on), "left")
 
 
 def literal_map(values: dict, key_type: str = "double", value_type: str = "double"):

@@ -52,7 +52,7 @@ def plain_fit(x, y, turn, used, cuts, settings, model=0):
                     left = own & (x[:, f] <= cut)
                     lg, lh = g[left].sum(), h[left].sum()
                     rg, rh = total_g - lg, total_h - lh
-                    if lh < settings.least_hessian or rh < settings.least_hessian:
+                    if min(lh, rh) < settings.least_hessian * (1 - 1e-9):
                         continue
                     gain = lg**2 / (lh + 1) + rg**2 / (rh + 1) - total_g**2 / (total_h + 1)
                     tried.append((gain, f, cut))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import aggregates, curves, gates, joins, ranking
 from riskloom.operators.features import FeatureSpec, engineer_features, fit_medians
-from riskloom.plans.lookup import pin_small, salted_join
+from riskloom.plans.lookup import lookup_join
 from riskloom.plans.ranges import exact_quantiles, range_cuts, running_totals
 
 
@@ -96,16 +96,24 @@ def test_copies_stay_on_one_side(spark):
     assert got.filter("id = 7").select("split").distinct().count() == 1
 
 
-def test_salted_join_equals_plain(spark, skewed):
-    table = skewed.groupBy("g").agg(F.avg("v").alias("mean"))
-    got = salted_join(skewed, table, ["g"], 8).groupBy("g").agg(F.count("mean").alias("n"), F.sum("y").alias("y"))
-    want = skewed.join(table, "g", "left").groupBy("g").agg(F.count("mean").alias("n"), F.sum("y").alias("y"))
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
-def test_large_tables_are_not_pinned(spark):
-    assert pin_small(spark.range(11), max_rows=10) is None
-    assert pin_small(spark.range(10), max_rows=10).count() == 10
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_lookup_of_a_hot_key(spark, skewed, broadcast):
+    """The hot key's rows, a third of all, find their value whichever join the optimizer takes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        table = skewed.groupBy("g").agg(F.avg("v").alias("mean")).filter("g <> 'k3'")
+        found = lookup_join(skewed, table, "g")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (broadcast == "-1")
+        got = found.groupBy("g").agg(F.count("mean").alias("n"), F.sum("y").alias("y"), F.max("mean").alias("mean"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    local = skewed.toPandas().groupby("g")
+    for r in got.collect():
+        own = local.get_group(r["g"])
+        assert (r["n"], r["y"]) == (0 if r["g"] == "k3" else len(own), own.y.sum())
+        assert r["mean"] is None if r["g"] == "k3" else r["mean"] == pytest.approx(own.v.mean())
 
 
 def test_lookup_joins_without_shuffling_the_rows(spark, skewed):
