@@ -129,7 +129,8 @@ def term_cells(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             cells.append(counted(groups))
         yield from ready(True)
 
-    found = dealt.mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    # Dealt by what the sums over a term's sources need too; a task has added up its own cells before.
+    found = dealt.mapInArrow(count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
