@@ -224,3 +224,23 @@ def test_records_without_a_key_are_all_stored(spark, tmp_path):
     stored = spark.read.parquet(target)
     assert stored.columns == ["trial_id", "x"]
     assert sorted((r["trial_id"] or 0, r["x"]) for r in stored.collect()) == [(0, 1.0), (0, 1.0), (0, 3.0), (1, 2.0)]
+
+
+def test_state_of_the_stream_levels_off(spark, tmp_path):
+    from riskloom.streaming.scoring import stream_score
+
+    source, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    schema = "trial_id long, at timestamp"
+    sizes = []
+    for hour in range(8):
+        rows = spark.range(20).select((F.lit(100 * hour) + F.col("id")).alias("trial_id"), F.expr(f"timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, {hour})").alias("at"))
+        again = rows.limit(5).unionByName(rows.limit(3).withColumn("trial_id", F.lit(None).cast("long")))
+        rows.unionByName(again).coalesce(1).write.mode("append").parquet(source)
+        query = stream_score(spark, source, spark.createDataFrame([], schema).schema, lambda r: r, target, checkpoint, files_per_batch=1, time="at", bound="2 hours")
+        sizes.append(sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]))
+    stored = spark.read.parquet(target)
+    assert stored.filter("trial_id is not null").count() == stored.select("trial_id").distinct().count() - 1 == 160
+    assert stored.filter("trial_id is null").count() == 24
+    assert max(sizes) <= 80 and sizes[-1] <= sizes[3]
+    stream_score(spark, source, stored.schema, lambda r: r, target, checkpoint, files_per_batch=1, time="at", bound="2 hours")
+    assert spark.read.parquet(target).count() == 184
