@@ -30,20 +30,20 @@ BLOCKS = set(
 SPACES = {"br", "td", "th", "img", "wbr"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 APART = set(
-    "nav header footer aside form head title noscript template iframe object svg canvas button select option label menu dialog".split()
+    "nav header footer aside form head title noscript template iframe object svg canvas button select option textarea label menu "
+    "dialog".split()
 )
 INLINE = set("a abbr b cite code em i q s small span strong sub sup time u".split())
 MARKS = set(
     "ad ads adbox advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert newsletter subscribe signup popup modal overlay share sharing social sidebar menu menubar nav navbar "
-    "navigation topnav breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus related "
-    "recommended widget login search toolbar pagination pager complementary contentinfo dialog".split()
+    "navigation topnav breadcrumb breadcrumbs footer header masthead related recommended widget login search toolbar "
+    "pagination pager complementary contentinfo dialog".split()
 )
+COMMENTS = set("comment comments commenter commenters reply replies respond responses disqus discussion discussions".split())
 #: Parts of names that say what an element has or has not, and those of an article's own parts.
 STATES = set("has have no not with without is in work works".split())
 OWN = set("article post entry story content page main".split())
-#: An element whose name holds a mark beside other parts is apart up to this share of the page's words.
-FEW = 0.2
 HOLDERS = {"article", "main", "section", "div"}
 FLOW = set("h1 h2 h3 h4 h5 h6 p table blockquote pre figure dl ul ol hr".split())
 TAG = re.compile(
@@ -60,17 +60,18 @@ LEAST_COST, MOST_COST = 0.05, 2.0
 def marked(attributes: str, within: bool = False) -> int:
     """2 if a name in class, id or role is that of no article, 1 if only a part of one is, else 0.
 
-    ``within`` an article a header is the article's own.
+    Readers' comments are 2 whatever stands beside them in a name. ``within``
+    an article a header is the article's own.
     """
     if "=" not in attributes:
         return 0
     most = 0
     for name in " ".join("".join(found) for found in NAMED.findall(attributes)).lower().split():
         parts = set(filter(None, re.split(r"[^a-z]+", name)))
-        marks = parts & MARKS
+        marks = parts & (MARKS | COMMENTS)
         if not marks or parts & STATES or marks == {"header"} and (within or parts & OWN):
             continue
-        most = max(most, 2 if marks == parts else 1)
+        most = max(most, 2 if marks == parts or parts & COMMENTS else 1)
     return most
 
 
@@ -88,35 +89,17 @@ def pieces(html: str) -> Iterator[tuple[str, str, str]]:
         yield "", "", html[at:]
 
 
-def shares(page: list[tuple[str, str, str]]) -> dict[int, float]:
-    """Share of the page's words in each element a part of whose name is a mark, by its place."""
-    held, open_, words = {}, {}, 0
-    for k, (name, closing, rest) in enumerate(page):
-        if not name:
-            words += len(rest.split())
-            continue
-        ends = [name] if closing else [x for x in ("p", "li") if open_.get(x)] if name in BLOCKS else []
-        for end in ends:
-            if open_.get(end):
-                place, before = open_[end].pop()
-                held[place] = words - before
-        if not closing and name not in VOID:
-            open_.setdefault(name, []).append((k, words))
-    for rest in open_.values():
-        held.update((place, words - before) for place, before in rest)
-    return {k: n / max(words, 1) for k, n in held.items()}
-
-
-def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
+def tokens(html: str, apart_at: frozenset[int] = frozenset(), doubtful: list[int] | None = None) -> Iterator[tuple[str, str, bool]]:
     """(tag name or empty, end mark or text, apart) in page order.
 
     ``apart`` holds within elements that are no article. Such an element ends
     with its end tag, with the next block if it is a paragraph or item, and at
-    the latest where an article, main part or body begins.
+    the latest where an article, main part or body begins. Elements with a
+    mark in a part of their name go to ``doubtful`` by their place, and are
+    apart if that is among ``apart_at``.
     """
-    page, held = list(pieces(html)), None
     apart, depth, articles = "", 0, 0
-    for k, (name, closing, rest) in enumerate(page):
+    for k, (name, closing, rest) in enumerate(pieces(html)):
         if not name:
             yield "", rest, bool(apart)
             continue
@@ -134,9 +117,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
         if not apart and not closing and name not in VOID:
             own = name == "header" and articles
             mark = 0 if own or name in ("body", "html", "article", "main") else marked(rest, articles > 0)
-            if mark == 1:
-                held = shares(page) if held is None else held
-            if (name in APART and not own) or mark == 2 or mark == 1 and held[k] <= FEW:
+            if mark == 1 and doubtful is not None:
+                doubtful.append(k)
+            if (name in APART and not own) or mark == 2 or k in apart_at:
                 apart, depth = name, 1
         yield name, closing, bool(apart)
 
@@ -170,15 +153,17 @@ def costs_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 
 def spans(parts: list[tuple[str, str, bool]]) -> list[tuple[int, int, str]]:
     """(place of the first tag, place after the last one, name) of all elements."""
-    found, open_ = [], []
+    found, open_, many = [], [], Counter()
     for k, (name, text, _) in enumerate(parts):
         if not name or name in VOID:
             continue
         if not text:
             open_.append((k, name))
-        elif any(name == other for _, other in open_):
+            many[name] += 1
+        elif many[name]:
             while open_:
                 start, other = open_.pop()
+                many[other] -= 1
                 found.append((start, k + (name == other), other))
                 if other == name:
                     break
@@ -208,22 +193,45 @@ def widened(parts: list[tuple[str, str, bool]], first: int, last: int) -> tuple[
     return first, last
 
 
-def extract(html: str, costs: dict[str, float]) -> str:
-    """Text of the best run and of what holds it, one line per block; empty if the page has no words."""
-    parts = list(tokens(html))
-    best, best_from, best_to, score, start = 0.0, 0, 0, 0.0, 0
+def best_run(parts: list[tuple[str, str, bool]], costs: dict[str, float]) -> tuple[int, int]:
+    """(first, end) of the contiguous run with the most words less costs of tags, the first of equals; empty without words."""
+    best, found, score, start = 0.0, (0, 0), 0.0, 0
     for k, (name, text, apart) in enumerate(parts):
         if name:
             score -= costs.get(name, costs[OTHER])
         elif not apart:
             score += len(text.split())
         if score > best:
-            best, best_from, best_to = score, start, k + 1
+            best, found = score, (start, k + 1)
         if score <= 0:
             score, start = 0.0, k + 1
-    if not best:
+    return found
+
+
+def beside(parts: list[tuple[str, str, bool]], run: tuple[int, int], doubtful: list[int]) -> frozenset[int]:
+    """The doubtful elements that do not hold most words of the run: a wrapper of the article does, a side part does not."""
+    counts = [0]
+    for k, (name, text, apart) in enumerate(parts):
+        inside = run[0] <= k < run[1] and not name and not apart
+        counts.append(counts[-1] + (len(text.split()) if inside else 0))
+    ends = {a: b for a, b, _ in spans(parts)}
+    return frozenset(k for k in doubtful if 2 * (counts[ends.get(k, k)] - counts[k]) <= counts[-1])
+
+
+def extract(html: str, costs: dict[str, float]) -> str:
+    """Text of the best run and of what holds it, one line per block; empty if the page has no words.
+
+    Elements in doubt are left in for a first run, which tells what they hold.
+    """
+    doubtful: list[int] = []
+    parts = list(tokens(html, doubtful=doubtful))
+    run = best_run(parts, costs)
+    if doubtful and (apart_at := beside(parts, run, doubtful)):
+        parts = list(tokens(html, apart_at))
+        run = best_run(parts, costs)
+    if run[0] == run[1]:
         return ""
-    best_from, best_to = widened(parts, best_from, best_to)
+    best_from, best_to = widened(parts, *run)
     blocks, block = [], []
     for name, text, apart in parts[best_from:best_to]:
         if name in BLOCKS:
@@ -254,20 +262,22 @@ def fit_costs(pages: DataFrame, html: str = "html") -> dict[str, float]:
     return costs_of({(r["tag"], r["inside"]): r["n"] for r in rows})
 
 
-def main_texts(pages: DataFrame, costs: dict[str, float] | None = None, html: str = "html") -> DataFrame:
-    """``pages`` without ``html``, with ``_text``: the main text of each page.
+def main_texts(
+    pages: DataFrame, costs: dict[str, float] | None = None, html: str = "html", output: str = "_text"
+) -> DataFrame:
+    """``pages`` without ``html``, with ``output``: the main text of each page, in place of a column of that name.
 
     Null and empty pages, and pages without words, have an empty text. Every
     row is kept, repeated or not. Without labelled pages all tags but inline
     ones cost one.
     """
     costs = costs or fit_costs(pages, html)
-    others = [c for c in pages.columns if c != html]
-    schema = pages.select(*[F.col(f"`{c}`") for c in others], F.lit("").alias("_text")).schema
+    others = [c for c in pages.columns if c not in (html, output)]
+    schema = pages.select(*[F.col(f"`{c}`") for c in others], F.lit("").alias(output)).schema
 
     def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, html):
             found = [extract(page or "", costs) for page in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, pa.string())], [*others, "_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, pa.string())], [*others, output])
 
-    return pages.mapInArrow(extract_batches, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in others], html).mapInArrow(extract_batches, schema)
