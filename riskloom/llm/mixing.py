@@ -240,14 +240,18 @@ def mixed_documents(
         F.struct("key", "source", "tie").alias("_placed"), (F.col("size") == F.col("_words")).alias("_whole"), "_parts"
     )
     name = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("tie"))
-    joined = docs.withColumn("_name", name).dropDuplicates(["_name"]).join(named, F.col("_name") == F.col("_placed"))
+    # The row as one struct: no column of it can clash with those of the mix.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(name.alias("_name"), whole, F.col(text).alias("text")).dropDuplicates(["_name"])
+    joined = rows.join(named, F.col("_name") == F.col("_placed"))
 
     def taken(words):
         piece = lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int"))
         return F.array_join(F.flatten(F.transform("_parts", piece)), " ")
 
-    cut = let(F.regexp_extract_all(text, F.lit(WORD), 0), taken)
-    kept = joined.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(cut))
+    cut = let(F.regexp_extract_all("text", F.lit(WORD), 0), taken)
+    kept = joined.withColumn("mixed", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
+    new = {text: F.col("mixed")}
     if length in docs.columns:
-        kept = kept.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.char_length("mixed").cast(docs.schema[length].dataType)
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -158,7 +158,10 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
 
     Rows with a null key are judged by text and language like any other.
     """
-    tied = docs.withColumn("_tie", F.xxhash64(key, text, lang))
-    verdicts = judge(tied.withColumn("_key", F.col("_tie")), "_key", text, lang).filter("kept")
-    passed = verdicts.select(F.col("key").alias("_tie")).distinct()
-    return tied.join(passed, "_tie", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row as one struct: no column of it can clash with the tie.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = [F.col(text).alias("text"), F.col(lang).alias("lang")]
+    tied = docs.select(F.xxhash64(key, text, lang).alias("tie"), whole, *named)
+    verdicts = judge(tied.drop("row"), "tie", "text", "lang").filter("kept")
+    passed = verdicts.select(F.col("key").alias("tie")).distinct()
+    return tied.join(passed, "tie", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

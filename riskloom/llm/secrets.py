@@ -161,18 +161,21 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found secret put out of the text; all rows are kept."""
-    found = scan(docs, text=text).withColumn("_all", F.sort_array(F.concat("_spans", "_more")))
+    # The row as one struct: no column of it can clash with those of the scan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    found = scan(rows).withColumn("spans", F.sort_array(F.concat("_spans", "_more")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, span):
-        gap = F.substring(F.col(text), state["at"] + 1, span["start"] - state["at"])
+        gap = F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"])
         fresh = F.struct(span["end"].alias("at"), F.concat(state["out"], gap, F.lit(mask)).alias("out"))
         within = F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out"))
         return F.when(span["start"] >= state["at"], fresh).otherwise(within)
 
-    finish = lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(text)))
-    masked = F.when(F.size("_all") > 0, F.aggregate("_all", start, step, finish)).otherwise(F.col(text))
-    kept = found.withColumn(text, masked)
+    finish = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text")))
+    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
+    kept = found.withColumn("masked", masked)
+    new = {text: F.col("masked")}
     if length in docs.columns:
-        kept = kept.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.char_length("masked").cast(docs.schema[length].dataType)
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -157,7 +157,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Rows that repeat one key are alike in it and stay; rows with a null key stay.
     """
-    kept = near_groups(docs, key, text).filter(F.col(key) == F.col("component_id"))
-    kept = kept.select(F.col(key).alias("_kept")).distinct()
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kept = near_groups(named, "key", "text").filter(F.col("key") == F.col("component_id")).select("key").distinct()
     lone = docs.filter(F.col(key).isNull())
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi").unionByName(lone)
+    return docs.join(kept, docs[key] == kept["key"], "left_semi").unionByName(lone)

@@ -568,3 +568,19 @@ def test_main_text_keeps_tables_and_lists(spark):
             for k in range(60):
                 assert f"a{k} b{k}" in text or f"\nc{k}" in text, (body, k)
             assert text.count("Many words") == inside.count("Many words")
+
+
+def test_stages_keep_columns_of_any_name(spark, odd_docs):
+    """A user's columns named like the stages' own come back as they were."""
+    names = ["_spans", "_more", "_all", "_runs", "_name", "_tie", "_text", "_placed", "_parts", "_whole", "row", "tie", "key", "spans", "masked", "mixed", "kept", "component_id", "start"]
+    docs = odd_docs.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce("doc_id", F.lit(0))).alias(n) for n in names])
+    stages = [quality.kept_documents, simhash.one_per_group, secrets.redacted, mixing.mixed_documents]
+    for stage in stages:
+        found = stage(docs)
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows or stage is quality.kept_documents
+        for r in rows:
+            assert [r[n] for n in names] == [f"{n} {r['doc_id'] or 0}" for n in names], stage.__name__
+    assert simhash.near_groups(docs).count() == tokenfile.read_shards(tokenfile.write_shards(docs, VOCABULARY)).count() == 12
+    assert bpe.encode_decode(docs, VOCABULARY).count() == lm.score(docs).count() == quality.judge(docs).count() == 12
