@@ -34,6 +34,8 @@ from riskloom.session import shared_folder
 TAIL = "<QQQQQB7s"
 MARK = b"EFTOKEN"
 END_ID = 2
+#: Text encoded at a time: the distinct chunks of a slice are looked up once.
+SLICE_BYTES = 8 << 20
 #: Ids of a file, about; bounds the lists of lengths and keys a worker holds.
 SHARD_IDS = 1 << 26
 ROWS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -53,16 +55,21 @@ class Generations:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
+    def get(self, keys: list) -> list:
+        """The value of each key, none where it is not known."""
+        values = list(map(self.new.get, keys))
+        if self.old:
+            again = {}
+            for k in [k for k, value in enumerate(values) if value is None]:
+                if (value := self.old.get(keys[k])) is not None:
+                    values[k] = again[keys[k]] = value
+            self.add(again)
+        return values
+
+    def add(self, values: dict) -> None:
+        if len(self.new) + len(values) > self.most:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        self.new.update(values)
 
 
 class Encoder:
@@ -78,23 +85,22 @@ class Encoder:
         self.chunks, self.pieces = Generations(REMEMBERED // 2), Generations(REMEMBERED // 2)
         self.find_ascii = re.compile(ASCII_PIECE)
 
-    def pieces_of(self, chunk: bytes) -> list[str]:
-        """Pieces that the library splits this into; the whole where only it knows."""
-        text = chunk.decode()
-        return self.find_ascii.findall(text.lower()) if chunk.isascii() and b"<|" not in chunk else [text]
-
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, all of them new ones in one call of the library."""
-        found = {p: self.pieces.get(p) for p in pieces}
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks, all pieces that are new in one call of the library."""
+        find = self.find_ascii.findall
+        # Pieces as the library splits them; the whole chunk where only it knows.
+        cut = [find(c.decode().lower()) if c.isascii() and b"<|" not in c else [c.decode()] for c in chunks]
+        pieces = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        found = dict(zip(pieces, self.pieces.get(pieces), strict=True))
         missing = [p for p, ids in found.items() if ids is None]
         if missing:
             made = self.library.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            ids, words = np.array(made.ids, self.width), np.array(made.word_ids, np.int64)
-            ends = np.searchsorted(words, np.arange(len(missing) + 1)).tolist()
-            for piece, first, end in zip(missing, ends, ends[1:], strict=False):
-                found[piece] = ids[first:end].tobytes()
-                self.pieces.put(piece, found[piece])
-        return found
+            ids, words = np.array(made.ids, self.width).tobytes(), np.array(made.word_ids, np.int64)
+            ends = (np.searchsorted(words, np.arange(len(missing) + 1)) * self.width.itemsize).tolist()
+            new = {piece: ids[first:end] for piece, first, end in zip(missing, ends, ends[1:], strict=False)}
+            self.pieces.add(new)
+            found.update(new)
+        return {c: found[own[0]] if len(own) == 1 else b"".join([found[p] for p in own]) for c, own in zip(chunks, cut, strict=True)}
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text), each text with ``end`` behind it."""
@@ -102,14 +108,17 @@ class Encoder:
         for own in words:
             own.append(b"")  # no text has an empty chunk: it stands for the end
         coded = pa.array(itertools.chain.from_iterable(words), pa.binary()).dictionary_encode()
+        ends = np.cumsum(list(map(len, words))) - 1
+        del words
         vocabulary = coded.dictionary.to_pylist()
-        known = [self.chunks.get(c) for c in vocabulary]
+        known = self.chunks.get(vocabulary)
         missing = [k for k, ids in enumerate(known) if ids is None]
-        cut = [self.pieces_of(vocabulary[k]) if vocabulary[k] else [] for k in missing]
-        found = self.learn([p for own in cut for p in own])
-        for k, own in zip(missing, cut, strict=True):
-            known[k] = b"".join(map(found.__getitem__, own)) if vocabulary[k] else np.array([end], self.width).tobytes()
-            self.chunks.put(vocabulary[k], known[k])
+        if missing:
+            new = {b"": np.array([end], self.width).tobytes()}
+            new |= self.learn([vocabulary[k] for k in missing if vocabulary[k]])
+            for k in missing:
+                known[k] = new[vocabulary[k]]
+            self.chunks.add(new)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width.itemsize
         flat = np.frombuffer(b"".join(known), self.width)
         index = coded.indices.to_numpy(zero_copy_only=False)
@@ -117,8 +126,7 @@ class Encoder:
         total = np.cumsum(lengths)
         starts = (np.cumsum(sizes) - sizes)[index] - total + lengths
         ids = flat[np.repeat(starts, lengths) + np.arange(total[-1] if len(total) else 0)]
-        ends = total[np.cumsum(list(map(len, words))) - 1] if words else total
-        return ids, np.diff(ends, prepend=0)
+        return ids, np.diff(total[ends], prepend=0) if len(ends) else total
 
 
 @functools.lru_cache(maxsize=4)
@@ -189,7 +197,7 @@ def write_shards(
             row = {"shard": [shard], "part": [part], "file": [writer.name], "n_docs": [writer.close()], "n_ids": [writer.n_ids]}
             return pa.RecordBatch.from_pydict(row, ROWS)
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             if writer and writer.n_ids >= most:
                 yield done()
                 writer, part = None, part + 1

@@ -183,9 +183,9 @@ def test_token_files_of_several_parts(spark, library):
 def test_generations_forget_the_oldest():
     held = tokenfile.Generations(2)
     for k in (1, 2, 3, 4):
-        held.put(k, k)
-        held.get(2)
-    assert held.get(2) == 2 and held.get(1) is None
+        held.add({k: k})
+        held.get([2])
+    assert held.get([2, 1, 5]) == [2, None, None]
 
 
 PAGE = (
