@@ -19,13 +19,13 @@ from pyspark.sql import types as T
 from riskloom.llm.common import partitions, settle
 
 DEGREE = 24
-ROUNDS = 4
+ROUNDS = 7
 #: Random partitions for the first lists, and vectors in a cell of one.
 CELLS, CELL = 3, 1000
 #: About so many vectors, chosen by hash, say where cells are cut and are links for who has too few.
 PIVOTS = 1000
 #: Nearest vectors of a search that are followed.
-BEAM = 96
+BEAM = 160
 MOST_HOPS = 12
 SEED = 8
 
