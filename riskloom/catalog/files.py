@@ -12,9 +12,9 @@ from riskloom.catalog.scalars import SQL_PHASE_NAME
 from riskloom.functions import coding, numbers, scoring
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts, records, samples
+from riskloom.sources.tables import documents, table
 from riskloom.sources.tables import parquet_scan as scan
 from riskloom.sources.tables import parquet_sink as sink
-from riskloom.sources.tables import table
 
 QUERIES, ORACLES, query = registry()
 
@@ -156,10 +156,13 @@ def bundle_scan(spark, sf):
 
 @query(f"""select substr(split_part({sql_strip('text')}, chr(10), 1), 1, 150) as title, md5(text) as text_md5, length(text)::INTEGER as n_chars from documents""")
 def text_scan(spark, sf):
-    """One file per document is written, and read as one record each."""
+    """One file per document is written, and read as one record each.
+
+    Each task writes to a folder of its own, which is committed by one renaming.
+    """
     folder = shared_folder(spark)
-    bodies = table(spark, sf, "documents").select(F.col("text").alias("value"))
-    bodies.write.option("maxRecordsPerFile", 1).text(folder)
+    bodies = documents(spark, sf).select(F.col("text").alias("value"), F.spark_partition_id().alias("task"))
+    bodies.write.partitionBy("task").option("maxRecordsPerFile", 1).text(folder)
     found = records.text_scan(spark, folder).withColumn("body", F.expr("left(text, length(text) - 1)"))
     return found.select("title", F.md5("body").alias("text_md5"), F.length("body").alias("n_chars"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from riskloom import constants as C
 from riskloom.functions import coding, numbers, text
 from riskloom.plans.ranges import range_cuts, running_totals
+from riskloom.plans.spread import gathered
 
 
 # --- result pages ----------------------------------------------------------
@@ -313,10 +314,10 @@ def bundle_scan(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Every text file as one record, titled by its first line."""
+    """Every text file as one record, titled by its first line; a task reads many small files."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),
+    return gathered(files.select(F.col("_metadata.file_path").alias("path"), "value")).select(
+        "path",
         first_line(F.col("value")).alias("title"),
         F.col("value").alias("text"),
         text.has_any(F.col("value"), ["multicenter"]).alias("multicenter"),
