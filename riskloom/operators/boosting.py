@@ -5,8 +5,9 @@ level by level: tasks sum gradients and hessians by node, feature and bin, the
 sums of all tasks meet by node and feature, and one best split of each comes
 back. Several models that differ in the rows they may see, such
 as the folds of a calibration, are grown in the same passes. A row's margin is
-carried in a written table that is renewed every few rounds; the rounds since
-then are added on the fly, so a lost task is repeated from that table.
+carried from round to round beside its bins, so a pass walks the newest tree
+only, and in a written table that is renewed every few rounds, so a lost task
+is repeated from that table.
 
 A validation part stops the rounds by the area under its ROC curve: the areas
 of a block of rounds come from one job, and the model is cut behind the best
@@ -36,6 +37,8 @@ ALL, NONE = -1, -2
 #: Numbers of this share of another count as equal to it, whatever the order in which their sums were added up;
 #: of equal gains the first feature and cut is taken.
 ALIKE = 1 - 1e-9
+#: Trees of so many nodes are scored column by column, larger ones row by row from level to level.
+FEW_NODES = 63
 
 
 @dataclass(frozen=True)
@@ -93,13 +96,28 @@ class Trees:
         """Log-odds of each row of ``x``."""
         total, rows = np.zeros(len(x)), np.arange(len(x))
         clean = np.nan_to_num(x, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-        for root in self.roots:
+        columns = np.ascontiguousarray(clean.T)
+        ends = [*self.roots[1:].tolist(), len(self.feature)]
+        for root, end in zip(self.roots.tolist(), ends, strict=True):
+            if end - root <= FEW_NODES:
+                total += self.value[root:end].take(self._place(columns, root, root))
+                continue
             node = np.full(len(x), root)
             for _ in range(self.depth):
                 node = self.left[node] + (clean[rows, self.feature[node]] > self.cut[node])
             total += self.value[node]
         return total
 
+    def _place(self, columns: np.ndarray, root: int, node: int) -> np.ndarray | np.uint8:
+        """The leaf below ``node`` that each row comes to, counted from ``root``; whole columns are compared at each cut."""
+        left = int(self.left[node])
+        if left == node:
+            return np.uint8(node - root)
+        low, high = (self._place(columns, root, child) for child in (left, left + 1))
+        # All bits of a row that goes right: the choice by bytes is several times as fast as np.where.
+        right = np.negative((columns[self.feature[node]] > self.cut[node]).view(np.uint8))
+        return low ^ ((low ^ high) & right)
+
     def to_rows(self) -> list[tuple]:
         """(node, feature, cut, left, value, cover, is_root) of every node."""
         first = set(self.roots.tolist())
@@ -291,7 +309,12 @@ def fit(rows: DataFrame, settings: GbtSettings = GbtSettings(), models: int = 1,
         for done in range(0, rounds, settings.carry):
             blocks = batches_of(state, features, models)
             for tree in range(done, min(done + settings.carry, rounds)):
-                grow(blocks, grown, tree, tree - done, weights, features, cuts, settings)
+                before = blocks
+                if tree > done:
+                    blocks = moved(before, [Part.of(g, 1) for g in grown], settings.max_depth)
+                grow(blocks, grown, tree, weights, features, cuts, settings)
+                if before is not blocks:
+                    before.unpersist()
             blocks.unpersist()
             recent = len(grown[0].roots) - done
             if stops:
@@ -368,11 +391,20 @@ def batches_of(state: DataFrame, features: int, models: int) -> RDD[Batch]:
     return packed.rdd.map(lambda row: pickle.loads(row["arrays"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def moved(blocks: RDD[Batch], parts: Sequence[Part], depth: int) -> RDD[Batch]:
+    """The rows with one more tree of every model in their margins, kept in memory as far as it goes."""
+
+    def add(batch: Batch) -> Batch:
+        return *batch[:4], with_trees(batch[4], batch[3], parts, 1, depth)
+
+    return blocks.map(add).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def grow(
-    blocks: RDD[Batch], grown: Sequence[Growing], tree: int, recent: int, weights: np.ndarray,
+    blocks: RDD[Batch], grown: Sequence[Growing], tree: int, weights: np.ndarray,
     features: int, cuts: Sequence[np.ndarray], settings: GbtSettings,
 ) -> None:
-    """Add one tree to every model, level by level; ``recent`` trees are not yet in the carried margins."""
+    """Add one tree to every model, level by level; the margins of ``blocks`` hold all trees before it."""
     bins = max((len(c) for c in cuts), default=0) + 1
     columns = [columns_of(settings, k, tree, features) if features else [] for k in range(len(grown))]
     open_nodes = []
@@ -382,7 +414,7 @@ def grow(
     for depth in range(settings.max_depth):
         if not any(open_nodes):
             return
-        found = level_splits(blocks, grown, tree, recent, depth, open_nodes, columns, weights, features, bins, settings)
+        found = level_splits(blocks, grown, tree, depth, open_nodes, columns, weights, features, bins, settings)
         for k, g in enumerate(grown):
             nodes, open_nodes[k] = open_nodes[k], []
             for node in nodes:
@@ -404,34 +436,33 @@ def leaf_value(g: float, h: float, settings: GbtSettings) -> float:
     return -settings.step_size * g / (h + settings.ridge)
 
 
-def level_splits(blocks, grown, tree, recent, depth, open_nodes, columns, weights, features, bins, settings) -> dict:
+def level_splits(blocks, grown, tree, depth, open_nodes, columns, weights, features, bins, settings) -> dict:
     """Best split per model and open node: lists of (gain, feature, bin, left g, left h, g, h), one per feature."""
-    parts = [Part.of(g, recent + 1) for g in grown]
+    parts = [Part.of(g, 1) for g in grown]
     # Rows of leaves that are not open any more have place -1.
     places = []
     for part, nodes in zip(parts, open_nodes, strict=True):
         place = np.full(len(part.feature), -1)
         place[np.array(nodes, np.int64) - part.first] = np.arange(len(nodes))
         places.append(place)
-    share, seed, most = settings.row_share, settings.seed, settings.max_depth
+    share, seed = settings.row_share, settings.seed
 
     def sums(batches: Iterable[Batch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
         held = [np.zeros((2, len(own), len(nodes) * bins)) for own, nodes in zip(columns, open_nodes, strict=True)]
-        for turn, label, out, numbers, carried_margins in batches:
-            margins = with_trees(carried_margins, numbers, parts, recent, most)
+        for turn, label, out, numbers, margins in batches:
             rows = np.arange(len(label))
             taken = drawn(turn, seed * 1_000_003 + tree, share)
             for k, part in enumerate(parts):
-                place = places[k][part.node(recent, numbers, rows, depth)]
+                place = places[k][part.node(0, numbers, rows, depth)]
                 used = np.flatnonzero(taken & (out != k) & (out != NONE) & (place >= 0))
                 if not len(used):
                     continue
                 p, y = sigmoid(margins[used, k]), label[used]
                 weight = np.where(y == 1.0, weights[k], 1.0)
                 g, h = weight * (p - y), weight * p * (1.0 - p)
-                base = place[used] * bins
+                base, own = place[used] * bins, numbers[used].T
                 for i, f in enumerate(columns[k]):
-                    at = base + numbers[used, f]
+                    at = base + own[f]
                     held[k][0, i] += np.bincount(at, g, held[k].shape[2])
                     held[k][1, i] += np.bincount(at, h, held[k].shape[2])
         for k, (own, nodes) in enumerate(zip(columns, open_nodes, strict=True)):

@@ -43,6 +43,9 @@ def contributions_long(rows: DataFrame, key: str, contributions: Mapping[str, Co
 
 # --- tree ensembles --------------------------------------------------------
 
+#: Leaves below more cuts than these are paid row by row, not by a table of the sides of the cuts.
+MOST_CUTS = 8
+
 
 @dataclass(frozen=True)
 class Leaves:
@@ -67,7 +70,11 @@ def tree_leaves(models: Sequence[Trees]) -> Leaves:
     Their number is bounded by the trees and their depth. The hessian sums of
     the train rows are the cover.
     """
-    paths = [(path, value / len(models)) for model in models for root in model.roots for path, value in _walk(model, int(root))]
+    paths = [(path, value / len(models)) for model in models for root in model.roots for path, value, _ in _walk(model, int(root))]
+    return _leaves(paths, models[0].n_features)
+
+
+def _leaves(paths: Sequence[tuple[dict, float]], n_features: int) -> Leaves:
     width = max((len(p) for p, _ in paths), default=0)
     shape = (len(paths), max(width, 1))
     feature, share = np.full(shape, -1), np.ones(shape)
@@ -77,28 +84,82 @@ def tree_leaves(models: Sequence[Trees]) -> Leaves:
             feature[i, j], low[i, j], high[i, j], share[i, j] = f, lo, hi, r
     value = np.array([v for _, v in paths])
     base = float((value * share.prod(axis=1)).sum())
-    return Leaves(value, feature, low, high, share, base, models[0].n_features)
+    return Leaves(value, feature, low, high, share, base, n_features)
+
 
+@dataclass(frozen=True)
+class Group:
+    """Neighbouring leaves of a tree: the cuts above them, and what each feature gets by the sides of these cuts.
+
+    Bit k of a row of ``table`` tells that a value is above cut k; a column
+    belongs to one of the features in ``paid``.
+    """
 
-def _walk(model: Trees, root: int) -> Iterator[tuple[dict, float]]:
-    """Leaves of one tree, each with interval and row share per path feature."""
-    pending = [(root, {})]
+    feature: np.ndarray
+    cut: np.ndarray
+    paid: np.ndarray
+    table: np.ndarray
+
+
+def leaf_groups(models: Sequence[Trees]) -> tuple[list[Group], Leaves | None]:
+    """The leaves of the mean margin of several models in groups, and those below too many cuts for a table."""
+    groups, rest, n = [], [], models[0].n_features
+    for model in models:
+        for root in model.roots:
+            near: dict[int, list[tuple]] = {}
+            for path, value, trail in _walk(model, int(root)):
+                if trail:
+                    near.setdefault(trail[-2:][0][0], []).append((path, value / len(models), trail))
+            for found in near.values():
+                nodes = sorted({node for *_, trail in found for node, _ in trail})
+                if len(nodes) > MOST_CUTS:
+                    rest += [(path, value) for path, value, _ in found]
+                    continue
+                leaves, codes = _leaves([(path, value) for path, value, _ in found], n), np.arange(1 << len(nodes))
+                met = [np.ones((len(codes), len(found)), bool) for _ in range(leaves.feature.shape[1])]
+                for i, (path, _, trail) in enumerate(found):
+                    for node, right in trail:
+                        met[list(path).index(int(model.feature[node]))][:, i] &= (codes >> nodes.index(node) & 1) == right
+                paid = np.unique(model.feature[nodes])
+                table = np.asfortranarray(paid_by_leaves(met, leaves)[:, paid])
+                groups.append(Group(model.feature[nodes], model.cut[nodes], paid, table))
+    return groups, _leaves(rest, n) if rest else None
+
+
+def _walk(model: Trees, root: int) -> Iterator[tuple[dict, float, list[tuple[int, int]]]]:
+    """Leaves of one tree, each with interval and row share per path feature, and the cuts above it with the side taken."""
+    pending = [(root, {}, [])]
     while pending:
-        node, path = pending.pop()
+        node, path, trail = pending.pop()
         left = int(model.left[node])
         if left == node:
-            yield path, float(model.value[node])
+            yield path, float(model.value[node]), trail
             continue
         f, cut = int(model.feature[node]), float(model.cut[node])
         lo, hi, r = path.get(f, (-np.inf, np.inf, 1.0))
         whole = model.cover[left] + model.cover[left + 1]
         for child, bounds in ((left, (lo, min(hi, cut))), (left + 1, (max(lo, cut), hi))):
             part = model.cover[child] / whole if whole > 0 else 0.5
-            pending.append((child, {**path, f: (*bounds, r * part)}))
+            pending.append((child, {**path, f: (*bounds, r * part)}, [*trail, (node, child - left)]))
 
 
 def attribute_batch(x: np.ndarray, leaves: Leaves) -> np.ndarray:
-    """Contributions of a batch of rows: (rows, features).
+    """Contributions of a batch of rows: (rows, features)."""
+    count, width = leaves.feature.shape
+    source = np.where(leaves.feature < 0, 0, leaves.feature)
+    out = np.zeros((len(x), leaves.n_features))
+    step = max(1, 1_000_000 // max(count, 1))
+    for start in range(0, len(x), step):
+        part = x[start : start + step]
+        seen = [np.nan_to_num(part[:, source[:, j]], nan=-np.inf, neginf=-np.inf, posinf=np.inf) for j in range(width)]
+        # What is not a number goes left: it is above no cut, and below all.
+        met = [((s > leaves.low[:, j]) | (leaves.low[:, j] == -np.inf)) & (s <= leaves.high[:, j]) for j, s in enumerate(seen)]
+        out[start : start + step] = paid_by_leaves(met, leaves)
+    return out
+
+
+def paid_by_leaves(met: Sequence[np.ndarray], leaves: Leaves) -> np.ndarray:
+    """Contributions (rows, features) where ``met[j]`` tells of each row and leaf whether demand j is met.
 
     A leaf pays its value to a row that meets all its demands; an unknown demand
     counts with its row share r, a known one with o, 1 if it is met and else 0.
@@ -109,54 +170,65 @@ def attribute_batch(x: np.ndarray, leaves: Leaves) -> np.ndarray:
     path's length, not its subsets. Padding (always met, share 1) earns nothing.
     """
     count, width = leaves.feature.shape
-    source = np.where(leaves.feature < 0, 0, leaves.feature)
+    shape = met[0].shape
     points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
     real = leaves.feature >= 0
-    onehot = [np.zeros((count, leaves.n_features)) for _ in range(width)]
-    for j in range(width):
-        onehot[j][np.flatnonzero(real[:, j]), leaves.feature[real[:, j], j]] = 1.0
-    out = np.zeros((len(x), leaves.n_features))
-    step = max(1, 1_000_000 // max(count, 1))
-    for start in range(0, len(x), step):
-        part = x[start : start + step]
-        seen = [np.nan_to_num(part[:, source[:, j]], nan=-np.inf, neginf=-np.inf, posinf=np.inf) for j in range(width)]
-        # What is not a number goes left: it is above no cut, and below all.
-        gap = [((s > leaves.low[:, j]) | (leaves.low[:, j] == -np.inf)) & (s <= leaves.high[:, j]) for j, s in enumerate(seen)]
-        gap = [g - leaves.share[:, j] for j, g in enumerate(gap)]
-        gained = [np.zeros((len(part), count)) for _ in range(width)]
-        for t, weight in zip(points, weights, strict=True):
-            terms = [leaves.share[:, j] + t * gap[j] for j in range(width)]
-            after = [np.full((len(part), count), weight)]
-            for j in range(width - 1, 0, -1):
-                after.append(after[-1] * terms[j])
-            before = np.ones((len(part), count))
-            for j in range(width):
-                gained[j] += before * after[width - 1 - j]
-                before = before * terms[j]
+    gap = [m - leaves.share[:, j] for j, m in enumerate(met)]
+    gained = [np.zeros(shape) for _ in range(width)]
+    for t, weight in zip(points, weights, strict=True):
+        terms = [leaves.share[:, j] + t * gap[j] for j in range(width)]
+        after = [np.full(shape, weight)]
+        for j in range(width - 1, 0, -1):
+            after.append(after[-1] * terms[j])
+        before = np.ones(shape)
         for j in range(width):
-            out[start : start + step] += (gained[j] * gap[j] * leaves.value) @ onehot[j]
+            gained[j] += before * after[width - 1 - j]
+            before = before * terms[j]
+    out = np.zeros((shape[0], leaves.n_features))
+    for j in range(width):
+        onehot = np.zeros((count, leaves.n_features))
+        onehot[np.flatnonzero(real[:, j]), leaves.feature[real[:, j], j]] = 1.0
+        out += (gained[j] * gap[j] * leaves.value) @ onehot
     return out
 
 
+def attribute_groups(x: np.ndarray, groups: Sequence[Group], n_features: int) -> np.ndarray:
+    """Contributions of a batch of rows by the tables of all groups: (rows, features)."""
+    out = np.zeros((n_features, len(x)))
+    columns = np.ascontiguousarray(np.nan_to_num(x, nan=-np.inf, neginf=-np.inf, posinf=np.inf).T)
+    for group in groups:
+        code = np.zeros(len(x), np.uint8)
+        for k, (f, cut) in enumerate(zip(group.feature, group.cut, strict=True)):
+            code |= (columns[f] > cut).view(np.uint8) << np.uint8(k)
+        place = code.astype(np.intp)
+        for k, f in enumerate(group.paid):
+            out[f] += group.table[:, k][place]
+    return out.T
+
+
 def tree_attributions(matrix: DataFrame, models: Sequence[Trees], vector: str = "features") -> DataFrame:
     """Exact Shapley values of the mean log-odds of tree models, of any depth.
 
     Adds ``phi`` (one value per feature), ``base_value`` and ``log_odds`` (their
     sum). Arrow batches go through a small numpy kernel; nothing is shuffled and
-    only the leaf paths travel to the tasks.
+    only the tables and leaf paths travel to the tasks.
     """
-    leaves = tree_leaves(models)
+    base, width = tree_leaves(models).base, models[0].n_features
+    groups, rest = leaf_groups(models)
 
     def explain(vectors: pa.Array) -> pa.Array:
-        phi = attribute_batch(boosting.matrix_of(vectors, leaves.n_features), leaves)
-        offsets = np.arange(len(phi) + 1, dtype=np.int32) * leaves.n_features
+        x = boosting.matrix_of(vectors, width)
+        phi = attribute_groups(x, groups, width)
+        if rest is not None:
+            phi = phi + attribute_batch(x, rest)
+        offsets = np.arange(len(phi) + 1, dtype=np.int32) * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
 
     found = F.arrow_udf(explain, "array<double>")(number_array(matrix, vector))
-    total = F.aggregate("phi", F.lit(leaves.base), lambda a, b: a + b)
+    total = F.aggregate("phi", F.lit(base), lambda a, b: a + b)
     explained = matrix.withColumn("phi", found).drop(vector)
-    return explained.withColumn("base_value", F.lit(leaves.base)).withColumn("log_odds", total)
+    return explained.withColumn("base_value", F.lit(base)).withColumn("log_odds", total)
 
 
 # --- sections and summaries ------------------------------------------------

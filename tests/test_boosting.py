@@ -232,3 +232,63 @@ def test_ablation_stops_and_tunes_each_set(spark):
     found = {r["feature_set"]: r for r in models.ablation_compare({"all": parts(rows), "few": parts(narrow)}, SETTINGS).collect()}
     assert found["all"]["auroc"] > found["few"]["auroc"] and found["all"]["n_features"] == 5 and found["few"]["n_features"] == 2
     assert all(r["tn"] + r["fp"] + r["fn"] + r["tp"] == 100 and 0 < r["threshold"] < 1 and 1 <= r["trees"] <= 14 for r in found.values())
+
+
+def grown_at_random(rng, trees, depth, features=6):
+    grown = boosting.Growing()
+    for _ in range(trees):
+        open_ = [grown.add(0.0, 100.0)]
+        grown.roots.append(open_[0])
+        for _ in range(depth):
+            below = []
+            for node in open_:
+                if rng.random() < 0.2:
+                    continue
+                grown.feature[node], grown.bin[node] = int(rng.integers(features)), int(rng.integers(20))
+                grown.left[node] = grown.add(float(rng.normal()), grown.cover[node] * 0.3)
+                grown.add(float(rng.normal()), grown.cover[node] * 0.7)
+                below += [grown.left[node], grown.left[node] + 1]
+            open_ = below
+    return grown.done([np.sort(rng.normal(size=21)) for _ in range(features)], depth)
+
+
+def test_tables_of_leaf_groups_equal_leaf_paths():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x[0, 2], x[1, 1], x[2, 0] = np.nan, np.inf, -np.inf
+    for depth, deep in ((4, False), (10, True)):
+        models = [grown_at_random(rng, 5, depth) for _ in range(2)]
+        groups, rest = explain.leaf_groups(models)
+        assert (rest is not None) == deep
+        found = explain.attribute_groups(x, groups, 6) + (explain.attribute_batch(x, rest) if deep else 0.0)
+        assert np.allclose(found, explain.attribute_batch(x, explain.tree_leaves(models)), atol=1e-12)
+        # A row costs a look-up per group and feature, not the leaves' arithmetic.
+        assert all(len(g.table) <= 256 for g in groups)
+
+
+def test_margins_column_by_column_equal_the_walk():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6))
+    x[0, 2], x[1, 1], x[2, 0] = np.nan, np.inf, -np.inf
+    for depth in (0, 3, 9):
+        tree = grown_at_random(rng, 7, depth)
+        clean = np.nan_to_num(x, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        want = np.zeros(len(x))
+        for root in tree.roots:
+            for i, row in enumerate(clean):
+                node = root
+                while tree.left[node] != node:
+                    node = tree.left[node] + int(row[tree.feature[node]] > tree.cut[node])
+                want[i] += tree.value[node]
+        assert np.allclose(tree.margins(x), want, atol=1e-12)
+
+
+def test_a_pass_walks_only_the_newest_tree(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.random() < 0.3 + 0.4 * (v[0] > 0)), v.tolist(), k) for k, v in enumerate(rng.normal(size=(400, 3)))]
+    sent, of = [], boosting.Part.of
+    monkeypatch.setattr(boosting.Part, "of", staticmethod(lambda grown, trees: sent.append(trees) or of(grown, trees)))
+    settings = boosting.GbtSettings(max_iter=5, max_depth=2, carry=5)
+    boosting.fit(spark.createDataFrame(rows, "label double, features array<double>, id long"), settings, key="id")
+    # All five trees go to the tasks once, when the margins are written; the passes before get one each.
+    assert sorted(sent)[-2:] == [1, 5]
