@@ -9,6 +9,7 @@ from riskloom import constants as C
 from riskloom.functions import numbers, scoring, text
 from riskloom.operators import features as X
 from riskloom.operators import ranking
+from riskloom.plans.lookup import fitted_table
 from riskloom.sources.tables import labels, trials
 
 # The prose of the given documents is invented, so the words looked for are
@@ -64,14 +65,26 @@ def features(
 ) -> DataFrame:
     """Features of every record; the label joins the narrow result, so that no text is shuffled for it."""
     made = X.engineer_features(t(spark, folder), known or medians(spark, folder), SPEC)
-    return made.join(labels(spark, folder), "trial_id", "left") if labelled else made
+    return with_labels(spark, folder, made) if labelled else made
 
 
-def split_features(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+def with_labels(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
+    return made.join(labels(spark, folder), "trial_id", "left")
+
+
+def stored_features(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Features of every record without label, written once: what is fitted on them and what scores them read no text again."""
+    return fitted_table(features(spark, folder, False, known))
+
+
+def split_features(
+    spark: SparkSession, folder: str, known: DataFrame | None = None, made: DataFrame | None = None
+) -> DataFrame:
     """Labelled features with their split; the split is fitted on keys and labels alone."""
     keys = trials(spark, folder, texts=False).select("trial_id", "terminated")
     cutoffs = ranking.split_cutoffs(keys, "trial_id", "terminated")
-    labelled = features(spark, folder, known=known).filter("terminated is not null")
+    every = with_labels(spark, folder, made) if made is not None else features(spark, folder, known=known)
+    labelled = every.filter("terminated is not null")
     return ranking.stratified_split(labelled, "trial_id", "terminated", cutoffs=cutoffs)
 
 
@@ -84,8 +97,9 @@ def fitted(spark: SparkSession, folder: str) -> tuple[DataFrame, X.Scaler]:
 
 def linear_scores(spark: SparkSession, folder: str, output: str, labelled: bool = False):
     """Features with the fixed linear score, and the scaler used."""
-    known, scaler = fitted(spark, folder)
-    return linear_score(features(spark, folder, labelled, known), scaler, output), scaler
+    made = stored_features(spark, folder)
+    scaler = X.fit_scaler(split_features(spark, folder, made=made).filter("split = 'train'"))
+    return linear_score(with_labels(spark, folder, made) if labelled else made, scaler, output), scaler
 
 
 def linear_score(rows: DataFrame, scaler: X.Scaler, output: str) -> DataFrame:

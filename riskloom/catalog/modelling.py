@@ -29,8 +29,9 @@ SETTINGS = models.GbtSettings()
 
 @dataclass(frozen=True)
 class Prepared:
-    """Stored gold features and the scaler of their train rows."""
+    """Stored features of all records, gold features and the scaler of their train rows."""
 
+    made: DataFrame
     rows: DataFrame
     scaler: features_.Scaler
 
@@ -40,17 +41,18 @@ class Prepared:
 
     def scaled(self, spark, sf):
         """The feature vectors of all records, labelled or not."""
-        rows = features_.scale_features(X.features(spark, sf), self.scaler)
+        rows = features_.scale_features(X.with_labels(spark, sf, self.made), self.scaler)
         return features_.feature_matrix(rows.drop("terminated"), columns=C.FEATURES)
 
 
 def prepare(spark, sf):
     """Gold: labelled features with their split, stored in files of even size whatever the scan's splits."""
     folder = shared_folder(spark)
-    even = X.split_features(spark, sf).hint("rebalance", "split").sortWithinPartitions("split", "trial_id")
+    made = X.stored_features(spark, sf)
+    even = X.split_features(spark, sf, made=made).hint("rebalance", "split").sortWithinPartitions("split", "trial_id")
     even.write.partitionBy("split").parquet(folder)
     rows = spark.read.parquet(folder)
-    return Prepared(rows, features_.fit_scaler(rows.filter("split = 'train'")))
+    return Prepared(made, rows, features_.fit_scaler(rows.filter("split = 'train'")))
 
 
 def calibrated(prepared):
@@ -192,7 +194,7 @@ def whatif_rescore_trees(spark, sf):
         vector = features_.scaled_vector(rows, fitted)
         return model.transform(vector).withColumnRenamed("probability", output).drop("features")
 
-    base = score(X.features(spark, sf, labelled=False), "now").withColumn("p_text", F.lit(None).cast("double"))
+    base = score(prepared.made, "now").withColumn("p_text", F.lit(None).cast("double"))
     scored = whatif.whatif_rescore(
         base, X.SCENARIOS, lambda rows: score(rows, "p_struct").withColumnRenamed("now", "probability"), threshold
     )
