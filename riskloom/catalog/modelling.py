@@ -435,6 +435,10 @@ def _text_epochs(spark, sf):
     model = features_.fit_tfidf(terms)
     tokens = features_.with_terms(placed, "full_text")
     vectors = model.transform(tokens).select("trial_id", "split", F.col("terminated").cast("double").alias("label"), "tfidf")
+    # Every epoch scores the held-out rows: no text is cut into terms again for that.
+    folder = shared_folder(spark)
+    vectors.hint("rebalance", "split").write.partitionBy("split").parquet(folder)
+    vectors = spark.read.schema(vectors.schema).parquet(folder)
     train, test = vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
     held = ranking.fold_of(F.col("trial_id")) == 0
     return test, epochs.train_epochs(train.filter(~held), train.filter(held), "trial_id", "tfidf", shared_folder(spark))

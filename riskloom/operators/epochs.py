@@ -1,7 +1,8 @@
 """Text classification by mini-batch descent in epochs, with a saved state after each.
 
 Rows are dealt into parts by the hash of their key and stored part by part, so
-a step reads its part only. An epoch takes the parts in an order of its own;
+a step reads its part only. Vectors go as the entries they have, so a task's
+memory does not grow with the vocabulary. An epoch takes the parts in an order of its own;
 each step is one job that sums the gradients of its rows, and AdamW moves the
 weights. After an epoch the weights, the moments and the area under the ROC
 curve of the validation rows are written in one commit, so a run that was
@@ -16,13 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
 from riskloom.operators import curves
-from riskloom.operators.boosting import matrix_of, sigmoid
-from riskloom.operators.ensembles import number_array
+from riskloom.operators.boosting import sigmoid
 from riskloom.operators.ranking import best_so_far
 
 STATE = "epoch int, weights array<double>, first array<double>, second array<double>, loss double, auroc double"
@@ -57,20 +58,46 @@ class LinearModel:
     def transform(self, df: DataFrame, output: str = "p_text") -> DataFrame:
         weights = self.weights
 
-        def score(vectors: pa.Array) -> pa.Array:
-            return pa.array(sigmoid(matrix_of(vectors, len(weights) - 1) @ weights[:-1] + weights[-1]))
+        def score(slots: pa.Array, x: pa.Array) -> pa.Array:
+            return pa.array(sigmoid(margins(*entries(slots, x), len(x), weights)))
 
-        return df.withColumn(output, F.arrow_udf(score, "double")(number_array(df, self.vector)))
+        return df.withColumn(output, F.arrow_udf(score, "double")(*slots_and_values(df, self.vector)))
+
+
+def slots_and_values(df: DataFrame, vector: str) -> tuple[Column, Column]:
+    """The entries of a vector that are given, as places and numbers; a term vector has few of them."""
+    if isinstance(df.schema[vector].dataType, VectorUDT):
+        raw = F.unwrap_udt(F.col(vector))
+        slots, values = raw["indices"], raw["values"]
+    else:
+        slots, values = F.lit(None).cast("array<int>"), F.col(vector).cast("array<double>")
+    every = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(slots, every), values
+
+
+def entries(slots: pa.ListArray, x: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of all entries of a batch of vectors."""
+    row = np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy())
+    return row, slots.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+
+
+def margins(row: np.ndarray, slot: np.ndarray, value: np.ndarray, rows: int, weights: np.ndarray) -> np.ndarray:
+    return np.bincount(row, value * weights[slot], rows) + weights[-1]
 
 
 def deal(train: DataFrame, key: str, vector: str, folder: str, settings: EpochSettings) -> None:
-    """Store (part, label, weight, x) of the train rows; class c weighs 1 minus its rate."""
+    """Store (part, label, weight, width, slots, x) of the train rows; class c weighs 1 minus its rate."""
     rate = train.agg(F.avg("label")).first()[0] or 0.0
+    slots, values = slots_and_values(train, vector)
+    sparse = isinstance(train.schema[vector].dataType, VectorUDT)
+    width = F.coalesce(F.unwrap_udt(F.col(vector))["size"], F.size(values)) if sparse else F.size(values)
     rows = train.select(
         F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(settings.steps)).cast("int").alias("part"),
         F.col("label").cast("double").alias("label"),
         F.when(F.col("label") == 1.0, 1.0 - rate).otherwise(rate).alias("weight"),
-        number_array(train, vector).alias("x"),
+        width.alias("width"),
+        slots.alias("slots"),
+        values.alias("x"),
     ).filter("label is not null")
     rows.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
 
@@ -88,15 +115,17 @@ def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
 def gradient(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """(gradient, loss) of the weighted cross-entropy over ``rows``, both by the sum of weights."""
     size = len(weights)
+    if "slots" not in rows.columns:
+        rows = rows.withColumn("slots", slots_and_values(rows, "x")[0])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 2)
         for batch in batches:
-            x = matrix_of(batch.column("x"), size - 1)
+            row, slot, x = entries(batch.column("slots"), batch.column("x"))
             y, w = batch.column("label").to_numpy(), batch.column("weight").to_numpy()
-            margin = x @ weights[:-1] + weights[-1]
+            margin = margins(row, slot, x, len(y), weights)
             gap = w * (sigmoid(margin) - y)
-            total[: size - 1] += gap @ x
+            total[: size - 1] += np.bincount(slot, gap[row] * x, size - 1)
             total[size - 1] += gap.sum()
             total[size] += (w * (np.logaddexp(0.0, margin) - y * margin)).sum()
             total[size + 1] += w.sum()
@@ -130,7 +159,7 @@ def train_epochs(
     if last:
         weights, first, second = (np.array(last[c]) for c in ("weights", "first", "second"))
     else:
-        example = stored(spark, dealt).select(F.size("x").alias("n")).first()
+        example = stored(spark, dealt).select(F.col("width").alias("n")).first()
         weights, first, second = np.zeros((3, (example["n"] if example else 0) + 1))
     begin = last["epoch"] + 1 if last else 0
     for epoch in range(begin, settings.epochs if stop_after is None else min(settings.epochs, stop_after)):
