@@ -520,7 +520,7 @@ def stream_score(spark, sf):
     """Records arrive as files; those with a label count as cached and are skipped."""
     source, target, checkpoint = (shared_folder(spark) for _ in range(3))
     rows = t(spark, sf)
-    rows.repartition(4, "trial_id").write.parquet(source)
+    rows.write.parquet(source)
     known, fitted = X.fitted(spark, sf)
 
     def score(arriving):
