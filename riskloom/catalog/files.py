@@ -150,7 +150,8 @@ def bundle_scan(spark, sf):
     second = study.withField("id", F.lit("second"))
     entries = F.array(*[F.struct(s.alias("resource")) for s in (other, study, second)])
     rows = t(spark, sf).select(F.lit("Bundle").alias("resourceType"), entries.alias("entry"))
-    rows.write.json(folder)
+    # Compressed files are read whole by one task, so each holds a bounded number of bundles.
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", 10_000).json(folder)
     return records.bundle_scan(spark, folder, multi_line=False)
 
 

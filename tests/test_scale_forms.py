@@ -244,3 +244,79 @@ def test_cache_generates_once_per_key(spark):
     cache = spark.createDataFrame([(2, 9)], "id int, v int")
     got = joins.cache_lookup(rows, cache, "id", make).collect()
     assert handed == [1] and {(r.id, r.v, r.cached) for r in got} == {(1, 0, False), (2, 9, True)}
+
+
+def small_records(spark, folder):
+    docs = [(k, f"Title {k}\nthe body, with und words {k % 7} " + "tion " * (k % 5), "en" if k % 2 else "de", "s", 40 + 13 * k) for k in range(1, 61)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    marks = [(k, int(k % 3 == 0), 0) for k in range(1, 61) if k % 4]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_scores_are_read_from_stored_features(spark, tmp_path):
+    from riskloom.catalog import fixtures
+
+    small_records(spark, tmp_path)
+    scored, _ = fixtures.linear_scores(spark, str(tmp_path), "p", labelled=True)
+    assert scored.count() == 60
+    # The texts are read once, when the features are made.
+    assert not [f for f in scored.inputFiles() if "documents.parquet" in f]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from riskloom.sources import records
+
+    for k in range(400):
+        (tmp_path / f"{k}.txt").write_text(f"Title {k}\nbody")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = records.text_scan(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(r.title for r in found.collect()) == sorted(f"Title {k}" for k in range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_arriving_files_are_as_many_as_the_splits(spark, tmp_path, monkeypatch):
+    from riskloom.catalog import modelling
+
+    small_records(spark, tmp_path)
+    seen, run = [], modelling.run_stream
+
+    def watched(session, source, *rest):
+        seen.append(len(session.read.parquet(source).inputFiles()))
+        return run(session, source, *rest)
+
+    monkeypatch.setattr(modelling, "run_stream", watched)
+    found = modelling.QUERIES["stream_score"](spark, str(tmp_path))
+    assert found.count() == 15 and seen[0] > 4
+
+
+def test_bundles_are_written_compressed(spark, tmp_path, monkeypatch):
+    from riskloom.catalog import files
+
+    small_records(spark, tmp_path)
+    seen, scan = [], files.records.bundle_scan
+
+    def watched(session, path, **options):
+        seen.extend(session.read.text(path).inputFiles())
+        return scan(session, path, **options)
+
+    monkeypatch.setattr(files.records, "bundle_scan", watched)
+    assert files.QUERIES["bundle_scan"](spark, str(tmp_path)).count() == 60
+    assert seen and all(f.endswith(".json.gz") for f in seen)
+
+
+def test_epochs_send_only_given_entries(spark):
+    from pyspark.ml.linalg import Vectors
+    from riskloom.operators import epochs
+    from riskloom.session import shared_folder
+
+    rows = [(k, float(k % 2), Vectors.sparse(1000, {k % 3: 1.0, 500 + k % 2: 2.0})) for k in range(40)]
+    train = spark.createDataFrame(rows, ["id", "label", "v"])
+    folder = shared_folder(spark)
+    states = epochs.train_epochs(train, train, "id", "v", folder, epochs.EpochSettings(epochs=2, steps=2))
+    stored = spark.read.parquet(f"{folder}/rows")
+    assert stored.selectExpr("max(size(x))").first()[0] == 2 and stored.selectExpr("min(width)").first()[0] == 1000
+    assert states.count() == 2 and all(len(r["weights"]) == 1001 for r in states.collect())
