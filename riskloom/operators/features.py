@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -181,34 +184,82 @@ def scaled_vector(
 
 # --- term vectors ----------------------------------------------------------
 
+#: Lists and terms that a task counts at a time; their codes, with the list, must fit 63 bits.
+HELD_TERMS = 2_000_000
+
 
 def document_terms(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """Key and the list of single terms and neighbouring pairs of a text."""
-    return with_terms(rows.select(key, body), body).drop(body)
+    """Key, the ``singles`` of a text, and the list of these and neighbouring pairs as ``terms``."""
+    singles = rows.select(key, body).withColumn("singles", text.terms(F.col(body)))
+    return _with_pairs(singles, "singles").drop(body)
 
 
 def with_terms(rows: DataFrame, body: str) -> DataFrame:
     """Add the single terms and neighbouring pairs of a text as ``terms``."""
-    tokens = rows.withColumn("_t", text.terms(F.col(body)))
-    pairs = NGram(n=2, inputCol="_t", outputCol="_pairs").transform(tokens)
-    return pairs.withColumn("terms", F.concat("_t", "_pairs")).drop("_t", "_pairs")
+    return _with_pairs(rows.withColumn("_t", text.terms(F.col(body))), "_t").drop("_t")
+
+
+def _with_pairs(rows: DataFrame, singles: str) -> DataFrame:
+    pairs = NGram(n=2, inputCol=singles, outputCol="_pairs").transform(rows)
+    return pairs.withColumn("terms", F.concat(singles, "_pairs")).drop("_pairs")
 
 
 def doc_frequency(documents: DataFrame) -> DataFrame:
     """Documents and occurrences per term.
 
-    Each document yields its distinct terms and all its terms, told apart by a
-    flag, so both counts come from one map-side combined aggregate, with no
-    shuffle of (document, term) pairs.
+    A task counts the terms of some documents at a time, as numbers, and sends
+    one row per distinct term of theirs, so no row is made per occurrence and no
+    (document, term) pair is shuffled. Where ``singles`` stand beside ``terms``,
+    neighbouring pairs are counted from them, and no list of pairs is made.
     """
-    once = F.struct(F.lit(True).alias("once"), F.array_distinct("terms").alias("terms"))
-    every = F.struct(F.lit(False).alias("once"), F.col("terms"))
-    lists = documents.select(F.explode(F.array(once, every)).alias("_l"))
-    return (
-        lists.select("_l.once", F.explode("_l.terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("total"))
-    )
+    pairs = "singles" in documents.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists in _some_lists(batch.column(0)):
+                for counts in _counted_terms(lists, pairs):
+                    yield from counts.to_batches(max_chunksize=1 << 16)
+
+    lists = documents.select(F.col("singles" if pairs else "terms").cast("array<string>"))
+    # Dealt first: few rows of a task are alike by now, so adding them up before would not pay.
+    counts = lists.mapInArrow(count, "term string, df long, total long").repartition("term")
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _some_lists(lists: pa.ListArray, most: int = HELD_TERMS) -> Iterator[pa.ListArray]:
+    """The same lists, some at a time: ``most`` of lists and entries, one list at least."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(lists):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lists.slice(first, last - first)
+        first = last
+
+
+def _counted_terms(lists: pa.ListArray, pairs: bool) -> Iterator[pa.Table]:
+    """(term, df, total) of the entries of some lists, and of their neighbouring pairs."""
+    coded = lists.flatten().dictionary_encode("encode")
+    names, size, many = coded.dictionary, len(coded.dictionary), len(lists)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    found, df, total = _counted_codes(codes, owner, many)
+    yield pa.table({"term": names.take(pa.array(found)), "df": df, "total": total})
+    if pairs:
+        # A pair is one number: that of its first term, then that of its second.
+        inside = owner[1:] == owner[:-1]
+        found, df, total = _counted_codes((codes[:-1] * size + codes[1:])[inside], owner[1:][inside], many)
+        left, right = (names.take(pa.array(side)) for side in np.divmod(found, max(1, size)))
+        yield pa.table({"term": pc.binary_join_element_wise(left, right, " "), "df": df, "total": total})
+
+
+def _counted_codes(codes: np.ndarray, owner: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, with the owners and the occurrences of each; there are ``many`` owners."""
+    held = np.sort(codes * many + owner)
+    codes = held // max(1, many)
+    bounds = np.append(np.flatnonzero(np.diff(codes, prepend=-1)), len(held))
+    owners = np.append(0, np.cumsum(np.diff(held, prepend=-1) != 0))
+    return codes[bounds[:-1]], np.diff(owners[bounds]), np.diff(bounds)
 
 
 def vocab_topk(frequencies: DataFrame, size: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:

@@ -1,14 +1,17 @@
 """Invariants of fitted models and their attributions."""
 
+import random
+from collections import Counter
 from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.operators import boosting, curves, embed, epochs, explain, models
+from riskloom.operators import boosting, curves, embed, epochs, explain, features, models
 from riskloom.operators.features import fit_tfidf, tfidf_long, vocabulary_of, with_terms
 from riskloom.session import shared_folder
 from riskloom.sources import artifacts
@@ -193,6 +196,34 @@ def test_term_weights_equal_the_formula(spark):
     assert not any(key == 3 for key, _ in got)
 
 
+def test_term_statistics_of_some_lists_at_a_time():
+    draw = random.Random(5)
+    lists = [[draw.choice("abcdef") for _ in range(draw.choice([0, 1, 2, 9]))] if draw.random() < 0.9 else None for _ in range(60)]
+    held = pa.array([["before"], *lists], pa.list_(pa.string())).slice(1)
+    for pairs in (False, True):
+        every = [own + [f"{a} {b}" for a, b in zip(own, own[1:])] * pairs for own in (x or [] for x in lists)]
+        want = Counter(t for own in every for t in own), Counter(t for own in every for t in set(own))
+        for most in (1, 7, 10_000):
+            got = Counter(), Counter()
+            for part in features._some_lists(held, most):
+                for row in (r for counts in features._counted_terms(part, pairs) for r in counts.to_pylist()):
+                    got[0][row["term"]] += row["total"]
+                    got[1][row["term"]] += row["df"]
+            assert got == want
+
+
+def test_term_statistics_equal_plain_counts(spark):
+    docs = ["The cat sat", "the dog sat down\nthe cat", None, "", "a", "Ünïcode ünïcode x1", "the the the"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs * 3)], "id int, body string")
+    listed = with_terms(rows, "body").select("id", "terms")
+    every = [r["terms"] for r in listed.collect()]
+    want = {(t, sum(t in own for own in every), sum(own.count(t) for own in every)) for t in {t for own in every for t in own}}
+    for terms in (listed, features.document_terms(rows, "id", "body")):
+        found = features.doc_frequency(terms)
+        assert found.dtypes == [("term", "string"), ("df", "bigint"), ("total", "bigint")]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_embedding_sections(spark):
     rows = spark.createDataFrame([(1, "some text", ""), (2, None, "more words")], "id int, full_text string, eligibility_criteria string")
     made = embed.embed_sections(rows, "id", dimension=16)

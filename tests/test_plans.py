@@ -48,6 +48,14 @@ def test_term_vectors_never_shuffle(spark):
     assert shuffles(features_.fit_tfidf(terms).transform(terms)) == 0
 
 
+def test_term_statistics_make_no_row_per_occurrence(spark):
+    rows = table(spark, FOLDER, "documents")
+    text = plan(features_.doc_frequency(features_.document_terms(rows, "doc_id", "text")))
+    assert "Generate" not in text and "explode" not in text
+    assert "UDF(" not in text  # no list of pairs
+    assert text.count("Exchange") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["parquet_scan"](spark, FOLDER))
     assert "EqualTo(l_returnflag,R)" in text
