@@ -96,7 +96,8 @@ def term_vectors(spark, sf):
     placed = ranking.stratified_split(docs, "doc_id", "lang")
     train = features_.document_terms(placed.filter("split = 'train'"), "doc_id", "text")
     model = features_.fit_tfidf(train)
-    return model, model.transform(features_.document_terms(docs, "doc_id", "text"))
+    terms = features_.document_terms(docs, "doc_id", "text")
+    return model, model.transform(features_.vocabulary_terms(terms, features_.vocabulary_of(model)))
 
 
 @query(f"""with o as (select doc_id, lang, text, row_number() over (partition by lang order by md5(doc_id || ':42'), doc_id) as rn,

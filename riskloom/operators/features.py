@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from riskloom import constants as C
 from riskloom.functions import coding, numbers, text
@@ -204,8 +205,8 @@ def _with_pairs(rows: DataFrame, singles: str) -> DataFrame:
     return pairs.withColumn("terms", F.concat(singles, "_pairs")).drop("_pairs")
 
 
-def doc_frequency(documents: DataFrame) -> DataFrame:
-    """Documents and occurrences per term.
+def doc_frequency(documents: DataFrame, among: Collection[str] | None = None) -> DataFrame:
+    """Documents and occurrences per term; if ``among`` is given, only of its terms and of pairs of two of them.
 
     A task counts the terms of some documents at a time, as numbers, and sends
     one row per distinct term of theirs, so no row is made per occurrence and no
@@ -213,11 +214,12 @@ def doc_frequency(documents: DataFrame) -> DataFrame:
     neighbouring pairs are counted from them, and no list of pairs is made.
     """
     pairs = "singles" in documents.columns
+    wanted = None if among is None else pa.array(list(among), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lists in _some_lists(batch.column(0)):
-                for counts in _counted_terms(lists, pairs):
+                for counts in _counted_terms(lists, pairs, wanted):
                     yield from counts.to_batches(max_chunksize=1 << 16)
 
     lists = documents.select(F.col("singles" if pairs else "terms").cast("array<string>"))
@@ -237,17 +239,19 @@ def _some_lists(lists: pa.ListArray, most: int = HELD_TERMS) -> Iterator[pa.List
         first = last
 
 
-def _counted_terms(lists: pa.ListArray, pairs: bool) -> Iterator[pa.Table]:
-    """(term, df, total) of the entries of some lists, and of their neighbouring pairs."""
+def _counted_terms(lists: pa.ListArray, pairs: bool, among: pa.Array | None = None) -> Iterator[pa.Table]:
+    """(term, df, total) of the entries of some lists, and of their neighbouring pairs; if given, ``among`` some only."""
     coded = lists.flatten().dictionary_encode("encode")
     names, size, many = coded.dictionary, len(coded.dictionary), len(lists)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    found, df, total = _counted_codes(codes, owner, many)
+    named = np.ones(size, bool) if among is None else pc.is_in(names, among).to_numpy(zero_copy_only=False)
+    named = named[codes]
+    found, df, total = _counted_codes(codes[named], owner[named], many)
     yield pa.table({"term": names.take(pa.array(found)), "df": df, "total": total})
     if pairs:
         # A pair is one number: that of its first term, then that of its second.
-        inside = owner[1:] == owner[:-1]
+        inside = (owner[1:] == owner[:-1]) & named[1:] & named[:-1]
         found, df, total = _counted_codes((codes[:-1] * size + codes[1:])[inside], owner[1:][inside], many)
         left, right = (names.take(pa.array(side)) for side in np.divmod(found, max(1, size)))
         yield pa.table({"term": pc.binary_join_element_wise(left, right, " "), "df": df, "total": total})
@@ -268,16 +272,35 @@ def vocab_topk(frequencies: DataFrame, size: int = C.MAX_TERMS, min_df: int = C.
     return common.orderBy(F.desc("total"), F.asc("term")).limit(size)
 
 
+def _candidates(documents: DataFrame, size: int, min_df: int) -> list[str] | None:
+    """Single terms of which the vocabulary and its pairs are made; None where that cannot be told.
+
+    A pair occurs no more often, and in no more documents, than either of its
+    terms. With ``size`` single terms in enough documents, no term whose total is
+    below the last of theirs is in the vocabulary, so the terms of a pair that is
+    have at least that total, too. Where more terms share it than are fetched, all
+    are counted.
+    """
+    if "singles" not in documents.columns:
+        return None
+    alone = documents.select(F.col("singles").alias("terms"))
+    most = vocab_topk(doc_frequency(alone), 2 * size, min_df).collect()
+    if len(most) < size:
+        return None
+    known = [r["term"] for r in most if r["total"] >= most[size - 1]["total"]]
+    return known if len(known) < 2 * size else None
+
+
 def fit_tfidf(
     documents: DataFrame, size: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ
 ) -> PipelineModel:
     """Vocabulary, smoothed inverse document frequency and row norm, as ML stages.
 
-    Only the vocabulary (at most ``size`` rows) reaches the driver. Applying the
-    model is a projection: it never shuffles.
+    Only the vocabulary (at most ``size`` rows), and twice as many single terms,
+    reach the driver. Applying the model is a projection: it never shuffles.
     """
     total = documents.count()
-    chosen = vocab_topk(doc_frequency(documents), size, min_df)
+    chosen = vocab_topk(doc_frequency(documents, _candidates(documents, size, min_df)), size, min_df)
     weighted = chosen.withColumn("idf", F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
     rows = weighted.orderBy("term").select("term", "idf").collect()
     if not rows:
@@ -295,6 +318,48 @@ def fit_tfidf(
     return Pipeline(stages=[counts, weigh, norm, tidy]).fit(documents)
 
 
+def vocabulary_terms(documents: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """Documents with, as ``terms``, only those of a vocabulary: all that its vectors count.
+
+    They are looked up in ``singles``, so no list of all pairs is made.
+    """
+    kept = [f for f in documents.schema.fields if f.name not in ("singles", "terms")]
+    names = pa.array(list(vocabulary), pa.string())
+    words = sorted({word for term in vocabulary for word in term.split(" ")})
+    # A single term is its word's number, a pair that of its first word after all of them, times the words, and its second's.
+    number = {word: i for i, word in enumerate(words)}
+    parts = [[number[word] for word in term.split(" ")] for term in vocabulary]
+    codes = np.array([own[0] if len(own) == 1 else (own[0] + 1) * len(words) + own[1] for own in parts], np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+
+    def listed(lists: pa.ListArray) -> pa.ListArray:
+        found = pc.fill_null(pc.index_in(lists.flatten(), pa.array(words, pa.string())), -1)
+        word = found.to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        pair = np.flatnonzero((owner[1:] == owner[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+        known = np.flatnonzero(word >= 0)
+        held = np.concatenate([word[known], (word[pair] + 1) * len(words) + word[pair + 1]])
+        owner = np.concatenate([owner[known], owner[pair]])
+        at = np.minimum(np.searchsorted(codes, held), len(codes) - 1)
+        there = codes[at] == held
+        at, owner = order[at[there]], owner[there]
+        ends = np.cumsum(np.bincount(owner, minlength=len(lists)))
+        terms = names.take(pa.array(at[np.argsort(owner, kind="stable")]))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), terms)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for lists in _some_lists(batch.column(len(kept))):
+                own = batch.slice(first, len(lists)).columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*own, listed(lists)], [*(f.name for f in kept), "terms"])
+                first += len(lists)
+
+    schema = StructType([*kept, StructField("terms", ArrayType(StringType()))])
+    return documents.select(*(f"`{f.name}`" for f in kept), "singles").mapInArrow(look_up, schema)
+
+
 def tfidf_long(vectors: DataFrame, vocabulary: Sequence[str], key: str, vector: str = "tfidf") -> DataFrame:
     """Non-zero weights as rows (key, term, weight), straight from the sparse vectors."""
     raw = F.unwrap_udt(F.col(vector))

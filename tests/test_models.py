@@ -224,6 +224,29 @@ def test_term_statistics_equal_plain_counts(spark):
         assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 8, 30])
+def test_the_vocabulary_is_that_of_all_terms(spark, size):
+    draw = random.Random(size)
+    docs = [" ".join(draw.choices(["aa", "bb", "cc", "dd", "ee", "ff"], [9, 9, 4, 2, 1, 1], k=draw.choice([0, 1, 4, 12]))) for _ in range(40)]
+    rows = spark.createDataFrame([*enumerate([*docs, "gg " * 90, None])], "id int, body string")
+    terms = features.document_terms(rows, "id", "body")
+    model, want = fit_tfidf(terms, size, 2), fit_tfidf(terms.drop("singles"), size, 2)
+    assert vocabulary_of(model) == vocabulary_of(want)
+    assert model.stages[1].getScalingVec() == want.stages[1].getScalingVec()
+    known = features.vocabulary_terms(terms, vocabulary_of(model))
+    vectors = [m.transform(t).select("id", "tfidf").orderBy("id").collect() for m, t in ((want, terms), (model, known))]
+    assert vectors[0] == vectors[1]
+
+
+def test_the_vocabulary_counts_pairs_of_its_own_terms_only(spark):
+    rows = spark.createDataFrame([(i, "aa bb cc " * 3 + f"rare{i} common") for i in range(6)], "id int, body string")
+    terms = features.document_terms(rows, "id", "body")
+    assert features._candidates(terms, 3, 2) == ["aa", "bb", "cc"]
+    found = features.doc_frequency(terms, ["aa", "bb", "cc"]).collect()
+    assert {r["term"] for r in found} == {"aa", "bb", "cc", "aa bb", "bb cc", "cc aa"}
+    assert features._candidates(terms, 5, 2) is None and features._candidates(terms.drop("singles"), 3, 2) is None
+
+
 def test_embedding_sections(spark):
     rows = spark.createDataFrame([(1, "some text", ""), (2, None, "more words")], "id int, full_text string, eligibility_criteria string")
     made = embed.embed_sections(rows, "id", dimension=16)
