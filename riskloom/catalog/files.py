@@ -18,6 +18,9 @@ from riskloom.sources.tables import parquet_sink as sink
 
 QUERIES, ORACLES, query = registry()
 
+#: Folders of text files that are read at a time.
+FOLDERS = 200
+
 
 @query("select page_id, url, md5(html) as html_md5 from pages")
 def harvest_pages(spark, sf):
@@ -159,13 +162,17 @@ def bundle_scan(spark, sf):
 def text_scan(spark, sf):
     """One file per document is written, and read as one record each.
 
-    Each task writes to a folder of its own, which is committed by one renaming.
+    The files are read some folders at a time, and the driver lists no others meanwhile.
     """
-    folder = shared_folder(spark)
-    bodies = documents(spark, sf).select(F.col("text").alias("value"), F.spark_partition_id().alias("task"))
-    bodies.write.partitionBy("task").option("maxRecordsPerFile", 1).text(folder)
-    found = records.text_scan(spark, folder).withColumn("body", F.expr("left(text, length(text) - 1)"))
-    return found.select("title", F.md5("body").alias("text_md5"), F.length("body").alias("n_chars"))
+    folder, found = shared_folder(spark), shared_folder(spark)
+    folders = records.write_texts(documents(spark, sf).select("text"), folder)
+    spark.createDataFrame([], "title string, text_md5 string, n_chars int").write.parquet(found)
+    for first in range(0, len(folders), FOLDERS):
+        read = records.text_scan(spark, folders[first : first + FOLDERS])
+        read = read.withColumn("body", F.expr("left(text, length(text) - 1)"))
+        read = read.select("title", F.md5("body").alias("text_md5"), F.length("body").alias("n_chars"))
+        read.write.mode("append").parquet(found)
+    return scan(spark, found)
 
 
 ENTRY = "trial_id bigint, title string, probability double, risk_tier string, sections array<struct<section: string, contribution: double>>"

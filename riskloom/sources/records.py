@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,7 +265,11 @@ def csv_records(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def first_line(body: Column, width: int = 150) -> Column:
-    return F.substring(F.split_part(text.strip(body), F.lit("\n"), F.lit(1)), 1, width)
+    """First line of the stripped text; what follows the line is looked at as far as its first word."""
+    blank = text.BLANK
+    # White space at the line's end stays where the text goes on behind it.
+    line = rf"(?U)\A[{blank}]*+([^\n]*+(?=\n[{blank}]*+[^{blank}])|[^\n]*[^{blank}]|)"
+    return F.substring(F.regexp_extract(body, line, 1), 1, width)
 
 
 BUNDLE_SCHEMA = """
@@ -313,10 +320,72 @@ def bundle_scan(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     return bundle_records(spark.read.schema(BUNDLE_SCHEMA).json(path, multiLine=multi_line))
 
 
-def text_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Every text file as one record, titled by its first line; a task reads many small files."""
-    files = spark.read.text(path, wholetext=True)
-    return gathered(files.select(F.col("_metadata.file_path").alias("path"), "value")).select(
+#: Files that one folder of ``write_texts`` holds at most.
+FOLDER_FILES = 1_000
+
+
+def write_texts(rows: DataFrame, path: str, most: int = FOLDER_FILES) -> list[str]:
+    """Each row's only column as a text file of its own, ended by a line feed; returns the folders of the files.
+
+    On a file system of the operating system the tasks make the files: Spark's
+    writer would start up to four processes and make a second file for each. A
+    task writes to folders of its own, and those of the tasks that counted are
+    returned, so lost or repeated tasks do no harm. Elsewhere Spark writes.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = store.makeQualified(at)
+    if store.exists(at):
+        raise FileExistsError(path)
+    value = F.col(f"`{rows.columns[0]}`")
+    if store.getUri().getScheme() == "file":
+        made = rows.select(value.cast("binary")).mapInArrow(_text_files(at.toUri().getPath(), most), "folder string")
+        return [f"{at.toString()}/{r.folder}" for r in made.collect()]
+    numbered = rows.select(value.alias("value"), F.expr(f"monotonically_increasing_id() div {most}").alias("folder"))
+    numbered.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    return [s.getPath().toString() for s in store.listStatus(at) if s.isDirectory()]
+
+
+def _text_files(root: str, most: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        for value in (v for batch in batches for v in batch.column(0)):
+            if n % most == 0:
+                folder = f"{task.partitionId()}-{task.taskAttemptId()}-{n // most}"
+                os.makedirs(f"{root}/{folder}")
+                yield pa.RecordBatch.from_pydict({"folder": [folder]})
+            with open(f"{root}/{folder}/{n}.txt", "wb") as file:
+                file.write((value.as_py() or b"") + b"\n")
+            n += 1
+
+    return write
+
+
+def _packed(spark: SparkSession) -> Column:
+    """Whether Spark's text reader decompresses a file, by its ending in either case."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    kinds = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    found = F.lit(False)
+    for ending in sorted({kind.newInstance().getDefaultExtension().lower() for kind in kinds}):
+        found |= F.endswith(F.lower("_metadata.file_name"), F.lit(ending))
+    return found
+
+
+def text_scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Every text file as one record, titled by its first line; a task reads many small files.
+
+    Spark's text reader sets up its codecs anew for each file, so it gets only
+    the files that it decompresses; which they are is told from the listing.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    packed, file = _packed(spark), F.col("_metadata.file_path").alias("path")
+    plain, texts = spark.read.format("binaryFile").load(paths), None
+    if plain.filter(packed).rdd.getNumPartitions():
+        texts = gathered(spark.read.text(paths, wholetext=True).filter(packed).select(file, "value"))
+        plain = plain.filter(~packed)
+    files = gathered(plain.select(file, F.col("content").cast("string").alias("value")))
+    return (files if texts is None else files.unionByName(texts)).select(
         "path",
         first_line(F.col("value")).alias("title"),
         F.col("value").alias("text"),

@@ -1,5 +1,8 @@
 """Scale forms give the same rows as the plain forms, also under skew."""
 
+import gzip
+import hashlib
+import os
 import random
 
 import numpy as np
@@ -320,3 +323,81 @@ def test_epochs_send_only_given_entries(spark):
     stored = spark.read.parquet(f"{folder}/rows")
     assert stored.selectExpr("max(size(x))").first()[0] == 2 and stored.selectExpr("min(width)").first()[0] == 1000
     assert states.count() == 2 and all(len(r["weights"]) == 1001 for r in states.collect())
+
+
+def test_text_files_are_read_some_folders_at_a_time(spark, tmp_path, monkeypatch):
+    from riskloom.catalog import files
+
+    texts = [None, "", " \n", "a\n b ", "Twice\nplacebo", "Twice\nplacebo", *(f"Title {k}\nbody {k}" for k in range(90))]
+    docs = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    asked, written, scan, write = [], [], files.records.text_scan, files.records.write_texts
+
+    def watched_scan(session, paths):
+        asked.append(paths)
+        return scan(session, paths)
+
+    def watched_write(rows, path):
+        written.extend(write(rows, path, 4))
+        return written
+
+    monkeypatch.setattr(files, "FOLDERS", 5)
+    monkeypatch.setattr(files.records, "text_scan", watched_scan)
+    monkeypatch.setattr(files.records, "write_texts", watched_write)
+    found = sorted(tuple(r) for r in files.QUERIES["text_scan"](spark, str(tmp_path)).collect())
+    shown = [t or "" for t in texts]
+    assert found == sorted((t.strip().split("\n")[0], hashlib.md5(t.encode()).hexdigest(), len(t)) for t in shown)
+    # Each folder is read once, and no pass is handed more than five of them.
+    assert [f for paths in asked for f in paths] == written and max(map(len, asked)) == 5 < len(written)
+    made = [f for folder in written for f in os.listdir(folder.removeprefix("file:"))]
+    assert len(made) == len(texts) and not [f for f in made if f.endswith(".crc")]
+
+
+def test_no_text_is_no_file(spark, tmp_path):
+    from riskloom.catalog import files
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    found = files.QUERIES["text_scan"](spark, str(tmp_path))
+    assert found.count() == 0 and found.columns == ["title", "text_md5", "n_chars"]
+
+
+def test_text_files_in_a_store_that_only_spark_reaches(spark, tmp_path):
+    from riskloom.sources import records
+
+    spark.conf.set("fs.viewfs.mounttable.texts.link./in", f"file://{tmp_path}")
+    rows = spark.createDataFrame([(f"Title {k}\nbody",) for k in range(23)] + [(None,)], "text string").repartition(3)
+    folders = records.write_texts(rows, "viewfs://texts/in/files", 5)
+    assert len(folders) >= 5 and all(f.startswith("viewfs:") for f in folders)
+    found = records.text_scan(spark, folders).select("title", "text").collect()
+    assert sorted(map(tuple, found)) == sorted([(f"Title {k}", f"Title {k}\nbody\n") for k in range(23)] + [("", "\n")])
+
+
+def test_text_files_are_not_written_into_a_folder_that_is_there(spark, tmp_path):
+    from riskloom.sources import records
+
+    with pytest.raises(FileExistsError):
+        records.write_texts(spark.createDataFrame([("a",)], "text string"), str(tmp_path))
+
+
+def test_compressed_text_files_among_others(spark, tmp_path):
+    from riskloom.sources import records
+
+    (tmp_path / "a.txt").write_text("Plain\nplacebo")
+    (tmp_path / "b%20 c.txt").write_bytes(b"\xff\n")
+    for name in ("c.txt.gz", "d.GZ"):
+        (tmp_path / name).write_bytes(gzip.compress(f"Packed {name}\nmulticenter".encode()))
+    found = {r.path.rpartition("/")[2]: r for r in records.text_scan(spark, str(tmp_path)).selectExpr("*", "hex(text) as bytes").collect()}
+    assert sorted(found) == ["a.txt", "b%2520%20c.txt", "c.txt.gz", "d.GZ"]
+    assert found["b%2520%20c.txt"].bytes == "FF0A"
+    assert found["c.txt.gz"].title == "Packed c.txt.gz" and found["d.GZ"].multicenter and found["a.txt"].has_placebo
+
+
+def test_first_lines(spark):
+    from riskloom.sources import records
+
+    bodies = ["", " \t", "\n\n", "one", " one \n", "one \ntwo", "\n one\t\r\n\n \x1c ", " one\x85\n\n\n two \n", "x" * 200, "x" * 149 + "  \n y", "a" + " " * 3000 + "\n" + "\n" * 3000, "a\n \U0001f600"]
+    rows = spark.createDataFrame([*((b,) for b in bodies), (None,)], "body string")
+    found = {r.body: r.title for r in rows.select("body", records.first_line(F.col("body")).alias("title")).collect()}
+    assert found == {None: None, **{b: b.strip().split("\n")[0][:150] for b in bodies}}
