@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
@@ -172,6 +174,9 @@ def text_scan(spark, sf):
         read = read.withColumn("body", F.expr("left(text, length(text) - 1)"))
         read = read.select("title", F.md5("body").alias("text_md5"), F.length("body").alias("n_chars"))
         read.write.mode("append").parquet(found)
+        # The driver's handles on a listing stand in cycles, and hold it until these are collected.
+        del read
+        gc.collect()
     return scan(spark, found)
 
 
